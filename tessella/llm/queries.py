@@ -6,7 +6,9 @@ import importlib
 
 #: module, function: each opN_<name> applies its operator to the whole intended table
 _QUERIES = {
+    "op5_quality": "quality",
     "op6_bpe": "bpe",
+    "op9_secrets": "secrets",
 }
 
 
