@@ -8,6 +8,7 @@ import importlib
 _QUERIES = {
     "op5_quality": "quality",
     "op6_bpe": "bpe",
+    "op8_chat": "chat",
     "op9_secrets": "secrets",
 }
 
