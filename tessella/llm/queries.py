@@ -11,6 +11,7 @@ _QUERIES = {
     "op6_bpe": "bpe",
     "op8_chat": "chat",
     "op9_secrets": "secrets",
+    "op10_jaccard": "jaccard",
 }
 
 
