@@ -6,6 +6,7 @@ import importlib
 
 #: module, function: each opN_<name> applies its operator to the whole intended table
 _QUERIES = {
+    "op1_hilbert": "hilbert",
     "op2_warc": "warc",
     "op4_decontaminate": "decontaminate",
     "op5_quality": "quality",
