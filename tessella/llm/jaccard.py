@@ -1,8 +1,8 @@
 """N-gram Jaccard join with token-combination prefixes (operator 10).
 
 A document's set holds the hashes of its distinct k-word shingles. Sets that are equal form a
-class and only its representative goes on. Shingles are put in one global order, rare ones
-first; which are frequent is told by a count sketch of fixed size over all documents. If two sets
+class and only its representative goes on. Shingles are put in one global order, rarest first,
+by a count sketch of fixed size over all documents, which also tells which are frequent. If two sets
 link, of a set of n shingles at most m = n - ceil(t n) are missing in the other, so their first
 common shingle c1 stands among the first m+1 of both, and their second, c2, among the first m+2.
 If c1 is rare, it is indexed alone. If it is frequent, so is c2, and the pair (c1, c2) is
@@ -100,15 +100,18 @@ def shingle_classes(docs: DataFrame, k: int, sketch, num: int = NUM, den: int =
                         continue
                     sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     miss = len(s) - needed(len(s), num, den)
-                    common = counters[(s & mask).astype(np.int64)] > frequent_from
-                    rare = s[~common][: miss + 1]  # both parts stay in hash order: one order for all documents
+                    count = counters[(s & mask).astype(np.int64)]
+                    # one order for all documents: by the counter, then by the hash (s is sorted and the sort is stable)
+                    order = np.argsort(count.astype(np.uint64) << np.uint64(48) | s >> np.uint64(16), kind="stable")[: miss + 2]
+                    s, common = s[order], count[order] > frequent_from
+                    rare = s[~common][: miss + 1]
                     own = [rare]
                     left = miss + 1 - len(rare)
                     if left > 0:
                         often = s[common]
-                        if len(s) >= BIG * num // den:
+                        if n[-1] >= BIG * num // den:
                             own.append(often[:left])
-                        if len(s) <= BIG:
+                        if n[-1] <= BIG:
                             often = often[: left + 1]
                             i, j = np.triu_indices(len(often), 1)
                             with np.errstate(over="ignore"):
@@ -150,7 +153,7 @@ def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarra
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc, n, shingles) of the documents whose ids are listed (column doc), made again from their texts."""
+    """(doc, n, shingles) of the documents whose ids are listed (column doc) and of few others, made again from their texts."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(id_filter(ids, "doc"))
 
@@ -166,7 +169,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield {"doc": b.column("doc"), "shingles": [x.tobytes() for x in s]}
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
-    return arrow_map(rows, run, "doc long, shingles binary").join(ids.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    return arrow_map(rows, run, "doc long, shingles binary").dropDuplicates(["doc"])
 
 
 def pa_bool(x: np.ndarray):
