@@ -11,6 +11,7 @@ _QUERIES = {
     "op4_decontaminate": "decontaminate",
     "op5_quality": "quality",
     "op6_bpe": "bpe",
+    "op7_interpolation": "lm",
     "op8_chat": "chat",
     "op9_secrets": "secrets",
     "op10_jaccard": "jaccard",
