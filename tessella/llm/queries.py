@@ -8,6 +8,7 @@ import importlib
 _QUERIES = {
     "op1_hilbert": "hilbert",
     "op2_warc": "warc",
+    "op3_suffixes": "suffixes",
     "op4_decontaminate": "decontaminate",
     "op5_quality": "quality",
     "op6_bpe": "bpe",
