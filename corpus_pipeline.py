@@ -1,11 +1,79 @@
-"""Training-data pipeline; its stages follow as their operators come."""
+"""Training-data pipeline: five stages, each on all that the one before kept.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns the columns of ``documents`` (doc_id, text,
+lang, source, n_chars; whatever columns docs has), but the last, which returns the token ids.
+The tables are: quality labels and benchmark items of ``sf_dir``. Each stage's input is written
+as Parquet and read again, so a lost executor repeats one stage's tasks only.
+
+Nulls, empty texts, repeated rows and empty tables are treated as each operator says; rows of a
+null id are kept by every filter but the quality one, which judges them by their text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm import bpe, decontaminate, jaccard, quality, secrets
+from tessella.llm.common import materialize, table
+
+#: A document goes if its score is below this.
+QUALITY = 0.3
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quadratic discriminant, learnt from the labelled rows among docs, doesn't reject."""
+    x = materialize(quality.features(docs))
+    model = quality.fit(x, table(spark, sf_dir, "labels"))
+    return quality.keep(docs, model, QUALITY)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents (five-word shingles, Jaccard 0.8) the one with the smallest id; of rows of one id the smallest text."""
+    classes = jaccard.jaccard_classes(docs, k=5, num=80, den=100)
+    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    # rows that share an id are one node: one of them stays
+    same = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("row"))
+    return kept.join(twice, "doc_id", "left_anti").unionByName(same.select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns)))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that contain no benchmark item."""
+    found = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with every secret span of their texts replaced by a mark; n_chars follows the text."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else clean
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of their decoding, for every row left."""
+    return bpe.round_trip(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("BPE encoding and decoding", tokens_stage),
+]
+#: SQL can't express the classifier, the guess costs or the tokens; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the whole documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for n, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES):
+            docs = materialize(docs)
     return docs

@@ -146,6 +146,21 @@ def score(x: DataFrame, model: Discriminant, id_col: str = "doc_id") -> DataFram
     return arrow_map(x.select(id_col, "x"), run, f"`{id_col}` {kind}, score double")
 
 
+def keep(docs: DataFrame, model: Discriminant, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores at least ``threshold``: one narrow pass."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for b in slices(whole, text_col):
+                v = np.array([statistics(t) for t in b.column(text_col).to_pylist()], float).reshape(-1, len(FEATURES))
+                part = b.filter(pa.array(model.score(v) >= threshold))
+                yield {c: part.column(c) for c in part.schema.names}
+
+    return arrow_map(docs, run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; learns from rows outside the held-out fold only."""
     x = materialize(features(docs))
