@@ -1,8 +1,8 @@
 """N-gram Jaccard join with token-combination prefixes (operator 10).
 
 A document's set holds the hashes of its distinct k-word shingles. Sets that are equal form a
-class and only its representative goes on. Shingles are put in one global order, rarest first,
-by a count sketch of fixed size over all documents, which also tells which are frequent. If two sets
+class and only its representative goes on. Shingles are put in one global order, rarest first, by
+the number of documents that hold them, counted over all documents. If two sets
 link, of a set of n shingles at most m = n - ceil(t n) are missing in the other, so their first
 common shingle c1 stands among the first m+1 of both, and their second, c2, among the first m+2.
 If c1 is rare, it is indexed alone. If it is frequent, so is c2, and the pair (c1, c2) is
@@ -10,9 +10,9 @@ indexed. For sets too large for pairs of tokens (more than ``BIG`` shingles; fro
 so that no linked pair falls between) frequent shingles are indexed alone.
 
 Candidates are the pairs that share an index key. Lists of up to ``SHORT`` sets give all their
-pairs. In longer lists (large groups of near copies) every set is first held against one leader;
-what linked is one component by then, and only pairs across components remain, which are all
-tried. Every pair is verified on the full sets, so no link is lost and none is false.
+pairs. In longer lists (large groups of near copies) every set is first held against a few
+leaders; what linked is one component by then, and only pairs across components remain, which are
+all tried. Every pair is verified on the full sets, so no link is lost and none is false.
 
 Null and empty texts have empty sets, link with nothing and are their own component; so do rows
 of a null id, whose component is null. Rows of one id are one node. Extra columns are ignored.
@@ -21,24 +21,26 @@ of a null id, whose component is null. Rows of one id are one node. Extra column
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_map, materialize, slices, table
+from .blocks import Store, blocks_of, cuts_of, expand, grouped, squeeze
+from .common import arrow_map, materialize, parallelism, shared_dir, slices, table
 from .graph import components
 
 SHINGLE = 3
 #: Link if DEN * intersection >= NUM * union.
 NUM, DEN = 90, 100
-#: Counters of the frequency sketch (8 million of 2 bytes: a broadcast of 16 MB, whatever the input).
-SKETCH_BITS = 23
+#: A shingle in more documents is frequent; slots of the frequency count have so many bits beyond the corpus's size.
+FREQUENT, SLOT_BITS = 64, 8
+#: Bytes of text in a block (more only where one document has more), and for each range of slots.
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 #: Bits of the filter that keeps scans from making sets that are in no list (4 MB, whatever the input).
 FILTER_BITS = 25
-SHORT, BIG = 16, 1000
+SHORT, BIG, LEADERS = 16, 1000, 8
 
 
 def needed(n: np.ndarray | int, num: int = NUM, den: int = DEN):
@@ -46,80 +48,112 @@ def needed(n: np.ndarray | int, num: int = NUM, den: int = DEN):
     return (n * num + den - 1) // den
 
 
-def frequency_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How often shingles of each hash slot occur over all documents (2-byte counters that stop at their top)."""
-    size, chunk = 1 << bits, 1 << 16
+def document_frequencies(docs: DataFrame, folder: str, k: int, ranges: int, bits: int, block: int = BLOCK_BYTES) -> DataFrame:
+    """(block, range, df): in how many documents each distinct shingle slot of a block occurs, in the order of the slots.
 
-    def count(batches):
-        total = np.zeros(size, np.uint32)
-        for whole in batches:
-            for b in slices(whole, "text", 1 << 20):
-                for s in K.shingle_sets(b.column("text").to_pylist(), k):
-                    if len(s):
-                        np.add.at(total, (s & np.uint64(size - 1)).astype(np.int64), 1)
-        for i in range(0, size, chunk):
-            part = total[i : i + chunk]
-            if part.any():
-                yield {"i": [i // chunk], "c": [zlib.compress(np.minimum(part, 65535).astype(np.uint16).tobytes(), 1)]}
+    A slot is a shingle hash cut to ``bits`` bits. Blocks send their slots as sorted gaps, by slot
+    range, and get back one byte for each (255 and more are alike); the blocks' texts stay in the folder.
+    """
+    top = max(1, (ranges - 1).bit_length())
 
-    def add(batches):
-        now, total = None, None
-        for b in batches:
-            for i, c in zip(b.column("i").to_pylist(), b.column("c").to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(c), np.uint16).astype(np.uint32)
-                if i != now:
-                    if now is not None:
-                        yield {"i": [now], "c": [np.minimum(total, 65535).astype(np.uint16).tobytes()]}
-                    now, total = i, np.zeros(len(part), np.uint32)
-                total = np.minimum(total + part, 65535)
-        if now is not None:
-            yield {"i": [now], "c": [np.minimum(total, 65535).astype(np.uint16).tobytes()]}
-
-    parts = arrow_map(docs.select("text"), count, "i int, c binary").repartition("i").sortWithinPartitions("i")
-    out = np.zeros(size, np.uint16)
-    for r in arrow_map(parts, add, "i int, c binary").toLocalIterator():  # at most 2^bits counters
-        out[r.i * chunk : (r.i + 1) * chunk] = np.frombuffer(r.c, np.uint16)
-    return out
+    def send(batches):
+        from pyspark import TaskContext
 
+        store = Store(folder)
+        for n, (ids, texts) in enumerate(blocks_of(batches, block)):
+            number = TaskContext.get().partitionId() << 24 | n
+            store.put(number, ids, texts)
+            yield {"block": [number], "range": [-1], "gaps": [b""], "times": [b""]}  # every block has a row
+            slots, times = np.unique(all_slots(texts, k, bits), return_counts=True)
+            cuts = cuts_of(slots << np.uint64(64 - bits), top)
+            for r in range(1 << top):
+                lo, hi = int(cuts[r]), int(cuts[r + 1])
+                if hi > lo:
+                    gaps = np.diff(slots[lo:hi], prepend=np.uint64(0))
+                    yield {"block": [number], "range": [r], "gaps": [squeeze(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T))], "times": [squeeze(np.minimum(times[lo:hi], 255).astype(np.uint8))]}
 
-def shingle_classes(docs: DataFrame, k: int, sketch, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n, sig (digest of the set), rare and frequent: the index keys of the prefix, packed."""
+    def add(batches):
+        for r, rows in grouped(batches, "range", ("block", "gaps", "times")):
+            if r < 0:
+                yield {"block": [x[0] for x in rows], "range": [-1] * len(rows), "df": [None] * len(rows)}
+                continue
+            slots = [np.cumsum(np.ascontiguousarray(expand(x[1], np.uint8).reshape(8, -1).T).view(np.uint64).ravel()) for x in rows]
+            _, index = np.unique(np.concatenate(slots), return_inverse=True)
+            total = np.minimum(np.bincount(index, weights=np.concatenate([expand(x[2], np.uint8) for x in rows])), 255).astype(np.uint8)[index]
+            at = 0
+            for x, own in zip(rows, slots, strict=True):
+                yield {"block": [x[0]], "range": [r], "df": [squeeze(total[at : at + len(own)])]}
+                at += len(own)
+
+    sent = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), send, "block long, range int, gaps binary, times binary")
+    dealt = sent.repartition(ranges, F.when(F.col("range") < 0, -F.col("block")).otherwise(F.col("range"))).sortWithinPartitions("range", "block")
+    return arrow_map(dealt, add, "block long, range int, df binary")
+
+
+def all_slots(texts: list[bytes], k: int, bits: int) -> np.ndarray:
+    """The slots of all documents' sets, one document after the other."""
+    out = [np.empty(0, np.uint64)]
+    for part in _portions(texts):
+        out += K.shingle_sets(part, k)
+    return np.concatenate(out) >> np.uint64(64 - bits)
+
+
+def _portions(texts: list[bytes], most: int = 1 << 20):
+    start = total = 0
+    for i, t in enumerate(texts):
+        if i > start and total + len(t) > most:
+            yield texts[start:i]
+            start, total = i, 0
+        total += len(t)
+    if start < len(texts):
+        yield texts[start:]
+
+
+def shingle_classes(frequencies: DataFrame, folder: str, k: int, bits: int, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n, sig (digest of the set), keys (the index keys of the prefix, packed) of every document of the blocks."""
+
+    def row(s: np.ndarray, df: np.ndarray) -> bytes:
+        if len(s) < 2:  # a set of one shingle links with its equals only
+            return b""
+        miss = len(s) - needed(len(s), num, den)
+        # one order for all documents: by frequency, then by the hash (s is sorted and the sort is stable)
+        order = np.argsort(df, kind="stable")[: miss + 2]
+        n, s, df = len(s), s[order], df[order]
+        rare = np.flatnonzero(df[: miss + 1] <= FREQUENT)
+        own = [s[rare[df[rare] > 1]]]  # what is in one document only is in no other set
+        left = miss + 1 - len(rare)
+        if left > 0:
+            often = s[len(rare) :]
+            if n >= BIG * num // den:
+                own.append(often[:left])
+            if n <= BIG:
+                i, j = np.triu_indices(len(often), 1)
+                with np.errstate(over="ignore"):
+                    own.append(K.mix(K.mix(often[i] + np.uint64(7)) + often[j]))
+        return np.concatenate(own).tobytes()
 
     def run(batches):
-        counters = sketch.value
-        frequent_from = 16 + 2 * int(counters.mean(dtype=np.float64))
-        mask = np.uint64(len(counters) - 1)
-        for whole in batches:
-            for b in slices(whole, "text", 1 << 20):
+        store = Store(folder)
+        for number, rows in grouped(batches, "block", ("range", "df")):
+            ids, texts = store.get(number)
+            slots, index = np.unique(all_slots(texts, k, bits), return_inverse=True)
+            df = np.concatenate([np.empty(0, np.uint8)] + [expand(x, np.uint8) for r, x in rows if r >= 0])
+            if len(df) != len(slots):
+                raise RuntimeError("a block and its answers don't belong together")
+            df, at, start = df[index], 0, 0
+            del slots, index
+            for part in _portions(texts):
                 n, sig, keys = [], [], []
-                for s in K.shingle_sets(b.column("text").to_pylist(), k):
+                for s in K.shingle_sets(part, k):
                     n.append(len(s))
-                    if len(s) < 2:
-                        sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                        keys.append(b"")
-                        continue
-                    sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    miss = len(s) - needed(len(s), num, den)
-                    count = counters[(s & mask).astype(np.int64)]
-                    # one order for all documents: by the counter, then by the hash (s is sorted and the sort is stable)
-                    order = np.argsort(count.astype(np.uint64) << np.uint64(48) | s >> np.uint64(16), kind="stable")[: miss + 2]
-                    s, common = s[order], count[order] > frequent_from
-                    rare = s[~common][: miss + 1]
-                    own = [rare]
-                    left = miss + 1 - len(rare)
-                    if left > 0:
-                        often = s[common]
-                        if n[-1] >= BIG * num // den:
-                            own.append(often[:left])
-                        if n[-1] <= BIG:
-                            often = often[: left + 1]
-                            i, j = np.triu_indices(len(often), 1)
-                            with np.errstate(over="ignore"):
-                                own.append(K.mix(K.mix(often[i] + np.uint64(7)) + often[j]))
-                    keys.append(np.concatenate(own).tobytes())
-                yield {"doc_id": b.column("doc_id"), "n": n, "sig": sig, "keys": keys}
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, sig binary, keys binary")
+                    sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    keys.append(row(s, df[at : at + len(s)]))
+                    at += len(s)
+                yield {"doc_id": ids[start : start + len(part)], "n": n, "sig": sig, "keys": keys}
+                start += len(part)
+
+    by_block = frequencies.repartition("block").sortWithinPartitions("block", "range").select("block", "range", "df")
+    return arrow_map(by_block, run, "doc_id long, n long, sig binary, keys binary")
 
 
 def postings(reps: DataFrame) -> DataFrame:
@@ -204,9 +238,12 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) ->
 def jaccard_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, short: int = SHORT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    counters = frequency_sketch(docs, k)
-    sketch = spark.sparkContext.broadcast(counters)
-    rows = materialize(shingle_classes(docs, k, sketch, num, den))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+    ranges = 1 << (max(4, parallelism(spark), size // RANGE_BYTES) - 1).bit_length()
+    bits = min(62, SLOT_BITS + int(size // 4 + 1).bit_length())  # a few hundred slots for each shingle of the corpus
+    folder = shared_dir(spark)
+    frequencies = materialize(document_frequencies(docs, folder, k, ranges, bits))
+    rows = materialize(shingle_classes(frequencies, folder, k, bits, num, den))
     classes = (
         rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     )
@@ -218,8 +255,10 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int
     low = listed.where(f"c <= {short}").select("key", "doc", "n")
     pairs = low.alias("x").join(low.alias("y"), "key").where(f"x.doc < y.doc and {alike}").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     long = listed.where(f"c > {short}").select("key", "doc", "n")
-    leaders = long.groupBy("key").agg(F.max(F.struct("n", (-F.col("doc")).alias("d"))).alias("l")).select("key", F.col("l.n").alias("ln"), (-F.col("l.d")).alias("leader"))
-    stars = long.join(leaders, "key").where(f"doc <> leader and {den} * n >= {num} * ln").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
+    # the leaders of a list: the few whose ids hash lowest, so that lists of one group mostly share theirs
+    rank = Window.partitionBy("key").orderBy(F.xxhash64("doc"), "doc")
+    leaders = long.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LEADERS).select("key", F.col("n").alias("ln"), F.col("doc").alias("leader"))
+    stars = long.join(leaders, "key").where(f"doc <> leader and {den} * least(n, ln) >= {num} * greatest(n, ln)").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
     pairs = materialize(pairs.union(stars).distinct())
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).union(long.select("doc")).distinct()
     sets = materialize(sets_of(docs, ids, k))

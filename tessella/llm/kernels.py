@@ -86,18 +86,18 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
         return mix(acc + _U(k_))
 
 
-def batch_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def batch_hashes(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of several texts in one array, with each text's first word (one offset more than texts)."""
     every: list[bytes] = []
     offsets = np.zeros(len(texts) + 1, np.int64)
     for i, t in enumerate(texts):
         if t:
-            every += t.encode("utf-8", "surrogatepass").lower().split()
+            every += (t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")).lower().split()
         offsets[i + 1] = len(every)
     return hash_words(every), offsets
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | bytes | None], k: int) -> list[np.ndarray]:
     """Per text: its sorted distinct shingle hashes."""
     h, offsets = batch_hashes(texts)
     whole = shingles(h, k) if len(h) >= k else h[:0]

@@ -29,17 +29,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-import pickle
-import uuid
 
 import numpy as np
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_map, materialize, parallelism, shared_dir, slices, table
-from .warc import _filesystem
+from .blocks import Store, blocks_of, cuts_of, expand, grouped, squeeze
+from .common import arrow_map, materialize, parallelism, shared_dir, table
 
 LENGTH, CORE, SYMBOL, CAP, HOT = 200, 120, 50, 256, 4000
 #: Bytes of text in a block (more only where one document has more), and for each hash range.
@@ -134,19 +131,6 @@ class Contexts:
         return self.texts[self.doc[i]][self.first[i] : self.first[i] + self.size[i] + self.length - 1]
 
 
-def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
-    return np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys))
-
-
-def _squeeze(x) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else x.tobytes())
-
-
-def _expand(x: bytes, kind=None):
-    data = zstandard.ZstdDecompressor().decompress(x)
-    return data if kind is None else np.frombuffer(data, kind)
-
-
 def transform(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, symbol: int, order: int) -> tuple[np.ndarray, np.ndarray]:
     """A shard's bounded-order transform: for its suffixes in order, where they begin and the symbol before them.
 
@@ -226,54 +210,6 @@ def repeated_windows(shards: list[list[bytes]], length: int = LENGTH, symbol: in
     return out
 
 
-class _Store:
-    """Blocks of documents in the shared folder, under names and with contents that a retry makes again."""
-
-    def __init__(self, folder: str):
-        self.filesystem, self.root = _filesystem(folder)
-
-    def put(self, number: int, ids: list, texts: list[bytes]) -> None:
-        self.filesystem.create_dir(self.root, recursive=True)
-        scratch = f"{self.root}/{number}.{uuid.uuid4().hex}"
-        with self.filesystem.open_output_stream(scratch, compression=None) as f:
-            f.write(zstandard.ZstdCompressor(level=3).compress(pickle.dumps((ids, texts), protocol=5)))
-        self.filesystem.move(scratch, f"{self.root}/{number}")
-
-    def get(self, number: int) -> tuple[list, list[bytes]]:
-        with self.filesystem.open_input_stream(f"{self.root}/{number}", compression=None) as f:
-            return pickle.loads(zstandard.ZstdDecompressor().decompress(f.read()))
-
-
-def _blocks(batches, most: int):
-    ids, texts, total = [], [], 0
-    for whole in batches:
-        for b in slices(whole, "text"):
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                data = (t or "").encode("utf-8", "surrogatepass")
-                if ids and total + len(data) > most:
-                    yield ids, texts
-                    ids, texts, total = [], [], 0
-                ids.append(i)
-                texts.append(data)
-                total += len(data)
-    if ids:
-        yield ids, texts
-
-
-def _grouped(batches, key: str, columns: tuple[str, ...]):
-    """(key, rows) of rows that are sorted by key, across batches."""
-    now, held = None, []
-    for b in batches:
-        for k, *row in zip(*(b.column(c).to_pylist() for c in (key, *columns)), strict=True):
-            if k != now:
-                if held:
-                    yield now, held
-                now, held = k, []
-            held.append(row)
-    if held:
-        yield now, held
-
-
 def mark_contexts(docs: DataFrame, folder: str, ranges: int, length: int, core: int, most: int) -> DataFrame:
     """(block, range, code): for a block's distinct contexts, in order, the flags REPEATED, SEND, SPREAD."""
     bits = max(1, (ranges - 1).bit_length())
@@ -281,26 +217,26 @@ def mark_contexts(docs: DataFrame, folder: str, ranges: int, length: int, core:
     def send(batches):
         from pyspark import TaskContext
 
-        store = _Store(folder)
-        for n, (ids, texts) in enumerate(_blocks(batches, most)):
+        store = Store(folder)
+        for n, (ids, texts) in enumerate(blocks_of(batches, most)):
             number = TaskContext.get().partitionId() << 24 | n
             store.put(number, ids, texts)
             c = Contexts(texts, length, core)
-            cuts = _cuts(c.keys, bits)
+            cuts = cuts_of(c.keys, bits)
             yield {"block": [number], "range": [-1], "keys": [b""], "digests": [b""], "times": [b""]}  # every block has a row, contexts or not
             for r in range(1 << bits):
                 lo, hi = int(cuts[r]), int(cuts[r + 1])
                 if hi > lo:
-                    yield {"block": [number], "range": [r], "keys": [c.keys[lo:hi].tobytes()], "digests": [c.digests[lo:hi].tobytes()], "times": [_squeeze(c.times[lo:hi])]}
+                    yield {"block": [number], "range": [r], "keys": [c.keys[lo:hi].tobytes()], "digests": [c.digests[lo:hi].tobytes()], "times": [squeeze(c.times[lo:hi])]}
 
     def add(batches):
-        for r, rows in _grouped(batches, "range", ("block", "keys", "digests", "times")):
+        for r, rows in grouped(batches, "range", ("block", "keys", "digests", "times")):
             if r < 0:
                 yield {"block": [x[0] for x in rows], "range": [-1] * len(rows), "code": [None] * len(rows)}
                 continue
             key = np.concatenate([np.frombuffer(x[1], np.uint64) for x in rows])
             digest = np.concatenate([np.frombuffer(x[2], np.uint64) for x in rows])
-            times = np.concatenate([_expand(x[3], np.uint8) for x in rows]).astype(np.int64)
+            times = np.concatenate([expand(x[3], np.uint8) for x in rows]).astype(np.int64)
             order = np.lexsort((digest, key))  # stable: of equal contexts the first block's comes first
             key, digest = key[order], digest[order]
             group = np.concatenate(([0], (key[1:] != key[:-1]).cumsum()))
@@ -317,7 +253,7 @@ def mark_contexts(docs: DataFrame, folder: str, ranges: int, length: int, core:
             at = 0
             for x in rows:
                 m = len(x[1]) // 8
-                yield {"block": [x[0]], "range": [r], "code": [_squeeze(back[at : at + m])]}
+                yield {"block": [x[0]], "range": [r], "code": [squeeze(back[at : at + m])]}
                 at += m
 
     sent = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), send, "block long, range int, keys binary, digests binary, times binary")
@@ -326,7 +262,7 @@ def mark_contexts(docs: DataFrame, folder: str, ranges: int, length: int, core:
 
 
 def _codes(c: Contexts, rows: list) -> np.ndarray:
-    parts = [_expand(x, np.uint8) for _, x in sorted(((r, x) for r, x in rows if r >= 0))]
+    parts = [expand(x, np.uint8) for _, x in sorted(((r, x) for r, x in rows if r >= 0))]
     code = np.concatenate(parts) if parts else np.empty(0, np.uint8)
     if len(code) != len(c.keys):
         raise RuntimeError("a block and its answers don't belong together")
@@ -338,17 +274,17 @@ def find_repeats(codes: DataFrame, folder: str, ranges: int, length: int, core:
     bits = max(1, (ranges - 1).bit_length())
 
     def send(batches):
-        store = _Store(folder)
-        for number, rows in _grouped(batches, "block", ("range", "code")):
+        store = Store(folder)
+        for number, rows in grouped(batches, "block", ("range", "code")):
             c = Contexts(store.get(number)[1], length, core)
             code = _codes(c, rows)
             plain = np.flatnonzero((code & SEND > 0) & (code & SPREAD == 0))
-            cuts = _cuts(c.keys[plain], bits)
+            cuts = cuts_of(c.keys[plain], bits)
             for r in range(1 << bits):
                 which = plain[cuts[r] : cuts[r + 1]]
                 if len(which):
                     texts = [c.bytes_of(c.own[i]) for i in which]
-                    yield {"range": [r], "kind": [0], "block": [number], "which": [which.astype(np.int64).tobytes()], "keys": [c.keys[which].tobytes()], "sizes": [np.array([len(t) for t in texts], np.int32).tobytes()], "data": [_squeeze(b"".join(texts))]}
+                    yield {"range": [r], "kind": [0], "block": [number], "which": [which.astype(np.int64).tobytes()], "keys": [c.keys[which].tobytes()], "sizes": [np.array([len(t) for t in texts], np.int32).tobytes()], "data": [squeeze(b"".join(texts))]}
             spread = np.flatnonzero(code & SPREAD > 0)
             if len(spread):
                 digest, owner, offset = [], [], []
@@ -360,7 +296,7 @@ def find_repeats(codes: DataFrame, folder: str, ranges: int, length: int, core:
                 digest, owner, offset = map(np.concatenate, (digest, owner, offset))
                 order = np.argsort(digest, kind="stable")
                 digest, owner, offset = digest[order], owner[order], offset[order]
-                cuts = _cuts(digest, bits)
+                cuts = cuts_of(digest, bits)
                 for r in range(1 << bits):
                     part = slice(int(cuts[r]), int(cuts[r + 1]))
                     if part.stop > part.start:
@@ -397,7 +333,7 @@ def find_repeats(codes: DataFrame, folder: str, ranges: int, length: int, core:
             for block, which, keys, sizes, data in rows:
                 sizes = np.frombuffer(sizes, np.int32)
                 ends = np.cumsum(sizes)
-                data = _expand(data)
+                data = expand(data)
                 items += zip(np.frombuffer(keys, np.uint64).tolist(), [block] * len(sizes), np.frombuffer(which, np.int64).tolist(), [data[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], strict=True)
             items.sort(key=lambda x: x[0])
             i = 0
@@ -416,7 +352,7 @@ def find_repeats(codes: DataFrame, folder: str, ranges: int, length: int, core:
                 yield {"block": [block], "range": [r], "which": [np.concatenate(which).tobytes()], "start": [np.concatenate(start).tobytes()]}
 
     def _grouped2(batches):
-        for r, rows in _grouped(batches, "range", ("kind", "block", "which", "keys", "sizes", "data")):
+        for r, rows in grouped(batches, "range", ("kind", "block", "which", "keys", "sizes", "data")):
             for kind in (0, 1):
                 own = [x[1:] for x in rows if x[0] == kind]
                 if own:
@@ -462,8 +398,8 @@ def _plan(docs: DataFrame, length: int, core: int, symbol: int, block: int):
 
 
 def _with_spans(batches, folder: str, length: int, core: int):
-    store = _Store(folder)
-    for number, rows in _grouped(batches, "block", ("range", "code", "which", "start")):
+    store = Store(folder)
+    for number, rows in grouped(batches, "block", ("range", "code", "which", "start")):
         ids, texts = store.get(number)
         c = Contexts(texts, length, core)
         code = _codes(c, [(r, x) for r, x, w, _ in rows if w is None])
