@@ -71,3 +71,22 @@ def grouped(batches, key: str, columns: tuple[str, ...]):
             held.append(row)
     if held:
         yield now, held
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Integers by byte planes, so that high bytes, which are mostly alike, take no room."""
+    return squeeze(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T))
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(expand(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted unsigned 64-bit integers as the gaps between them."""
+    return pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .blocks import Store, blocks_of, cuts_of, expand, grouped, squeeze
+from .blocks import Store, blocks_of, cuts_of, expand, grouped, pack_sorted, squeeze, unpack_sorted
 from .common import arrow_map, materialize, parallelism, shared_dir, slices, table
 from .graph import components
 
@@ -69,15 +69,14 @@ def document_frequencies(docs: DataFrame, folder: str, k: int, ranges: int, bits
             for r in range(1 << top):
                 lo, hi = int(cuts[r]), int(cuts[r + 1])
                 if hi > lo:
-                    gaps = np.diff(slots[lo:hi], prepend=np.uint64(0))
-                    yield {"block": [number], "range": [r], "gaps": [squeeze(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T))], "times": [squeeze(np.minimum(times[lo:hi], 255).astype(np.uint8))]}
+                    yield {"block": [number], "range": [r], "gaps": [pack_sorted(slots[lo:hi])], "times": [squeeze(np.minimum(times[lo:hi], 255).astype(np.uint8))]}
 
     def add(batches):
         for r, rows in grouped(batches, "range", ("block", "gaps", "times")):
             if r < 0:
                 yield {"block": [x[0] for x in rows], "range": [-1] * len(rows), "df": [None] * len(rows)}
                 continue
-            slots = [np.cumsum(np.ascontiguousarray(expand(x[1], np.uint8).reshape(8, -1).T).view(np.uint64).ravel()) for x in rows]
+            slots = [unpack_sorted(x[1]) for x in rows]
             _, index = np.unique(np.concatenate(slots), return_inverse=True)
             total = np.minimum(np.bincount(index, weights=np.concatenate([expand(x[2], np.uint8) for x in rows])), 255).astype(np.uint8)[index]
             at = 0

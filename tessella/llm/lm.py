@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .blocks import pack, pack_sorted, unpack, unpack_sorted
 from .common import arrow_map, materialize, parallelism, shared_dir, slices, table
 from .warc import _filesystem
 
 ORDER = 2
 #: Tokens of a block; more only where one document has more.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Bytes of text for each range of hashes.
 RANGE_BYTES = 8 << 20
 LEVELS, ZERO, STEPS = 21, 127, 60
@@ -65,13 +66,12 @@ class Block:
         self.ids, self.folds, self.lengths, self.index, self.distinct = ids, folds, lengths, index, distinct
 
     def dump(self) -> bytes:
-        return zlib.compress(pickle.dumps((self.ids, self.folds, self.lengths, self.distinct)), 1), zlib.compress(np.ascontiguousarray(self.index.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+        return pickle.dumps((self.ids, self.folds, self.lengths, pack(self.index), pack_sorted(self.distinct)))
 
     @classmethod
-    def load(cls, head: bytes, body: bytes) -> Block:
-        ids, folds, lengths, distinct = pickle.loads(zlib.decompress(head))
-        index = np.ascontiguousarray(np.frombuffer(zlib.decompress(body), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-        return cls(ids, folds, lengths, index, distinct)
+    def load(cls, data: bytes) -> Block:
+        ids, folds, lengths, index, distinct = pickle.loads(data)
+        return cls(ids, folds, lengths, unpack(index, np.int32), unpack_sorted(distinct))
 
     def keys(self, order: int) -> list[np.ndarray]:
         h = self.distinct[self.index]
@@ -123,11 +123,10 @@ def counted_blocks(docs: DataFrame, folder: str, order: int = ORDER, block: int
         filesystem.create_dir(root, recursive=True)
         for n, blk in enumerate(_blocks(batches, block)):
             number = TaskContext.get().partitionId() << 24 | n
-            head, body = blk.dump()
             name = f"{root}/{number}"
             scratch = f"{name}.{uuid.uuid4().hex}"
             with filesystem.open_output_stream(scratch, compression=None) as f:
-                f.write(len(head).to_bytes(8, "big") + head + body)
+                f.write(blk.dump())
             filesystem.move(scratch, name)  # a retry puts the same content there
             keys = blk.keys(order)
             distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
@@ -139,19 +138,19 @@ def counted_blocks(docs: DataFrame, folder: str, order: int = ORDER, block: int
             for r in range(1 << bits):
                 lo, hi = int(cuts[r]), int(cuts[r + 1])
                 if hi > lo:
-                    yield {"block": [number], "range": [r], "keys": [distinct[lo:hi].tobytes()], "a": [zlib.compress(a[lo:hi].tobytes(), 1)], "e": [zlib.compress(e[lo:hi].tobytes(), 1)]}
+                    yield {"block": [number], "range": [r], "keys": [pack_sorted(distinct[lo:hi])], "a": [pack(a[lo:hi])], "e": [pack(e[lo:hi])]}
 
     def add(batches):
         """All blocks' rows of a range stand together: sum them, answer each block."""
         now, held = None, []
 
         def answer():
-            keys = [np.frombuffer(x[1], np.uint64) for x in held]
+            keys = [unpack_sorted(x[1]) for x in held]
             sizes = np.cumsum([0] + [len(k) for k in keys])
             distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
             total = []
             for n in (2, 3):
-                own = np.concatenate([np.frombuffer(zlib.decompress(x[n]), np.uint32) for x in held])
+                own = np.concatenate([unpack(x[n], np.uint32) for x in held])
                 total.append(np.bincount(index, weights=own, minlength=len(distinct)).astype(np.int64))
             one = (distinct & np.uint64(3)) == 0
             a, e = total[0][one], total[1][one]
@@ -159,7 +158,7 @@ def counted_blocks(docs: DataFrame, folder: str, order: int = ORDER, block: int
             yield {"block": [-1], "range": [now], "n": [0], "check": [0], "a": [None], "e": [None], "sums": [sums.tolist()]}
             for k, (x, lo, hi) in enumerate(zip(held, sizes[:-1], sizes[1:], strict=True)):
                 check = int(np.bitwise_xor.reduce(keys[k]).view(np.int64))
-                yield {"block": [x[0]], "range": [now], "n": [int(hi - lo)], "check": [check], "a": [_pack(total[0][index[lo:hi]])], "e": [_pack(total[1][index[lo:hi]])], "sums": [None]}
+                yield {"block": [x[0]], "range": [now], "n": [int(hi - lo)], "check": [check], "a": [pack(total[0][index[lo:hi]])], "e": [pack(total[1][index[lo:hi]])], "sums": [None]}
 
         for b in batches:
             for r, *row in zip(*(b.column(c).to_pylist() for c in ("range", "block", "keys", "a", "e")), strict=True):
@@ -176,15 +175,6 @@ def counted_blocks(docs: DataFrame, folder: str, order: int = ORDER, block: int
     return arrow_map(dealt, add, "block long, range int, n long, check long, a binary, e binary, sums array<long>")
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64).tobytes(), 1)
-
-
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    raw = zlib.decompress(data)
-    return np.frombuffer(raw, np.uint32 if len(raw) == 4 * n else np.uint64)
-
-
 def _with_counts(batches, folder: str, order: int):
     """Each block with its keys' indices and its counts, as its rows come in the order of ranges."""
     filesystem, root = _filesystem(folder)
@@ -192,12 +182,10 @@ def _with_counts(batches, folder: str, order: int):
 
     def load():
         with filesystem.open_input_stream(f"{root}/{now}", compression=None) as f:
-            data = f.read()
-        size = int.from_bytes(data[:8], "big")
-        blk = Block.load(data[8 : 8 + size], data[8 + size :])
+            blk = Block.load(f.read())
         distinct, index = np.unique(np.concatenate(blk.keys(order)), return_inverse=True)
-        a = np.concatenate([_unpack(x[2], x[0]) for x in rows]).astype(np.int64)
-        e = np.concatenate([_unpack(x[3], x[0]) for x in rows]).astype(np.int64)
+        a = np.concatenate([unpack(x[2], np.int64) for x in rows])
+        e = np.concatenate([unpack(x[3], np.int64) for x in rows])
         check = 0
         for x in rows:
             check ^= x[1]
