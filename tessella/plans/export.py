@@ -97,13 +97,15 @@ def snapshot(posts: DataFrame, files: DataFrame) -> dict:
     """envelopes, gaps, assets, files by role: all DataFrames of an export, nothing written."""
     hashed = M.hashed(files).persist()  # hashing is dear, and four plans use it
     refs, gaps, assets, problems = M.attach(posts, hashed)
+    refs, gaps = refs.persist(), gaps.persist()
     _refuse(problems, "media that fits no rule")
     empty = gaps.where("reason = 'empty_file'")
     used = hashed.select("relative", "length", "account_dir", "post_dir", "name", "media_type")
     roles = refs.select("kind", "relative", "length")
     lost = used.where("length = 0").withColumn("kind", F.when(F.col("post_dir") == "profile", "avatar").when(F.col("media_type") == "video", "video").when(F.col("name").startswith("cover."), "cover").otherwise("slide"))
     lost = lost.join(empty.select(F.lower("account").alias("a")).distinct(), F.lower("account_dir") == F.col("a"), "left_semi").select("kind", "relative", "length")
-    return {"posts": M.envelopes(posts, refs, gaps), "missing": gaps, "assets": assets, "files": roles.unionByName(lost)}
+    # each is read by several counts and writes
+    return {"posts": M.envelopes(posts, refs, gaps).persist(), "missing": gaps, "assets": assets.persist(), "files": roles.unionByName(lost).persist()}
 
 
 def counts(posts: DataFrame, gaps: DataFrame, assets: DataFrame, refs_files: DataFrame, duplicates: int) -> dict:

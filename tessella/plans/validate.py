@@ -133,6 +133,7 @@ def violations(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([("V0", "package", str(e)[:300])], "rule string, key string, detail string")
     files = binary_files(spark, root)
     base = folder.resolve().as_posix()
+    posts, assets, gaps, sums = (x.persist() for x in (posts, assets, gaps, sums))  # two dozen rules read them
     files = files.select(F.expr(f"substring_index(path, '{base}/', -1)").alias("name"), "length", F.sha2("content", 256).alias("sha256")).persist()
     n = [x.count() for x in (posts, assets, gaps)]
     rows = manifest_violations(manifest, *n) + [("V24", p.relative_to(folder).as_posix(), "symbolic link") for p in links]
