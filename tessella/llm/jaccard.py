@@ -9,8 +9,9 @@ If c1 is rare, it is indexed alone. If it is frequent, so is c2, and the pair (c
 indexed. For sets too large for pairs of tokens (more than ``BIG`` shingles; from 0.9 of that on,
 so that no linked pair falls between) frequent shingles are indexed alone.
 
-Candidates are the pairs that share an index key and whose sizes, without the shingles that no
-other document holds, allow a link. Lists of up to ``SHORT`` sets give all their
+Candidates are the pairs that share an index key and that two exact bounds allow to link: one by
+their sizes without the shingles that no other document holds, one by parity bits of their sets.
+Lists of up to ``SHORT`` sets give all their
 pairs. In longer lists (large groups of near copies) every set is first held against a few
 leaders; what linked is one component by then, and only pairs across components remain, which are
 all tried. Every pair is verified on the full sets, so no link is lost and none is false.
@@ -42,6 +43,7 @@ BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 #: Bits of the filter that keeps scans from making sets that are in no list (4 MB, whatever the input).
 FILTER_BITS = 25
 SHORT, BIG, LEADERS = 16, 1000, 8
+PARITY = tuple(f"h{i}" for i in range(8))
 
 
 def needed(n: np.ndarray | int, num: int = NUM, den: int = DEN):
@@ -143,27 +145,35 @@ def shingle_classes(frequencies: DataFrame, folder: str, k: int, bits: int, num:
             df, at, start = df[index], 0, 0
             del slots, index
             for part in _portions(texts):
-                n, free, sig, keys = [], [], [], []
+                n, free, parity, sig, keys = [], [], [], [], []
                 for s in K.shingle_sets(part, k):
                     n.append(len(s))
                     free.append(int((df[at : at + len(s)] > 1).sum()))
+                    parity.append(parities(s))
                     sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     keys.append(row(s, df[at : at + len(s)]))
                     at += len(s)
-                yield {"doc_id": ids[start : start + len(part)], "n": n, "free": free, "sig": sig, "keys": keys}
+                yield {"doc_id": ids[start : start + len(part)], "n": n, "free": free, "parity": parity, "sig": sig, "keys": keys}
                 start += len(part)
 
     by_block = frequencies.repartition("block").sortWithinPartitions("block", "range").select("block", "range", "df")
-    return arrow_map(by_block, run, "doc_id long, n long, free long, sig binary, keys binary")
+    return arrow_map(by_block, run, "doc_id long, n long, free long, parity array<long>, sig binary, keys binary")
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the shingles of one hash slot: two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """(key, doc, n, free) for every index key of every representative."""
+    """(key, doc, n, free, h0..h7) for every index key of every representative."""
 
     def run(batches):
         for b in batches:
             docs, sizes, free = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "n", "free"))
             keys = [np.frombuffer(x, np.int64) for x in b.column("keys").to_pylist()]
+            parity = np.array(b.column("parity").to_pylist(), np.int64).reshape(-1, 8)
             at = 0
             while at < len(keys):  # a bounded number of keys at a time
                 end, total = at, 0
@@ -171,10 +181,10 @@ def postings(reps: DataFrame) -> DataFrame:
                     total += len(keys[end])
                     end += 1
                 count = [len(x) for x in keys[at:end]]
-                yield {"key": np.concatenate(keys[at:end]), "doc": np.repeat(docs[at:end], count), "n": np.repeat(sizes[at:end], count), "free": np.repeat(free[at:end], count)}
+                yield {"key": np.concatenate(keys[at:end]), "doc": np.repeat(docs[at:end], count), "n": np.repeat(sizes[at:end], count), "free": np.repeat(free[at:end], count)} | {f"h{i}": np.repeat(parity[at:end, i], count) for i in range(8)}
                 at = end
 
-    return arrow_map(reps.select("doc", "n", "free", "keys"), run, "key long, doc long, n long, free long")
+    return arrow_map(reps.select("doc", "n", "free", "parity", "keys"), run, "key long, doc long, n long, free long, " + ", ".join(f"{h} long" for h in PARITY))
 
 
 def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
@@ -246,21 +256,23 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int
     frequencies = materialize(document_frequencies(docs, folder, k, ranges, bits))
     rows = materialize(shingle_classes(frequencies, folder, k, bits, num, den))
     classes = (
-        rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("free").alias("free"), F.first("keys").alias("keys"))
+        rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("free").alias("free"), F.first("parity").alias("parity"), F.first("keys").alias("keys"))
     )
     classes = materialize(classes)
     posted = materialize(postings(classes.where("n > 1")))
     counts = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     listed = materialize(posted.join(counts, "key"))
-    # an intersection holds only what both share with anyone, which bounds it before any set is fetched
-    alike = f"{den} * least(x.free, y.free) >= {num} * (x.n + y.n - least(x.free, y.free))"
-    low = listed.where(f"c <= {short}").select("key", "doc", "n", "free")
+    # two exact bounds before any set is fetched: an intersection holds only what both share with
+    # anyone, and a difference has at least as many shingles as parities that differ
+    apart = " + ".join(f"bit_count(x.{h} ^ y.{h})" for h in PARITY)
+    alike = f"{den} * least(x.free, y.free) >= {num} * (x.n + y.n - least(x.free, y.free)) and {den + num} * ({apart}) <= {den - num} * (x.n + y.n)"
+    low = listed.where(f"c <= {short}").select("key", "doc", "n", "free", *PARITY)
     pairs = low.alias("x").join(low.alias("y"), "key").where(f"x.doc < y.doc and {alike}").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    long = listed.where(f"c > {short}").select("key", "doc", "n", "free")
+    long = listed.where(f"c > {short}").select("key", "doc", "n", "free", *PARITY)
     # the leaders of a list: the most central sets, with the most shingles that others hold, so that
     # lists of one group mostly share theirs
     rank = Window.partitionBy("key").orderBy(F.desc("free"), F.xxhash64("doc"), "doc")
-    leaders = long.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LEADERS).select("key", "n", "free", "doc")
+    leaders = long.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LEADERS).select("key", "n", "free", "doc", *PARITY)
     stars = long.alias("x").join(leaders.alias("y"), "key").where(f"x.doc <> y.doc and {alike}").select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
     pairs = materialize(pairs.union(stars).distinct())
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).union(long.select("doc")).distinct()
@@ -272,7 +284,7 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int
     edges = links.select("a", "b").union(same)
     found = components(edges)
     if not long.isEmpty():
-        label = long.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "free", F.coalesce("component", "doc").alias("c"))
+        label = long.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "free", *PARITY, F.coalesce("component", "doc").alias("c"))
         split = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         label = materialize(label.join(split, "key"))
         # across components only, and a pair that was tried against the leader isn't tried again
