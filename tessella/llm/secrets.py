@@ -1,8 +1,8 @@
 """Secret scans with password guess-cost dynamic programming (operator 9).
 
 Base patterns find assignments, access keys and hexadecimal runs. On top of them, values in
-credential context (what follows password, pwd, passphrase, ... in wider forms than the base
-pattern) are cut into words, dates, repeats, keyboard walks, sequences and brute-force spans at
+credential context (what follows an identifier with password, pwd, passphrase, ... in it, quoted
+values with their blanks) are cut into words, dates, repeats, keyboard walks, sequences and brute-force spans at
 the least guess cost; a value that is dear to guess is a secret of kind ``guess``. Cheap values
 (placeholders, common words) add nothing; base spans always stay.
 
@@ -26,11 +26,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
-#: Contexts of the added spans: keyword, then = : is -> or blanks with a quote, then a value up to white space or a closing quote.
-CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth(?:_key)?|private[_-]?key)["']?[ \t]*(?:[:=]+>?|->|is[ \t])[ \t]*(?:"([^"\s]+)"|'([^'\s]+)'|([^\s"'<>,;]+))""",
-    re.I | re.A,
-)
+#: Keywords of the added spans; they may stand anywhere in an identifier (DB_PASSWORD, MyPassword, client_secret, secret_key).
+KEYWORD = re.compile(r"pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credential|auth|private[_-]?key", re.I | re.A)
+#: From the end of a keyword: the rest of its identifier; then = : -> or is; then a value up to the closing quote on its line, or up to white space.
+REST = re.compile(r"\w*+(?:-\w++)*+", re.A)
+BETWEEN = re.compile(r"""["']?[ \t]*+(?:[:=]+>?|->|(is[ \t]))[ \t]*+""", re.I | re.A)
+VALUE = re.compile(r"""(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"'<>,;]+))""", re.A)
+#: Ordinary words that hold a keyword but name no credential.
+ORDINARY = re.compile(r"author(?:s|ed|ity|ities|ship)?|pass(?:age|enger|ion|port)s?|passive(?:ly)?|(?:by|com|encom|over|sur|tres|under)pass(?:es|ed)?|secretar(?:y|ies|iat)|tokeni[sz]\w*", re.I | re.A)
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "api", "credential", "auth", "private")
 #: Words by assumed rank, most usual first; a parameter of the operator.
 WORDS = (
@@ -154,6 +157,49 @@ class GuessCost:
 _HEX_BYTES = bytes(ord("x") if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 
+def _edge(text: str, i: int) -> bool:
+    """Whether a part of an identifier may begin or end at i: no letters on both sides, but where lower case meets upper."""
+    a, b = text[i - 1 : i], text[i : i + 1]
+    return not (a.isascii() and a.isalpha() and b.isascii() and b.isalpha()) or a.islower() and b.isupper()
+
+
+def contexts(text: str) -> Iterable[tuple[int, int]]:
+    """(start, end) of every value in credential context, in linear time.
+
+    With = : -> the keyword may have letters on either side (dbpassword, secretkey) unless they make
+    an ordinary word; with "is", as in prose, it must be a part of its own.
+    """
+    at = 0
+    while m := KEYWORD.search(text, at):
+        at = REST.match(text, m.end()).end()  # the whole identifier has one value
+        between = BETWEEN.match(text, at)
+        if not between:
+            continue
+        keys = KEYWORD.finditer(text, m.start(), at)
+        if between[1]:
+            if not any(_edge(text, k.start()) and _edge(text, k.end()) for k in keys):
+                continue
+        elif all(_ordinary(text, k) for k in keys):
+            continue
+        at = between.end()
+        if value := VALUE.match(text, at):
+            a, b = value.span(value.lastindex)
+            yield a, b
+            # a bare word may be the next keyword (secret: password = ...), anything else is done with
+            if value.lastindex < 3 or ":" in (inner := text[a:b].rstrip(":=")) or "=" in inner:
+                at = value.end()
+
+
+def _ordinary(text: str, key: re.Match) -> bool:
+    """Whether the letters around a keyword (a few at each side suffice) are an ordinary word."""
+    a, b = key.span()
+    while a > 0 and key.start() - a < 8 and text[a - 1].isascii() and text[a - 1].isalpha():
+        a -= 1
+    while b < len(text) and b - key.end() < 16 and text[b].isascii() and text[b].isalpha():
+        b += 1
+    return ORDINARY.fullmatch(text, a, b) is not None
+
+
 def scan(text: str | None, model: GuessCost, least: float = MIN_LOG10_GUESSES) -> list[tuple[int, int, int]]:
     """(start, index of kind, end) of all spans, sorted; offsets are code points, ends exclusive."""
     if not text:
@@ -166,8 +212,7 @@ def scan(text: str | None, model: GuessCost, least: float = MIN_LOG10_GUESSES) -
     if b"x" * 24 in text.encode("utf-8", "surrogatepass").translate(_HEX_BYTES):
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(h in low for h in CONTEXT_HINTS):
-        for m in CONTEXT.finditer(text):
-            a, b = m.span(m.lastindex)
+        for a, b in contexts(text):
             if b - a >= 6 and model.segments(text[a:b])[0] >= least:
                 out.append((a, 3, b))
     return sorted(out)
