@@ -17,7 +17,8 @@ leaders; what linked is one component by then, and only pairs across components
 all tried. Every pair is verified on the full sets, so no link is lost and none is false.
 
 Null and empty texts have empty sets, link with nothing and are their own component; so do rows
-of a null id, whose component is null. Rows of one id are one node. Extra columns are ignored.
+of a null id, whose component is null. Rows of one id are one node, and each of their texts links
+for it. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def shingle_classes(frequencies: DataFrame, folder: str, k: int, bits: int, num:
                     n.append(len(s))
                     free.append(int((df[at : at + len(s)] > 1).sum()))
                     parity.append(parities(s))
-                    sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    sig.append(digest(s))
                     keys.append(row(s, df[at : at + len(s)]))
                     at += len(s)
                 yield {"doc_id": ids[start : start + len(part)], "n": n, "free": free, "parity": parity, "sig": sig, "keys": keys}
@@ -160,6 +161,11 @@ def shingle_classes(frequencies: DataFrame, folder: str, k: int, bits: int, num:
     return arrow_map(by_block, run, "doc_id long, n long, free long, parity array<long>, sig binary, keys binary")
 
 
+def digest(s: np.ndarray) -> bytes | None:
+    """What equal sets share; None for the empty set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def parities(s: np.ndarray) -> np.ndarray:
     """512 bits, each the parity of the shingles of one hash slot: two sets differ in at least as many shingles as bits."""
     odd = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1
@@ -167,11 +173,11 @@ def parities(s: np.ndarray) -> np.ndarray:
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """(key, doc, n, free, h0..h7) for every index key of every representative."""
+    """(key, doc, tag, n, free, h0..h7) for every index key of every representative."""
 
     def run(batches):
         for b in batches:
-            docs, sizes, free = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "n", "free"))
+            docs, tags, sizes, free = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag", "n", "free"))
             keys = [np.frombuffer(x, np.int64) for x in b.column("keys").to_pylist()]
             parity = np.array(b.column("parity").to_pylist(), np.int64).reshape(-1, 8)
             at = 0
@@ -181,10 +187,10 @@ def postings(reps: DataFrame) -> DataFrame:
                     total += len(keys[end])
                     end += 1
                 count = [len(x) for x in keys[at:end]]
-                yield {"key": np.concatenate(keys[at:end]), "doc": np.repeat(docs[at:end], count), "n": np.repeat(sizes[at:end], count), "free": np.repeat(free[at:end], count)} | {f"h{i}": np.repeat(parity[at:end, i], count) for i in range(8)}
+                yield {"key": np.concatenate(keys[at:end]), "doc": np.repeat(docs[at:end], count), "tag": np.repeat(tags[at:end], count), "n": np.repeat(sizes[at:end], count), "free": np.repeat(free[at:end], count)} | {f"h{i}": np.repeat(parity[at:end, i], count) for i in range(8)}
                 at = end
 
-    return arrow_map(reps.select("doc", "n", "free", "parity", "keys"), run, "key long, doc long, n long, free long, " + ", ".join(f"{h} long" for h in PARITY))
+    return arrow_map(reps.select("doc", "tag", "n", "free", "parity", "keys"), run, "key long, doc long, tag long, n long, free long, " + ", ".join(f"{h} long" for h in PARITY))
 
 
 def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
@@ -198,7 +204,7 @@ def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarra
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc, n, shingles) of the documents whose ids are listed (column doc) and of few others, made again from their texts."""
+    """(doc, tag, shingles) of every text of the documents whose ids are listed (column doc) and of few others, made again from their texts."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(id_filter(ids, "doc"))
 
@@ -211,10 +217,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             part = whole.filter(pa_bool(keep))
             for b in slices(part, "text", 1 << 20):
                 s = K.shingle_sets(b.column("text").to_pylist(), k)
-                yield {"doc": b.column("doc"), "shingles": [x.tobytes() for x in s]}
+                yield {"doc": b.column("doc"), "sig": [digest(x) for x in s], "shingles": [x.tobytes() for x in s]}
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
-    return arrow_map(rows, run, "doc long, shingles binary").dropDuplicates(["doc"])
+    return arrow_map(rows, run, "doc long, sig binary, shingles binary").select("doc", F.xxhash64("sig").alias("tag"), "shingles").dropDuplicates(["doc", "tag"])
 
 
 def pa_bool(x: np.ndarray):
@@ -224,8 +230,9 @@ def pa_bool(x: np.ndarray):
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The pairs (a, b) whose sets link, with their intersection and union."""
-    joined = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
+    """The pairs (a, b) whose sets (of tags ta, tb) link, with their intersection and union."""
+    joined = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tag").alias("ta"), F.col("shingles").alias("x")), ["a", "ta"])
+    joined = joined.join(sets.select(F.col("doc").alias("b"), F.col("tag").alias("tb"), F.col("shingles").alias("y")), ["b", "tb"])
 
     def run(batches):
         for b in batches:
@@ -258,7 +265,8 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int
     classes = (
         rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("free").alias("free"), F.first("parity").alias("parity"), F.first("keys").alias("keys"))
     )
-    classes = materialize(classes)
+    # a class goes by its smallest id, and by a tag of its set as rows of one id may differ in text
+    classes = materialize(classes.withColumn("tag", F.xxhash64("sig")))
     posted = materialize(postings(classes.where("n > 1")))
     counts = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     listed = materialize(posted.join(counts, "key"))
@@ -266,14 +274,17 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int
     # anyone, and a difference has at least as many shingles as parities that differ
     apart = " + ".join(f"bit_count(x.{h} ^ y.{h})" for h in PARITY)
     alike = f"{den} * least(x.free, y.free) >= {num} * (x.n + y.n - least(x.free, y.free)) and {den + num} * ({apart}) <= {den - num} * (x.n + y.n)"
-    low = listed.where(f"c <= {short}").select("key", "doc", "n", "free", *PARITY)
-    pairs = low.alias("x").join(low.alias("y"), "key").where(f"x.doc < y.doc and {alike}").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    long = listed.where(f"c > {short}").select("key", "doc", "n", "free", *PARITY)
+    low = listed.where(f"c <= {short}").select("key", "doc", "tag", "n", "free", *PARITY)
+    ends = [F.col("x.doc").alias("a"), F.col("x.tag").alias("ta"), F.col("y.doc").alias("b"), F.col("y.tag").alias("tb")]
+    pairs = low.alias("x").join(low.alias("y"), "key").where(f"x.doc < y.doc and {alike}").select(*ends)
+    long = listed.where(f"c > {short}").select("key", "doc", "tag", "n", "free", *PARITY)
     # the leaders of a list: the most central sets, with the most shingles that others hold, so that
     # lists of one group mostly share theirs
-    rank = Window.partitionBy("key").orderBy(F.desc("free"), F.xxhash64("doc"), "doc")
-    leaders = long.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LEADERS).select("key", "n", "free", "doc", *PARITY)
-    stars = long.alias("x").join(leaders.alias("y"), "key").where(f"x.doc <> y.doc and {alike}").select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+    rank = Window.partitionBy("key").orderBy(F.desc("free"), F.xxhash64("doc"), "doc", "tag")
+    leaders = long.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LEADERS).select("key", "n", "free", "doc", "tag", *PARITY)
+    first = F.expr("x.doc < y.doc")
+    stars = long.alias("x").join(leaders.alias("y"), "key").where(f"x.doc <> y.doc and {alike}")
+    stars = stars.select(F.least("x.doc", "y.doc").alias("a"), F.when(first, F.col("x.tag")).otherwise(F.col("y.tag")).alias("ta"), F.greatest("x.doc", "y.doc").alias("b"), F.when(first, F.col("y.tag")).otherwise(F.col("x.tag")).alias("tb"))
     pairs = materialize(pairs.union(stars).distinct())
     ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).union(long.select("doc")).distinct()
     sets = materialize(sets_of(docs, ids, k))
@@ -284,12 +295,12 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int
     edges = links.select("a", "b").union(same)
     found = components(edges)
     if not long.isEmpty():
-        label = long.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "free", *PARITY, F.coalesce("component", "doc").alias("c"))
+        label = long.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "tag", "n", "free", *PARITY, F.coalesce("component", "doc").alias("c"))
         split = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         label = materialize(label.join(split, "key"))
         # across components only, and a pair that was tried against the leader isn't tried again
-        rest = label.alias("x").join(label.alias("y"), "key").where(f"x.doc < y.doc and x.c <> y.c and {alike}").select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-        more = materialize(verify(rest.join(pairs, ["a", "b"], "left_anti"), sets, num, den))
+        rest = label.alias("x").join(label.alias("y"), "key").where(f"x.doc < y.doc and x.c <> y.c and {alike}").select(*ends).distinct()
+        more = materialize(verify(rest.join(pairs, ["a", "ta", "b", "tb"], "left_anti"), sets, num, den))
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
     return own.join(found, own.doc_id == found.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -88,3 +88,17 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (7, 7), (None, 3), (200, 150), (150, 200)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 101: 100, 102: 100, 150: 150, 200: 150}
+
+
+def test_each_text_of_a_repeated_id_links(spark):
+    r = random.Random(5)
+    words = lambda n: [f"v{r.randrange(500)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(40):  # four texts of one id, each with a near copy of another id
+        for j in range(4):
+            text = words(80)
+            rows += [(1000 + i, " ".join(text), None, None), (2000 + 4 * i + j, " ".join([*text, "end"]), None, None)]
+            want |= {1000 + i: 1000 + i, 2000 + 4 * i + j: 1000 + i}
+    r.shuffle(rows)
+    found = jaccard.jaccard_classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(found) == len(rows) and {x.doc_id: x.component_id for x in found} == want
