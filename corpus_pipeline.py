@@ -5,8 +5,8 @@ lang, source, n_chars; whatever columns docs has), but the last, which returns t
 The tables are: quality labels and benchmark items of ``sf_dir``. Each stage's input is written
 as Parquet and read again, so a lost executor repeats one stage's tasks only.
 
-Nulls, empty texts, repeated rows and empty tables are treated as each operator says; rows of a
-null id are kept by every filter but the quality one, which judges them by their text.
+Nulls, empty texts, repeated rows and empty tables are treated as each operator says; every filter
+judges a row by its own text, also where its id is null or other rows have it.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from tessella.llm.common import materialize, table
 
 #: A document goes if its score is below this.
 QUALITY = 0.3
+#: Column of the rows' own keys inside a stage.
+KEY = "_row_key"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,22 +31,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (five-word shingles, Jaccard 0.8) the one with the smallest id; of rows of one id the smallest text."""
-    classes = jaccard.jaccard_classes(docs, k=5, num=80, den=100)
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    # rows that share an id are one node: one of them stays
-    same = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("row"))
-    return kept.join(twice, "doc_id", "left_anti").unionByName(same.select(*(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns)))
+    """Of each group of linked documents (five-word shingles, Jaccard 0.8) the one with the smallest id.
+
+    Where ids are null or repeated every row gets a key of its own, so each is judged by its own
+    text: of linked rows the smallest by id (null ids last), then digest of the text, stays.
+    """
+    ids = docs.groupBy("doc_id").count()
+    if ids.where("doc_id is null or count > 1").isEmpty():
+        classes = jaccard.jaccard_classes(docs, k=5, num=80, den=100)
+        gone = classes.where("component_id <> doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows = materialize(docs.withColumn(KEY, F.monotonically_increasing_id()))
+    classes = jaccard.jaccard_classes(rows.select(F.col(KEY).alias("doc_id"), "text"), k=5, num=80, den=100).select(F.col("doc_id").alias(KEY), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", KEY)
+    linked = classes.join(classes.where(f"component_id <> {KEY}").select("component_id").distinct(), "component_id", "left_semi")
+    linked = linked.join(rows.select(KEY, "doc_id", F.sha1(F.col("text").cast("binary")).alias("digest")), KEY)
+    first = linked.groupBy("component_id").agg(F.min(order)[KEY].alias(KEY))
+    gone = linked.select(KEY).join(first, KEY, "left_anti")
+    return rows.join(gone, KEY, "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that contain no benchmark item."""
-    found = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows that contain no benchmark item, each judged by its own text, whatever its id."""
+    ids = docs.groupBy("doc_id").count()
+    unique = ids.where("doc_id is null or count > 1").isEmpty()
+    rows = docs.withColumn(KEY, F.col("doc_id")) if unique else materialize(docs.withColumn(KEY, F.monotonically_increasing_id()))
+    found = decontaminate.contained_items(rows.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

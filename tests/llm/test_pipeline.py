@@ -39,3 +39,22 @@ def test_last_stages_on_a_fixture(spark, tmp_path):
     model = secrets.GuessCost()
     assert all(not secrets.scan(t, model) for t in seen[3].values())
     assert len(quality.statistics("")) == len(quality.FEATURES)
+
+
+def test_rows_of_null_and_shared_ids(spark, tmp_path):
+    r = random.Random(2)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    item, a, b, c = text(20), text(60), text(60), text(60)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def left(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        return sorted(((x.doc_id, x.text) for x in got.collect()), key=str)
+
+    hit = f"{a} {item} {b}"
+    rows = [(None, hit), (None, a), (1, hit), (1, b), (2, c)]
+    assert left(P.decontamination_stage, rows) == sorted([(None, a), (1, b), (2, c)], key=str)
+    rows = [(None, a), (None, b), (1, a), (1, c), (2, f"{c} end"), (3, c)]
+    assert left(P.near_duplicate_stage, rows) == sorted([(None, b), (1, a), (1, c)], key=str)
