@@ -12,17 +12,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a long, b long) links to (node, component): the smallest id reachable, for every node with a link.
 
     Alternates large-star and small-star steps, each a pre-aggregated minimum joined back, until
-    the links are stars; every step is written to the shared folder. Loops and repeated links are
+    the links are stars; every step is written to the shared folder, the minima too, so that the
+    join with them splits a node of very many links. Loops and repeated links are
     harmless; null ends are ignored; no links give no rows.
     """
     links = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links, before = materialize(links), None
     for _ in range(most_rounds):
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         links = materialize(small)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

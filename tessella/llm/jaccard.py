@@ -6,19 +6,25 @@ the number of documents that hold them, counted over all documents. If two sets
 link, of a set of n shingles at most m = n - ceil(t n) are missing in the other, so their first
 common shingle c1 stands among the first m+1 of both, and their second, c2, among the first m+2.
 If c1 is rare, it is indexed alone. If it is frequent, so is c2, and the pair (c1, c2) is
-indexed. For sets too large for pairs of tokens (more than ``BIG`` shingles; from 0.9 of that on,
-so that no linked pair falls between) frequent shingles are indexed alone.
-
-Candidates are the pairs that share an index key and that two exact bounds allow to link: one by
-their sizes without the shingles that no other document holds, one by parity bits of their sets.
-Lists of up to ``SHORT`` sets give all their
-pairs. In longer lists (large groups of near copies) every set is first held against a few
-leaders; what linked is one component by then, and only pairs across components remain, which are
-all tried. Every pair is verified on the full sets, so no link is lost and none is false.
+indexed. Pairs of tokens grow with the square of a set, so of sets of more than ``BIG`` shingles
+the frequent ones are indexed alone (from 0.9 of that on, both ways, so that no linked pair falls
+between): a rule of cost, the results are the same.
+
+Every index entry says how many shingles of its set stand before it, which the other set lacks if
+this is their first common key. What both miss, and the difference of what is still to come, can't
+exceed the shingles in which linked sets may differ: entries that no other entry of their key can
+link with by that bound are cut first, in time linear in the entries, by the two least of each key.
+What is left of each key is held against up to ``LEADERS`` of its entries (one of each hash class,
+so that a hot key is aggregated before it is shuffled). Linked sets are components by then, and
+only entries of different components of a key can still add a link: the linear cut is made again
+against other components, and the pairs that pass the bound are tried. Every candidate pair is
+verified on the full sets by two independent hashes of each shingle, so no link is lost and none
+is false.
 
 Null and empty texts have empty sets, link with nothing and are their own component; so do rows
 of a null id, whose component is null. Rows of one id are one node, and each of their texts links
-for it. Extra columns are ignored.
+for it. Texts of any length are one set each; an empty table gives an empty table; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +44,13 @@ from .graph import components
 SHINGLE = 3
 #: Link if DEN * intersection >= NUM * union.
 NUM, DEN = 90, 100
-#: A shingle in more documents is frequent; slots of the frequency count have so many bits beyond the corpus's size.
-FREQUENT, SLOT_BITS = 64, 8
+#: A shingle in more documents is frequent (counts stop at 255); slots of the frequency count have so many bits beyond the corpus's size.
+FREQUENT, SLOT_BITS = 254, 8
 #: Bytes of text in a block (more only where one document has more), and for each range of slots.
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 #: Bits of the filter that keeps scans from making sets that are in no list (4 MB, whatever the input).
 FILTER_BITS = 25
-SHORT, BIG, LEADERS = 16, 1000, 8
-PARITY = tuple(f"h{i}" for i in range(8))
+BIG, LEADERS = 1000, 8
 
 
 def needed(n: np.ndarray | int, num: int = NUM, den: int = DEN):
@@ -70,10 +76,9 @@ def document_frequencies(docs: DataFrame, folder: str, k: int, ranges: int, bits
             yield {"block": [number], "range": [-1], "gaps": [b""], "times": [b""]}  # every block has a row
             slots, times = np.unique(all_slots(texts, k, bits), return_counts=True)
             cuts = cuts_of(slots << np.uint64(64 - bits), top)
-            for r in range(1 << top):
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
                 lo, hi = int(cuts[r]), int(cuts[r + 1])
-                if hi > lo:
-                    yield {"block": [number], "range": [r], "gaps": [pack_sorted(slots[lo:hi])], "times": [squeeze(np.minimum(times[lo:hi], 255).astype(np.uint8))]}
+                yield {"block": [number], "range": [r], "gaps": [pack_sorted(slots[lo:hi])], "times": [squeeze(np.minimum(times[lo:hi], 255).astype(np.uint8))]}
 
     def add(batches):
         for r, rows in grouped(batches, "range", ("block", "gaps", "times")):
@@ -112,28 +117,34 @@ def _portions(texts: list[bytes], most: int = 1 << 20):
         yield texts[start:]
 
 
+def index_entries(s: np.ndarray, df: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, misses) of a sorted set: its index keys and, for each, how many of its shingles a set lacks that has it as the first common key."""
+    n = len(s)
+    if n < 2:  # a set of one shingle links with its equals only
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
+    miss = n - needed(n, num, den)
+    # one order for all documents: by frequency, then by the hash (s is sorted and the sort is stable)
+    order = np.argsort(df, kind="stable")[: miss + 2]
+    s, df = s[order], df[order]
+    rare = int(np.searchsorted(df[: miss + 1], FREQUENT, "right"))
+    alone = int(np.searchsorted(df[:rare], 1, "right"))  # what is in one document only is in no other set
+    keys, misses = [s[alone:rare]], [np.arange(alone, rare)]
+    left = miss + 1 - rare
+    if left > 0:
+        often = s[rare:]
+        if n >= BIG * num // den:
+            keys.append(often[:left])
+            misses.append(np.arange(rare, rare + left))
+        if n <= BIG:
+            i, j = np.triu_indices(len(often), 1)
+            with np.errstate(over="ignore"):
+                keys.append(K.mix(K.mix(often[i] + np.uint64(7)) + often[j]))
+            misses.append(rare + j - 1)
+    return np.concatenate(keys), np.concatenate(misses).astype(np.int32)
+
+
 def shingle_classes(frequencies: DataFrame, folder: str, k: int, bits: int, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n, free (shingles that others hold too), sig (digest of the set), keys (the index keys of the prefix, packed) of every document of the blocks."""
-
-    def row(s: np.ndarray, df: np.ndarray) -> bytes:
-        if len(s) < 2:  # a set of one shingle links with its equals only
-            return b""
-        miss = len(s) - needed(len(s), num, den)
-        # one order for all documents: by frequency, then by the hash (s is sorted and the sort is stable)
-        order = np.argsort(df, kind="stable")[: miss + 2]
-        n, s, df = len(s), s[order], df[order]
-        rare = np.flatnonzero(df[: miss + 1] <= FREQUENT)
-        own = [s[rare[df[rare] > 1]]]  # what is in one document only is in no other set
-        left = miss + 1 - len(rare)
-        if left > 0:
-            often = s[len(rare) :]
-            if n >= BIG * num // den:
-                own.append(often[:left])
-            if n <= BIG:
-                i, j = np.triu_indices(len(often), 1)
-                with np.errstate(over="ignore"):
-                    own.append(K.mix(K.mix(often[i] + np.uint64(7)) + often[j]))
-        return np.concatenate(own).tobytes()
+    """doc_id, n, free (shingles that others hold too), sig (digest of the set), keys and misses (the prefix's index entries, packed) of every document of the blocks."""
 
     def run(batches):
         store = Store(folder)
@@ -146,19 +157,21 @@ def shingle_classes(frequencies: DataFrame, folder: str, k: int, bits: int, num:
             df, at, start = df[index], 0, 0
             del slots, index
             for part in _portions(texts):
-                n, free, parity, sig, keys = [], [], [], [], []
+                n, free, sig, keys, misses = [], [], [], [], []
                 for s in K.shingle_sets(part, k):
+                    own = df[at : at + len(s)]
+                    entries = index_entries(s, own, num, den)
                     n.append(len(s))
-                    free.append(int((df[at : at + len(s)] > 1).sum()))
-                    parity.append(parities(s))
+                    free.append(int((own > 1).sum()))
                     sig.append(digest(s))
-                    keys.append(row(s, df[at : at + len(s)]))
+                    keys.append(entries[0].tobytes())
+                    misses.append(entries[1].tobytes())
                     at += len(s)
-                yield {"doc_id": ids[start : start + len(part)], "n": n, "free": free, "parity": parity, "sig": sig, "keys": keys}
+                yield {"doc_id": ids[start : start + len(part)], "n": n, "free": free, "sig": sig, "keys": keys, "misses": misses}
                 start += len(part)
 
     by_block = frequencies.repartition("block").sortWithinPartitions("block", "range").select("block", "range", "df")
-    return arrow_map(by_block, run, "doc_id long, n long, free long, parity array<long>, sig binary, keys binary")
+    return arrow_map(by_block, run, "doc_id long, n int, free int, sig binary, keys binary, misses binary")
 
 
 def digest(s: np.ndarray) -> bytes | None:
@@ -166,20 +179,14 @@ def digest(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """512 bits, each the parity of the shingles of one hash slot: two sets differ in at least as many shingles as bits."""
-    odd = np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.int64)
-
-
 def postings(reps: DataFrame) -> DataFrame:
-    """(key, doc, tag, n, free, h0..h7) for every index key of every representative."""
+    """(key, doc, tag, n, free, miss) for every index entry of every representative."""
 
     def run(batches):
         for b in batches:
             docs, tags, sizes, free = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "tag", "n", "free"))
             keys = [np.frombuffer(x, np.int64) for x in b.column("keys").to_pylist()]
-            parity = np.array(b.column("parity").to_pylist(), np.int64).reshape(-1, 8)
+            misses = [np.frombuffer(x, np.int32) for x in b.column("misses").to_pylist()]
             at = 0
             while at < len(keys):  # a bounded number of keys at a time
                 end, total = at, 0
@@ -187,10 +194,39 @@ def postings(reps: DataFrame) -> DataFrame:
                     total += len(keys[end])
                     end += 1
                 count = [len(x) for x in keys[at:end]]
-                yield {"key": np.concatenate(keys[at:end]), "doc": np.repeat(docs[at:end], count), "tag": np.repeat(tags[at:end], count), "n": np.repeat(sizes[at:end], count), "free": np.repeat(free[at:end], count)} | {f"h{i}": np.repeat(parity[at:end, i], count) for i in range(8)}
+                yield {"key": np.concatenate(keys[at:end]), "doc": np.repeat(docs[at:end], count), "tag": np.repeat(tags[at:end], count), "n": np.repeat(sizes[at:end], count), "free": np.repeat(free[at:end], count), "miss": np.concatenate(misses[at:end])}
                 at = end
 
-    return arrow_map(reps.select("doc", "tag", "n", "free", "parity", "keys"), run, "key long, doc long, tag long, n long, free long, " + ", ".join(f"{h} long" for h in PARITY))
+    return arrow_map(reps.select("doc", "tag", "n", "free", "keys", "misses"), run, "key long, doc long, tag long, n int, free int, miss int")
+
+
+def within(x: str, y: str, num: int, den: int) -> str:
+    """The exact bound on two entries of a key: what both lack before it and the difference of what follows fit into linked sets' difference."""
+    return f"{den + num} * ({x}.miss + {y}.miss + abs(({x}.n - {x}.miss) - ({y}.n - {y}.miss))) <= {den - num} * ({x}.n + {y}.n)"
+
+
+def cut(entries: DataFrame, node: str, num: int, den: int) -> DataFrame:
+    """The entries whose key has an entry of another node that the bound allows: an entry's part of the bound against the least part of the others'.
+
+    Only the two least parts of each key are needed, which are cut down before they are shuffled.
+    Where both are of the entry's own node (two texts of one id) the least stands for the others:
+    fewer are cut, never more.
+    """
+    part = f"cast({den + num} as long) * miss - cast({den - num} as long) * n"
+    parts = entries.select("key", node, F.expr(part).alias("p"))
+    if node != "doc":  # many entries of a node in a key
+        parts = parts.groupBy("key", node).agg(F.min("p").alias("p"))
+    ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("p", node))).where("r <= 2")
+    least = ranked.groupBy("key").agg(F.min(F.struct("p", node)).alias("u"), F.max(F.struct("p", node)).alias("v"), F.count("*").alias("c")).where("c = 2").select("key", F.col("u.p").alias("up"), F.col(f"u.{node}").alias("un"), F.col("v.p").alias("vp"), F.col(f"v.{node}").alias("vn"))
+    other = f"case when un <> {node} then up when vn <> {node} then vp else up end"
+    return entries.join(materialize(least), "key").where(f"{part} + ({other}) <= 0").select(entries.columns)
+
+
+def pairs_of(x: DataFrame, y: DataFrame, apart: str, num: int, den: int) -> DataFrame:
+    """(a, ta, b, tb), a < b: the distinct pairs of entries of x and y that share a key, differ in the column ``apart`` and pass the bound."""
+    first = F.expr("x.doc < y.doc")
+    met = x.alias("x").join(y.alias("y"), "key").where(f"x.doc <> y.doc and x.{apart} <> y.{apart} and {within('x', 'y', num, den)}")
+    return met.select(F.least("x.doc", "y.doc").alias("a"), F.when(first, F.col("x.tag")).otherwise(F.col("y.tag")).alias("ta"), F.greatest("x.doc", "y.doc").alias("b"), F.when(first, F.col("y.tag")).otherwise(F.col("x.tag")).alias("tb")).distinct()
 
 
 def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
@@ -214,21 +250,15 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for whole in batches:
             slot = whole.column("h").to_numpy(zero_copy_only=False) & size
             keep = (have[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1
-            part = whole.filter(pa_bool(keep))
+            part = whole.filter(pa.array(keep.astype(bool)))
             for b in slices(part, "text", 1 << 20):
-                s = K.shingle_sets(b.column("text").to_pylist(), k)
-                yield {"doc": b.column("doc"), "sig": [digest(x) for x in s], "shingles": [x.tobytes() for x in s]}
+                texts = b.column("text").to_pylist()
+                yield {"doc": b.column("doc"), "sig": [digest(x) for x in K.shingle_sets(texts, k)], "shingles": [x.tobytes() for x in K.wide_sets(texts, k)]}
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
     return arrow_map(rows, run, "doc long, sig binary, shingles binary").select("doc", F.xxhash64("sig").alias("tag"), "shingles").dropDuplicates(["doc", "tag"])
 
 
-def pa_bool(x: np.ndarray):
-    import pyarrow as pa
-
-    return pa.array(x.astype(bool))
-
-
 def verify(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """The pairs (a, b) whose sets (of tags ta, tb) link, with their intersection and union."""
     joined = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tag").alias("ta"), F.col("shingles").alias("x")), ["a", "ta"])
@@ -238,14 +268,10 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) ->
         for b in batches:
             out = {"a": [], "b": [], "both": [], "either": []}
             for a, c, x, y in zip(*(b.column(n).to_pylist() for n in ("a", "b", "x", "y")), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) == 0 or len(y) == 0:
-                    continue
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                both = int((x[at] == y).sum())
+                x, y = (np.frombuffer(s, np.uint64).reshape(-1, 2) for s in (x, y))
+                both = K.shared(x, y)
                 either = len(x) + len(y) - both
-                if den * both >= num * either:
+                if both and den * both >= num * either:
                     for name, value in zip(out, (a, c, both, either), strict=True):
                         out[name].append(value)
             yield out
@@ -253,7 +279,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int = NUM, den: int = DEN) ->
     return arrow_map(joined.select("a", "b", "x", "y"), run, "a long, b long, both long, either long")
 
 
-def jaccard_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, short: int = SHORT) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
@@ -263,47 +289,34 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int
     frequencies = materialize(document_frequencies(docs, folder, k, ranges, bits))
     rows = materialize(shingle_classes(frequencies, folder, k, bits, num, den))
     classes = (
-        rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("free").alias("free"), F.first("parity").alias("parity"), F.first("keys").alias("keys"))
+        rows.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n", "free", "keys", "misses")))
     )
     # a class goes by its smallest id, and by a tag of its set as rows of one id may differ in text
     classes = materialize(classes.withColumn("tag", F.xxhash64("sig")))
     posted = materialize(postings(classes.where("n > 1")))
-    counts = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    listed = materialize(posted.join(counts, "key"))
-    # two exact bounds before any set is fetched: an intersection holds only what both share with
-    # anyone, and a difference has at least as many shingles as parities that differ
-    apart = " + ".join(f"bit_count(x.{h} ^ y.{h})" for h in PARITY)
-    alike = f"{den} * least(x.free, y.free) >= {num} * (x.n + y.n - least(x.free, y.free)) and {den + num} * ({apart}) <= {den - num} * (x.n + y.n)"
-    low = listed.where(f"c <= {short}").select("key", "doc", "tag", "n", "free", *PARITY)
-    ends = [F.col("x.doc").alias("a"), F.col("x.tag").alias("ta"), F.col("y.doc").alias("b"), F.col("y.tag").alias("tb")]
-    pairs = low.alias("x").join(low.alias("y"), "key").where(f"x.doc < y.doc and {alike}").select(*ends)
-    long = listed.where(f"c > {short}").select("key", "doc", "tag", "n", "free", *PARITY)
-    # the leaders of a list: the most central sets, with the most shingles that others hold, so that
-    # lists of one group mostly share theirs
-    rank = Window.partitionBy("key").orderBy(F.desc("free"), F.xxhash64("doc"), "doc", "tag")
-    leaders = long.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LEADERS).select("key", "n", "free", "doc", "tag", *PARITY)
-    first = F.expr("x.doc < y.doc")
-    stars = long.alias("x").join(leaders.alias("y"), "key").where(f"x.doc <> y.doc and {alike}")
-    stars = stars.select(F.least("x.doc", "y.doc").alias("a"), F.when(first, F.col("x.tag")).otherwise(F.col("y.tag")).alias("ta"), F.greatest("x.doc", "y.doc").alias("b"), F.when(first, F.col("y.tag")).otherwise(F.col("x.tag")).alias("tb"))
-    pairs = materialize(pairs.union(stars).distinct())
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).union(long.select("doc")).distinct()
-    sets = materialize(sets_of(docs, ids, k))
+    entries = materialize(cut(posted, "doc", num, den))
+    # leaders: of each hash class of a key the most central set, with the most shingles that others
+    # hold, so that the keys of one group mostly share theirs
+    best = F.max(F.struct("free", F.xxhash64("doc").alias("h"), "doc", "tag", "n", "miss")).alias("s")
+    leaders = materialize(entries.groupBy("key", F.pmod(F.xxhash64("doc"), F.lit(LEADERS)).alias("class")).agg(best).select("key", "s.doc", "s.tag", "s.n", "s.miss"))
+    pairs = materialize(pairs_of(entries, leaders, "doc", num, den))
+    sets = materialize(sets_of(docs, entries.select("doc").distinct(), k))
     links = materialize(verify(pairs, sets, num, den))
     # rows of one class link with its representative, and rows of one id are one node
     own = rows.select("doc_id", "n", "sig").join(classes.where("rows > 1").select("sig", F.col("doc").alias("rep")), "sig", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     same = own.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = links.select("a", "b").union(same)
-    found = components(edges)
-    if not long.isEmpty():
-        label = long.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "tag", "n", "free", *PARITY, F.coalesce("component", "doc").alias("c"))
-        split = label.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        label = materialize(label.join(split, "key"))
-        # across components only, and a pair that was tried against the leader isn't tried again
-        rest = label.alias("x").join(label.alias("y"), "key").where(f"x.doc < y.doc and x.c <> y.c and {alike}").select(*ends).distinct()
-        more = materialize(verify(rest.join(pairs, ["a", "ta", "b", "tb"], "left_anti"), sets, num, den))
-        if not more.isEmpty():
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
-    return own.join(found, own.doc_id == found.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found = components(links.select("a", "b").union(same))
+    # only sets of different components can still add a link
+    labelled = entries.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "tag", "n", "miss", F.coalesce("component", "doc").alias("component"))
+    split = materialize(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
+    rest = materialize(cut(labelled.join(split, "key", "left_semi"), "component", num, den))
+    # of two entries of different components one at least isn't in the key's largest component
+    largest = rest.groupBy("key", "component").count().groupBy("key").agg(F.max(F.struct("count", "component")).alias("s")).select("key", F.col("s.component").alias("most"))
+    others = rest.join(materialize(largest), "key").where("component <> most").drop("most")
+    more = materialize(verify(pairs_of(others, rest, "component", num, den), sets, num, den))
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+    return own.join(found, own.doc_id == found.node, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,23 @@
 """Vectorised kernels over words: tokens, 64-bit word hashes, shingle hashes, per-document sets.
 
 Words are maximal runs of anything but space and bytes 0x09-0x0D, with A-Z lower-cased: exactly
-what ``bytes.lower().split()`` yields on UTF-8. Hashing happens on whole batches in numpy.
+what ``bytes.lower().split()`` yields on UTF-8. Words are hashed one by one (a
+hash that mixes non-linearly, so no regular text makes words collide), the rest on whole batches.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
+import xxhash
 
 _U = np.uint64
 #: Fixed odd multipliers of the hashes; they only have to stay the same within one run.
 _P = 0x9E3779B97F4A7C15
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_CHUNK = 1 << 20
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(base: int, n: int, key: str) -> np.ndarray:
-    have = _tables.get(key)
-    if have is None or len(have) < n:
-        x = np.full(max(n, _CHUNK + 4096), base, dtype=_U)
-        x[0] = 1
-        with np.errstate(over="ignore"):
-            have = _tables[key] = np.multiply.accumulate(x)
-    return have[:n]
+#: Seed of the second, independent hash.
+WIDE = 0x5EED
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -40,37 +34,9 @@ def words(text: str | None) -> list[bytes]:
     return [] if not text else text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def hash_words(tokens: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, equal for equal words wherever they stand; memory bound by chunks."""
-    out, start, size, n = [], 0, 0, len(tokens)
-    if not n:
-        return np.empty(0, _U)
-    if sum(map(len, tokens)) + n <= _CHUNK:
-        return _hash_chunk(tokens)
-    for i, t in enumerate(tokens):
-        if size + len(t) > _CHUNK and i > start:
-            out.append(_hash_chunk(tokens[start:i]))
-            start, size = i, 0
-        size += len(t) + 1
-    out.append(_hash_chunk(tokens[start:]))
-    return np.concatenate(out)
-
-
-def _hash_chunk(tokens: list[bytes]) -> np.ndarray:
-    buf = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
-    ends = np.flatnonzero(buf == 32)
-    starts = np.empty_like(ends)
-    starts[0] = 0
-    starts[1:] = ends[:-1] + 1
-    table = _tables.get("bytes")
-    if table is None:
-        table = _tables["bytes"] = mix(np.arange(1, 257, dtype=_U) * _U(_P))
-    with np.errstate(over="ignore"):
-        run = np.empty(len(buf) + 1, _U)
-        run[0] = 0
-        np.cumsum(table[buf] * _powers(_P, len(buf), "p"), out=run[1:])
-        inverse = _powers(pow(_P, -1, 1 << 64), len(buf), "i")
-        return mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+def hash_words(tokens: list[bytes], seed: int = 0) -> np.ndarray:
+    """64-bit XXH3 hashes of words, equal for equal words wherever they stand; another seed gives independent ones."""
+    return np.fromiter(map(partial(xxhash.xxh3_64_intdigest, seed=seed) if seed else xxhash.xxh3_64_intdigest, tokens), _U, len(tokens))
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -86,7 +52,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
         return mix(acc + _U(k_))
 
 
-def batch_hashes(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def batch_hashes(texts: list[str | bytes | None], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of several texts in one array, with each text's first word (one offset more than texts)."""
     every: list[bytes] = []
     offsets = np.zeros(len(texts) + 1, np.int64)
@@ -94,19 +60,48 @@ def batch_hashes(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarra
         if t:
             every += (t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")).lower().split()
         offsets[i + 1] = len(every)
-    return hash_words(every), offsets
+    return hash_words(every, seed), offsets
+
+
+def shingle_runs(texts: list[str | bytes | None], k: int, seed: int = 0) -> list[np.ndarray]:
+    """Per text: its shingle hashes in the order of the text, repeats included."""
+    h, offsets = batch_hashes(texts, seed)
+    whole = shingles(h, k) if len(h) >= k else h[:0]
+    return [whole[a : b - k + 1] if b - a >= k else shingles(h[a:b], k) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 def shingle_sets(texts: list[str | bytes | None], k: int) -> list[np.ndarray]:
     """Per text: its sorted distinct shingle hashes."""
-    h, offsets = batch_hashes(texts)
-    whole = shingles(h, k) if len(h) >= k else h[:0]
+    return [unique(x) for x in shingle_runs(texts, k)]
+
+
+def wide_sets(texts: list[str | bytes | None], k: int) -> list[np.ndarray]:
+    """Per text: its distinct shingles by two independent hashes, as sorted rows of two: what verification compares."""
     out = []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        out.append(unique(whole[a : b - k + 1] if b - a >= k else shingles(h[a:b], k)))
+    for x, y in zip(shingle_runs(texts, k), shingle_runs(texts, k, WIDE), strict=True):
+        order = np.lexsort((y, x))
+        both = np.stack([x[order], y[order]], axis=1)
+        out.append(both[np.concatenate(([True], (both[1:] != both[:-1]).any(axis=1)))] if len(both) else both)
     return out
 
 
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many rows of two hashes two wide sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y[:, 0], x[:, 0])
+    at[at == len(y)] = 0
+    hit = y[at, 0] == x[:, 0]
+    # rows that agree in the first hash only are told apart by the second; runs of one first hash are as good as never longer than one
+    n = int((hit & (y[at, 1] == x[:, 1])).sum())
+    for i in np.flatnonzero(hit & (y[at, 1] != x[:, 1])):
+        lo, hi = np.searchsorted(y[:, 0], x[i, 0], "left"), np.searchsorted(y[:, 0], x[i, 0], "right")
+        n += bool((y[lo:hi, 1] == x[i, 1]).any())
+    return n
+
+
 def unique(x: np.ndarray) -> np.ndarray:
     if len(x) < 2:
         return x

@@ -45,28 +45,45 @@ REPEATED, SEND, SPREAD, LOOP = 1, 2, 4, 4
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+_P = 0x9E3779B97F4A7C15
+#: Bytes that are mixed together, at every position: no regular text (Thue-Morse words, say) cancels out in the sums.
+LANE = 4
+_tables: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    have = _tables.get(base)
+    if have is None or len(have) < n:
+        x = np.full(max(n, (1 << 19) + 4096), base, np.uint64)
+        x[0] = 1
+        with np.errstate(over="ignore"):
+            have = _tables[base] = np.multiply.accumulate(x)
+    return have[:n]
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    table = K._tables.get("bytes")
-    if table is None:
-        K.hash_words([b"x"])
-        table = K._tables["bytes"]
-    out = np.zeros(len(data) + 1, np.uint64)
+    """Running sums of the mixed lanes, weighted by powers: what the hashes of spans of ``LANE`` bytes or more are taken from."""
+    n = max(0, len(data) - LANE + 1)
+    lanes = np.ndarray((n,), "<u4", np.ascontiguousarray(data), 0, (1,)).astype(np.uint64) if n else np.empty(0, np.uint64)
+    out = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(table[data] * K._powers(K._P, len(data), "p"), out=out[1:])
+        np.cumsum(K.mix(lanes + np.uint64(_P)) * _powers(_P, n), out=out[1:])
     return out
 
 
 def span_hashes(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit digests of the spans [start, end) of the bytes whose prefix hashes are given."""
-    inverse = K._powers(pow(K._P, -1, 1 << 64), len(run), "i")
+    inverse = _powers(pow(_P, -1, 1 << 64), len(run))
     with np.errstate(over="ignore"):
-        return K.mix((run[end] - run[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return K.mix((run[end - (LANE - 1)] - run[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def gram_hashes(run: np.ndarray, k: int) -> np.ndarray:
-    n = len(run) - k
+    """Hashes of all strings of k bytes."""
+    lanes = k - (LANE - 1)
+    n = len(run) - lanes
     with np.errstate(over="ignore"):
-        return K.mix((run[k:] - run[:n]) * K._powers(pow(K._P, -1, 1 << 64), len(run), "i")[:n])
+        return K.mix((run[lanes:] - run[:n]) * _powers(pow(_P, -1, 1 << 64), len(run))[:n])
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
