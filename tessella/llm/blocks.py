@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pickle
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 from .common import slices
@@ -25,22 +25,43 @@ def expand(x: bytes, kind=None):
     return data if kind is None else np.frombuffer(data, kind)
 
 
+def dump(columns: dict) -> bytes:
+    """Columns of one length as an Arrow stream: plain data, of which nothing is ever run when it is read."""
+    batch = pa.record_batch(list(columns.values()), names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def load(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as r:
+        return r.read_next_batch()
+
+
 class Store:
     """Blocks of documents in the shared folder, under names and with contents that a retry makes again."""
 
     def __init__(self, folder: str):
         self.filesystem, self.root = _filesystem(folder)
 
-    def put(self, number: int, ids: list, texts: list[bytes]) -> None:
+    def put_bytes(self, number: int, data: bytes) -> None:
         self.filesystem.create_dir(self.root, recursive=True)
         scratch = f"{self.root}/{number}.{uuid.uuid4().hex}"
         with self.filesystem.open_output_stream(scratch, compression=None) as f:
-            f.write(zstandard.ZstdCompressor(level=3).compress(pickle.dumps((ids, texts), protocol=5)))
+            f.write(data)
         self.filesystem.move(scratch, f"{self.root}/{number}")
 
-    def get(self, number: int) -> tuple[list, list[bytes]]:
+    def get_bytes(self, number: int) -> bytes:
         with self.filesystem.open_input_stream(f"{self.root}/{number}", compression=None) as f:
-            return pickle.loads(zstandard.ZstdDecompressor().decompress(f.read()))
+            return f.read()
+
+    def put(self, number: int, ids: list, texts: list[bytes]) -> None:
+        self.put_bytes(number, zstandard.ZstdCompressor(level=3).compress(dump({"ids": pa.array(ids, pa.int64()), "texts": pa.array(texts, pa.large_binary())})))
+
+    def get(self, number: int) -> tuple[list, list[bytes]]:
+        b = load(zstandard.ZstdDecompressor().decompress(self.get_bytes(number)))
+        return b.column("ids").to_pylist(), b.column("texts").to_pylist()
 
 
 def blocks_of(batches, most: int):

@@ -3,28 +3,36 @@
 Items (short) and documents (long) are sets of hashed 5-word shingles. Items are partitioned by
 size into powers of two. An item of q shingles is contained if at least ceil(c q) of them are in
 the document, so at most q - ceil(c q) are missing: of its smallest q - ceil(c q) + 1 hash values
-(a bottom-k MinHash sketch) one at least is in any document that contains the item. Each
-partition's sketches are searched by the documents large enough for it; what is found is verified
-by exact shingle containment. The search therefore has no false negatives and no false positives.
-
-Sketches and item sets travel to the documents' tasks if they take at most ``most_broadcast``
-hashes (their number is counted first), so documents aren't shuffled. Beyond that the sketches
-are joined with the documents' shingles by key, and candidates are verified after a second join.
+(a bottom-k MinHash sketch) one at least is in any document that contains the item. The sketches
+are one sorted index; a document's hashes are looked up in it, all documents of a batch at once, so
+a document costs its own length however many items there are. A hit counts only in the size
+partitions that the document is large enough for. Documents aren't cut to sketches themselves: a
+short item inside a long document would be lost. What is found is verified by exact containment of
+the shingles, told apart by two independent hashes each. The search therefore has no false
+negatives and no false positives.
+
+The index travels to the documents' tasks if it takes at most ``most_broadcast`` hashes (their
+number is counted first), so documents aren't shuffled. Beyond that the sketches are joined with
+the documents' shingles by key, and only candidates meet texts and item sets again.
 
 Items with fewer words than a shingle are matched as one whole sequence against documents' equal
 runs of that many words. Null and empty items match nothing, null and empty texts contain
-nothing; repeated item rows count once per item id and text; rows of null ids match like others.
-A document row gives at most one result row per item id. Extra columns are ignored.
+nothing; texts of any length are searched whole; repeated item rows count once per item id and
+text; rows of null ids match like others. A document row gives at most one result row per item
+id, of texts that share an id the one with the largest share, at equal shares the one of the
+smaller size. Empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import arrow_map, slices, table
+from .common import arrow_map, materialize, slices, table
 
 SHINGLE, CONTAINMENT = 5, (4, 5)
 MOST_BROADCAST = 4_000_000
@@ -36,19 +44,20 @@ def need(q, share: tuple[int, int] = CONTAINMENT):
 
 
 def item_sets(items: DataFrame, k: int = SHINGLE, share: tuple[int, int] = CONTAINMENT) -> DataFrame:
-    """item, item_id, width (words in a shingle), q, part (the size's power of two), shingles, sketch."""
+    """item, item_id, width (words in a shingle), q, part (the size's power of two), shingles (wide), sketch."""
 
     def run(batches):
         for b in batches:
             rows = {n: [] for n in ("item", "item_id", "width", "q", "part", "shingles", "sketch")}
             for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h = K.hash_words(K.words(t))
-                if not len(h):
+                n = len(K.words(t))
+                if not n:
                     continue
-                s = K.unique(K.shingles(h, k))  # sorted: the smallest hashes come first
+                s = K.wide_sets([t], k)[0]  # sorted: the smallest hashes come first
                 q = len(s)
                 size = q - need(q, share) + 1
-                for name, value in zip(rows, (int(K.mix(s).view(np.int64).sum()) ^ q, i, min(k, len(h)), q, q.bit_length(), s.tobytes(), s[:size].tobytes()), strict=True):
+                own = int.from_bytes(hashlib.blake2b(s.tobytes() + bytes([min(k, n)]), digest_size=8).digest(), "little", signed=True)
+                for name, value in zip(rows, (own, i, min(k, n), q, q.bit_length(), s.tobytes(), s[:size, 0].tobytes()), strict=True):
                     rows[name].append(value)
             yield rows
 
@@ -56,116 +65,147 @@ def item_sets(items: DataFrame, k: int = SHINGLE, share: tuple[int, int] = CONTA
     return arrow_map(items.select(F.col("item_id").cast("long"), "text"), run, "item long, item_id long, width int, q long, part int, shingles binary, sketch binary").dropDuplicates(["item", "item_id", "width"])
 
 
-def _document_sets(batches, k: int, widths: list[int]):
-    """Per document: its id and, by width of shingle, its sorted distinct hashes."""
-    for whole in batches:
-        for b in slices(whole, "text", 1 << 20):
-            h, offsets = K.batch_hashes(b.column("text").to_pylist())
-            for r, i in enumerate(b.column("doc_id").to_pylist()):
-                own = h[offsets[r] : offsets[r + 1]]
-                yield b, r, i, {w: K.unique(K.shingles(own, w)) if len(own) >= w else own[:0] for w in widths}
+def fullest(found: list[tuple[int | None, int, int]]) -> list[tuple[int | None, int, int]]:
+    """Of the (item_id, shared, q) of one document, one for each id."""
+    best: dict[int | None, tuple[int, int]] = {}
+    for item_id, shared, q in found:
+        old = best.get(item_id)
+        if old is None or (shared * old[1], -q) > (old[0] * q, -old[1]):
+            best[item_id] = (shared, q)
+    return [(i, *v) for i, v in best.items()]
 
 
-def _inside(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(sorted_set, x)
-    at[at == len(sorted_set)] = 0
-    return sorted_set[at] == x
+def windows(h: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of ``width`` words of a batch's documents, and the document of each."""
+    if len(h) < width:
+        return h[:0], np.empty(0, np.int64)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(h) - width + 1]
+    inside = np.arange(len(owner)) + width <= offsets[owner + 1]
+    return K.shingles(h, width)[inside], owner[inside]
 
 
 class Index:
-    """Sketches of all items by width and size partition, and their whole sets, in flat arrays."""
+    """Sketches of all items by width as sorted keys with their items, and each item's size partition and whole set."""
 
     def __init__(self, rows: list, share: tuple[int, int]):
         self.share = share
-        self.items = [(r["item_id"], r["q"], np.frombuffer(r["shingles"], np.uint64)) for r in rows]
-        self.parts: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-        groups: dict[tuple[int, int], list[int]] = {}
-        for n, r in enumerate(rows):
-            groups.setdefault((r["width"], r["part"]), []).append(n)
-        for (width, _), members in sorted(groups.items()):
+        self.items = [(r["item_id"], r["q"], np.frombuffer(r["shingles"], np.uint64).reshape(-1, 2)) for r in rows]
+        least: dict[tuple[int, int], int] = {}  # the fewest shingles that an item of a size partition needs
+        for r in rows:
+            at = r["width"], r["part"]
+            least[at] = min(least.get(at, 1 << 62), need(r["q"], share))
+        self.width = [r["width"] for r in rows]
+        self.least = np.array([least[r["width"], r["part"]] for r in rows], np.int64)
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width in sorted({r["width"] for r in rows}):
+            members = [n for n, r in enumerate(rows) if r["width"] == width]
             keys = np.concatenate([np.frombuffer(rows[n]["sketch"], np.uint64) for n in members])
             owner = np.repeat(np.array(members), [len(rows[n]["sketch"]) // 8 for n in members])
             order = np.argsort(keys, kind="stable")
-            least = min(need(rows[n]["q"], share) for n in members)
-            self.parts.setdefault(width, []).append((least, keys[order], owner[order]))
-
-    def search(self, sets: dict[int, np.ndarray]) -> list[tuple[int | None, int, int]]:
-        """(item_id, shared, q) of the items that a document's sets contain; per id the fullest."""
-        best: dict[int | None, tuple[int, int]] = {}
-        for width, parts in self.parts.items():
-            own = sets[width]
-            for least, keys, owner in parts:
-                if len(own) < least:
-                    continue  # too small a document for this size partition
-                hit = np.unique(owner[_inside(keys, own)])
-                for n in hit.tolist():
-                    item_id, q, s = self.items[n]
-                    shared = int(_inside(s, own).sum())
-                    if shared >= need(q, self.share) and (item_id not in best or shared * best[item_id][1] > best[item_id][0] * q):
-                        best[item_id] = (shared, q)
-        return [(i, *v) for i, v in best.items()]
+            distinct, first = np.unique(keys[order], return_index=True)
+            self.keys[width] = distinct, np.append(first, len(keys)), owner[order]
+
+    def candidates(self, h: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Distinct (document of the batch, item), by document, whose sketches meet in a partition that fits."""
+        out = []
+        for width, (keys, first, owner) in self.keys.items():
+            own, doc = windows(h, offsets, width)
+            at = np.searchsorted(keys, own)
+            at[at == len(keys)] = 0
+            hit = np.flatnonzero(keys[at] == own)
+            at, doc = at[hit], doc[hit]
+            n = first[at + 1] - first[at]
+            item = owner[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            doc = np.repeat(doc, n)
+            enough = np.diff(offsets)[doc] - width + 1 >= self.least[item]
+            out.append(np.unique(np.stack([doc[enough], item[enough]], axis=1), axis=0))
+        return [tuple(x) for x in np.concatenate(out).tolist()] if out else []
+
+    def search(self, texts: list, k: int) -> list[tuple[int, int | None, int, int]]:
+        """(document of the batch, item_id, shared, q) of the items that documents contain."""
+        found: dict[int, list] = {}
+        wide: tuple[int, dict] = (-1, {})
+        for doc, n in sorted(self.candidates(*K.batch_hashes(texts))):
+            item_id, q, s = self.items[n]
+            if wide[0] != doc:
+                wide = (doc, {})  # one document's sets at a time
+            width = self.width[n]
+            if width not in wide[1]:
+                wide[1][width] = K.wide_sets([texts[doc]], width)[0]
+            both = K.shared(s, wide[1][width])
+            if both >= need(q, self.share):
+                found.setdefault(doc, []).append((item_id, both, q))
+        return [(doc, *x) for doc, rows in found.items() for x in fullest(rows)]
 
 
 def contained_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: tuple[int, int] = CONTAINMENT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item) for every document row and item that it contains."""
-    found = item_sets(items, k, share).persist()
+    found = materialize(item_sets(items, k, share))
     size = found.agg(F.coalesce(F.sum((F.length("shingles") + F.length("sketch")) / 8), F.lit(0)).alias("s")).first().s
     if size <= most_broadcast:
         index = docs.sparkSession.sparkContext.broadcast(Index([r.asDict() for r in found.collect()], share))  # within the counted bound
-        found.unpersist()
         return search_local(docs, index, k)
-    return search_joined(docs, found, k, share)
+    return search_joined(docs, found, share)
 
 
 def search_local(docs: DataFrame, index, k: int = SHINGLE) -> DataFrame:
     def run(batches):
         ix = index.value
-        out = {"doc_id": [], "item_id": [], "n_shared": [], "n_item": []}
-        for _, _, doc, sets in _document_sets(batches, k, sorted(ix.parts)):
-            for row in ix.search(sets):
-                for name, value in zip(out, (doc, *row), strict=True):
-                    out[name].append(value)
-            if len(out["doc_id"]) > 5000:
-                yield out
-                out = {n: [] for n in out}
-        yield out
+        for whole in batches:
+            for b in slices(whole, "text", 1 << 20):
+                ids = b.column("doc_id").to_pylist()
+                rows = ix.search(b.column("text").to_pylist(), k)
+                yield {"doc_id": [ids[r[0]] for r in rows]} | {name: [r[j] for r in rows] for j, name in enumerate(("item_id", "n_shared", "n_item"), 1)}
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, MATCH)
 
 
-def search_joined(docs: DataFrame, found: DataFrame, k: int = SHINGLE, share: tuple[int, int] = CONTAINMENT) -> DataFrame:
-    """The same by joins: documents' shingles meet the sketches, then the candidates' whole item sets."""
+def search_joined(docs: DataFrame, found: DataFrame, share: tuple[int, int] = CONTAINMENT) -> DataFrame:
+    """The same by joins: documents' shingles meet the sketches; the candidates' texts and item sets are verified together."""
     widths = [r.width for r in found.select("width").distinct().orderBy("width").collect()]  # at most k of them
 
     def explode(batches):
-        for _, _, doc, sets in _document_sets(batches, k, widths):
-            for w, s in sets.items():
-                for i in range(0, len(s), 1 << 18):
-                    part = s[i : i + (1 << 18)].view(np.int64)
-                    yield {"doc_id": [doc] * len(part), "width": [w] * len(part), "key": part, "size": [len(s)] * len(part)}
-
-    def unpack(column):
-        def run(batches):
-            for b in batches:
-                sets = [np.frombuffer(x, np.int64) for x in b.column(column).to_pylist()]
-                n = [len(x) for x in sets]
-                rest = {c: np.repeat(np.array(b.column(c).to_pylist(), dtype=object), n) for c in ("item", "item_id", "width", "q", "part")}
-                yield rest | {"key": np.concatenate(sets) if sets else []}
-
-        return arrow_map(found, run, "item long, item_id long, width int, q long, part int, key long")
-
-    # a document row is told by its id and text together, so rows that share an id stay apart
-    numbered = docs.select(F.col("doc_id").cast("long"), "text").withColumn("text_key", F.sha1(F.col("text").cast("binary")))
-    unique_docs = numbered.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id"), "text", "text_key")
-    keys = arrow_map(unique_docs.select(F.xxhash64("doc_id", "text_key").alias("doc_id"), "text"), explode, "doc_id long, width int, key long, size long")
-    hit = keys.join(unpack("sketch"), ["key", "width"]).where(F.col("size") * share[1] >= F.col("q") * share[0]).select("doc_id", "item", "item_id", "width").distinct()
-    full = unpack("shingles").join(hit.select("item", "width").distinct(), ["item", "width"]).select("item", "width", "q", "key").distinct()
-    shared = hit.join(full, ["item", "width"]).join(keys.select("doc_id", "width", "key"), ["doc_id", "width", "key"]).groupBy("doc_id", "item_id", "item", "q").agg(F.count("*").alias("shared"))
-    good = shared.where(F.col("shared") * share[1] >= F.col("q") * share[0]).groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("q")).alias("c"), "shared", "q")).alias("b"))
-    rows = numbered.select(F.col("doc_id").alias("own"), F.xxhash64("doc_id", "text_key").alias("doc_id"))
-    return rows.join(good, "doc_id").select(F.col("own").alias("doc_id"), "item_id", F.col("b.shared").alias("n_shared"), F.col("b.q").alias("n_item"))
+        for whole in batches:
+            for b in slices(whole, "text", 1 << 20):
+                h, offsets = K.batch_hashes(b.column("text").to_pylist())
+                ids = b.column("own").to_numpy()
+                for w in widths:
+                    own, doc = windows(h, offsets, w)
+                    key = np.unique(np.stack([doc.astype(np.uint64), own], axis=1), axis=0) if len(own) else np.empty((0, 2), np.uint64)
+                    for i in range(0, len(key), 1 << 18):
+                        part = key[i : i + (1 << 18)]
+                        at = part[:, 0].astype(np.int64)
+                        yield {"own": ids[at], "width": np.full(len(part), w, np.int32), "key": np.ascontiguousarray(part[:, 1]).view(np.int64), "size": (np.diff(offsets) - w + 1)[at]}
+
+    def unpack(batches):
+        for b in batches:
+            sets = [np.frombuffer(x, np.int64) for x in b.column("sketch").to_pylist()]
+            n = [len(x) for x in sets]
+            yield {c: np.repeat(b.column(c).to_numpy(), n) for c in ("item", "width", "part", "q")} | {"key": np.concatenate(sets) if sets else []}
+
+    def check(batches):
+        for whole in batches:
+            for b in slices(whole, "text", 1 << 20):
+                out = {"row": [], "item_id": [], "n_shared": [], "n_item": []}
+                for row, t, i, w, q, s in zip(*(b.column(c).to_pylist() for c in ("own", "text", "item_id", "width", "q", "shingles")), strict=True):
+                    if len(K.words(t)) < w:
+                        continue
+                    both = K.shared(np.frombuffer(s, np.uint64).reshape(-1, 2), K.wide_sets([t], w)[0])
+                    if both >= need(q, share):
+                        for name, value in zip(out, (row, i, both, q), strict=True):
+                            out[name].append(value)
+                yield out
+
+    # every document row has a key of its own, so rows that share an id stay apart
+    rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").withColumn("own", F.monotonically_increasing_id()))
+    keys = arrow_map(rows.select("own", "text"), explode, "own long, width int, key long, size long")
+    sketches = arrow_map(found.select("item", "width", "part", "q", "sketch"), unpack, "item long, width int, part int, q long, key long").distinct()
+    least = sketches.groupBy("width", "part").agg(F.min(F.ceil(F.col("q") * share[0] / share[1])).alias("least"))
+    hit = keys.join(sketches.join(least, ["width", "part"]), ["key", "width"]).where("size >= least").select("own", "item", "width").distinct()
+    pairs = hit.join(found.select("item", "item_id", "width", "q", "shingles"), ["item", "width"]).join(rows.select("own", "text"), "own")
+    good = arrow_map(pairs.select("own", "text", "item_id", "width", "q", "shingles"), check, "row long, item_id long, n_shared long, n_item long")
+    best = good.groupBy("row", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("c"), (-F.col("n_item")).alias("m"), "n_shared", "n_item")).alias("b"))
+    return rows.select("doc_id", F.col("own").alias("row")).join(best, "row").select("doc_id", "item_id", F.col("b.n_shared").alias("n_shared"), F.col("b.n_item").alias("n_item"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
