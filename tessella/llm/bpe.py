@@ -1,18 +1,22 @@
 """BPE encoding and decoding by a bounded-lookahead streaming transducer (operator 6).
 
-Encoding reads bytes of a piece (what the split pattern yields) from left to right. For every
+A text is read as a stream of blocks, cut where white space begins, which the split pattern never
+reads across; a block's pieces (what the split pattern yields) go to the transducer one by one.
+Encoding reads a piece's bytes from left to right. For every
 prefix it keeps the last token of that prefix's encoding: the longest token ending there that is
 compatible with the last token of what precedes it (two tokens are compatible if merging their
 joined bytes by the merge list gives back exactly those two). All later prefixes can only build
 on the last ``max_token`` positions, so a token is stable, and is emitted, as soon as the
-back-pointers of all those positions meet. Only unstable positions are kept.
-
-``sufficient_lookahead`` computes from the merge list how many bytes at most can pass before
-that happens. Decoding maps ids to bytes and feeds an incremental UTF-8 state machine, which
+back-pointers of all those positions meet; ``sufficient_lookahead``, computed from the merge list,
+says after how many bytes a token is stable at the latest, and is the bound at which tokens are
+emitted where the pointers have not met. So the transducer never keeps more than that many bytes
+and a chunk, however long a piece is. Short pieces are remembered, in a memory of fixed size.
+Decoding maps ids to bytes and feeds an incremental UTF-8 state machine, which
 replaces ill-formed sequences as the tokenizers library does.
 
 Nulls encode like empty text; special tokens' literal strings in a text become their ids, as the
-library does by default. Repeated rows are encoded each; an empty table gives an empty table.
+library does by default. Texts of any length are encoded whole. Repeated rows are encoded each,
+ties can't arise; an empty table gives an empty table; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +38,11 @@ PATTERN = r" ?\p{L}+|'(?:s|t|re|ve|m|ll|d)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Entries of the piece cache of one Python worker, then it starts anew; a bound on memory, not on input.
 CACHE = 150_000
 PAIRS = 400_000
-#: Pieces longer than this go through the transducer in chunks of this many bytes and aren't cached.
+#: Pieces longer than this go through the transducer in chunks of this many bytes and aren't remembered.
 LONG = 256
+#: Characters of a block of a text, about; more only where white space is farther apart.
+BLOCK = 1 << 16
+_SPACE_BEGINS = re.compile(r"(?<=\S)\s")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -180,7 +187,12 @@ class Transducer:
             live.discard(top)
             live.add(top - self.length[self.last[top]])
         stable = live.pop()
-        if stable == 0:
+        if stable == 0 and n > self.v.lookahead:
+            # paths that haven't met differ only in what the lookahead can still change
+            stable = n
+            while stable > n - self.v.lookahead:
+                stable -= self.length[self.last[stable]]
+        if stable <= 0:
             return []
         out = self._path(stable)
         self.before = self.last[stable]
@@ -222,6 +234,14 @@ class Transducer:
             out += self.push(piece[i : i + LONG])
         return out + self.finish()
 
+    def encode_long(self, text: str, start: int, end: int) -> Iterator[tuple[int, ...]]:
+        """Tokens of the piece text[start:end] as they become stable."""
+        self.reset()
+        for i in range(start, end, LONG):
+            if out := self.push(text[i : min(i + LONG, end)].encode("utf-8", "replace")):
+                yield tuple(out)
+        yield tuple(self.finish())
+
 
 class Codec:
     """Encodes texts to ids and decodes ids to text, for one tokenizer file."""
@@ -246,7 +266,7 @@ class Codec:
                 return general.findall(text)
             return narrow.findall(text)
 
-        self.split = split
+        self.split, self.general = split, general
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.v.special)) + ")") if self.v.special else None
         self.transducer = Transducer(self.v)
         codec = self
@@ -269,16 +289,44 @@ class Codec:
 
         self.pieces = Pieces()
 
-    def stream(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Tokens of a text, piece by piece, as they become stable."""
+    def blocks(self, text: str) -> Iterator[str]:
+        """The text in blocks that begin where white space begins: no piece reaches over that place."""
+        at = 0
+        while len(text) - at > BLOCK:
+            cut = _SPACE_BEGINS.search(text, at + BLOCK)
+            if not cut:
+                break
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:] if at else text
+
+    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """What stands between special tokens, and those (true), in order."""
         if self.cut is None or not any(s in text for s in self.v.special):
-            yield from map(self.pieces.__getitem__, self.split(text))
+            yield text, False
             return
-        for part in self.cut.split(text):
-            if part in self.v.special:
+        at = 0
+        for m in self.cut.finditer(text):
+            yield text[at : m.start()], False
+            yield m[0], True
+            at = m.end()
+        yield text[at:], False
+
+    def stream(self, text: str) -> Iterator[tuple[int, ...]]:
+        """Tokens of a text, piece by piece, as they become stable."""
+        for part, special in self.parts(text):
+            if special:
                 yield (self.v.special[part],)
-            else:
-                yield from map(self.pieces.__getitem__, self.split(part))
+                continue
+            for block in self.blocks(part):
+                if len(block) <= 2 * BLOCK:
+                    yield from map(self.pieces.__getitem__, self.split(block))
+                else:  # hardly any white space: its pieces one at a time
+                    for m in self.general.finditer(block):
+                        if m.end() - m.start() <= LONG:
+                            yield self.pieces[m[0]]
+                        else:
+                            yield from self.transducer.encode_long(block, m.start(), m.end())
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.stream(text))) if text else []
