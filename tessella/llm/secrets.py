@@ -6,8 +6,15 @@ values with their blanks) are cut into words, dates, repeats, keyboard walks, se
 the least guess cost; a value that is dear to guess is a secret of kind ``guess``. Cheap values
 (placeholders, common words) add nothing; base spans always stay.
 
-Null and empty texts have no spans; repeated rows are scanned each; values of any length are
-judged whole, in time linear in their length. Columns of other names are ignored.
+Words are ranked: first the fixed ones that people choose, then those of the corpus itself, by the
+number of documents that hold them (counted over all documents, the ``RANKED`` most frequent ones
+are kept: the size of the model, which the cost of a word depends on only by its logarithm).
+
+Null and empty texts have no spans; repeated rows are scanned each (and counted each); texts and
+values of any length are judged whole, in time linear in their length. Spans that begin at one
+place are ordered by kind; words of equal count by the alphabet; segmentations of equal cost by
+the first found. Rows of null ids are scanned like others; an empty table gives an empty table;
+columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import arrow_map, slices, table
 
@@ -35,7 +43,9 @@ VALUE = re.compile(r"""(?:"([^"\r\n]+)"|'([^'\r\n]+)'|([^\s"'<>,;]+))""", re.A)
 #: Ordinary words that hold a keyword but name no credential.
 ORDINARY = re.compile(r"author(?:s|ed|ity|ities|ship)?|pass(?:age|enger|ion|port)s?|passive(?:ly)?|(?:by|com|encom|over|sur|tres|under)pass(?:es|ed)?|secretar(?:y|ies|iat)|tokeni[sz]\w*", re.I | re.A)
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "api", "credential", "auth", "private")
-#: Words by assumed rank, most usual first; a parameter of the operator.
+#: Words of the corpus that the model ranks behind the fixed ones.
+RANKED = 20_000
+#: Words by assumed rank, most usual first.
 WORDS = (
     "password passwd pass secret token admin user test example changeme default welcome login letmein master root guest "
     "dragon monkey football baseball iloveyou sunshine princess shadow superman trustno hello love summer winter spring "
@@ -44,6 +54,8 @@ WORDS = (
 ).split()
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d|(?:19|20)\d\d")
+#: A word of prose: letters between white space, with marks around it at most.
+PROSE = re.compile(rb"(?<!\S)[\"'(]?([a-z]{3,24})[.,;:?!)\"']*(?!\S)")
 LEET = str.maketrans("@4031!5$7+", "aaoeiisstt")
 #: A value at least this dear to guess (log10 of guesses) is a secret.
 MIN_LOG10_GUESSES = 9.0
@@ -139,6 +151,23 @@ class GuessCost:
         runs(lambda a, b: b in NEAR.get(a, ""), "walk", 3, lambda i, j: math.log10(len(NEAR)) + (j - i - 1) * math.log10(2.0) * 0.5 + math.log10(j - i))
         for d in (1, -1):
             runs(lambda a, b, d=d: a.isascii() and b.isascii() and a.isalnum() and b.isalnum() and ord(b) - ord(a) == d, "sequence", 3, lambda i, j: math.log10(36 * (j - i)))
+        # longer periods show in the distance to where the same few characters stood last
+        for size in (4, 12):
+            seen: dict[str, int] = {}
+            i = 0
+            while i + size <= n:
+                gram = value[i : i + size]
+                p = seen.get(gram)
+                seen[gram] = i
+                if p is not None and i - p > self.unit:
+                    j = i + size
+                    while j < n and value[j] == value[j - (i - p)]:
+                        j += 1
+                    if j - p >= 2 * (i - p):
+                        times = (j - p) // (i - p)
+                        out.setdefault(p, []).append(("repeat", p + times * (i - p), sum(map(_size, value[p:i])) + math.log10(times)))
+                        i = j - size
+                i += 1
         for u in range(1, self.unit + 1):
             i = 0
             while i + 2 * u <= n:
@@ -218,13 +247,38 @@ def scan(text: str | None, model: GuessCost, least: float = MIN_LOG10_GUESSES) -
     return sorted(out)
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Iterable[str] = WORDS, least: float = MIN_LOG10_GUESSES) -> DataFrame:
-    """Per row its id column and ``found``: array of (kind, start, end), by start, then kind. One narrow pass."""
-    words = list(words)
+def corpus_words(df: DataFrame, text_col: str = "text", most: int = RANKED) -> list[str]:
+    """The words of prose in most documents, most frequent first; counted over all rows, aggregated before they are shuffled."""
+
+    def run(batches):
+        total: dict[bytes, int] = {}
+        for whole in batches:
+            for b in slices(whole, "t"):
+                for t in b.column("t").to_pylist():
+                    if t:
+                        for w in set(PROSE.findall(t.encode("utf-8", "replace").lower())):
+                            total[w] = total.get(w, 0) + 1
+                if len(total) > 200_000:  # a bound on memory: what was counted goes out, the shuffle adds it up
+                    yield {"word": [w.decode() for w in total], "n": list(total.values())}
+                    total = {}
+        yield {"word": [w.decode() for w in total], "n": list(total.values())}
+
+    counts = arrow_map(df.select(F.col(text_col).alias("t")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def model_words(df: DataFrame, text_col: str = "text") -> list[str]:
+    """The fixed words and behind them the corpus's own."""
+    return list(dict.fromkeys([*WORDS, *corpus_words(df, text_col)]))
+
+
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: Iterable[str] | None = None, least: float = MIN_LOG10_GUESSES) -> DataFrame:
+    """Per row its id column and ``found``: array of (kind, start, end), by start, then kind. One narrow pass (and one over the words, where none are given)."""
+    words = df.sparkSession.sparkContext.broadcast(model_words(df, text_col) if words is None else list(words))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        model = GuessCost(words)
+        model = GuessCost(words.value)
         for whole in batches:
             for b in slices(whole, text_col):
                 found = [scan(t, model, least) for t in b.column(text_col).to_pylist()]
@@ -233,34 +287,34 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return arrow_map(df.select(id_col, text_col), run, f"`{id_col}` {kind}, found array<struct<kind:string,start:long,end:long>>")
 
 
-def redact(df: DataFrame, text_col: str = "text", words: Iterable[str] = WORDS, least: float = MIN_LOG10_GUESSES, mark: str = "[secret]") -> DataFrame:
+def cover(text: str | None, spans: list[tuple[int, int, int]], mark: str) -> str | None:
+    """The text with every span (overlapping ones joined) replaced by the mark."""
+    if not spans:
+        return text
+    out, at, end = [], 0, -1
+    for s, _, e in spans:
+        if s >= end:
+            if end >= 0:
+                out.append(mark)
+                at = end
+            out.append(text[at:s])
+            at, end = s, e
+        else:
+            end = max(end, e)
+    return "".join([*out, mark, text[end:]])
+
+
+def redact(df: DataFrame, text_col: str = "text", words: Iterable[str] | None = None, least: float = MIN_LOG10_GUESSES, mark: str = "[secret]") -> DataFrame:
     """The same rows and columns with every span (overlapping ones joined) replaced by ``mark``; null stays null."""
-    words = list(words)
+    words = df.sparkSession.sparkContext.broadcast(model_words(df, text_col) if words is None else list(words))
     names = df.columns
 
-    def clean(text, model):
-        spans = scan(text, model, least)
-        if not spans:
-            return text
-        out, at = [], 0
-        end = -1
-        for s, _, e in spans:
-            if s >= end:
-                if end >= 0:
-                    out.append(mark)
-                    at = end
-                out.append(text[at:s])
-                at, end = s, e
-            else:
-                end = max(end, e)
-        return "".join([*out, mark, text[end:]])
-
     def run(batches):
-        model = GuessCost(words)
+        model = GuessCost(words.value)
         for whole in batches:
             for b in slices(whole, text_col):
                 columns = {c: b.column(c) for c in names}
-                columns[text_col] = [clean(t, model) for t in b.column(text_col).to_pylist()]
+                columns[text_col] = [cover(t, scan(t, model, least), mark) for t in b.column(text_col).to_pylist()]
                 yield columns
 
     return arrow_map(df, run, df.schema)
