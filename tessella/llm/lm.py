@@ -12,51 +12,55 @@ tokens, writes each block's token stream to the shared folder (a name and conten
 task makes again alike) and sends each distinct n-gram hash of the block once, packed in sorted
 arrays by hash range. Each range is summed over all blocks, and each block gets back just the
 counts in the order of the hashes it sent. Hot n-grams are thus pre-aggregated, texts are never
-shuffled, and no vocabulary is gathered anywhere. Hashes have 62 bits.
+shuffled, and no vocabulary is gathered anywhere. Words are counted by 64-bit hashes; longer n-grams
+by slots, some 2^``SLOT_BITS`` for each word of the corpus, so that about one in a thousand shares its
+slot with another, whatever the corpus's size.
 
-Null and empty texts are one end token. Rows of a null id are scored, count as held out and are
+Null and empty texts are one end token; texts of any length are scored whole (a block is larger
+where one document is). Rows of a null id are scored, count as held out and are
 never learnt from; repeated rows are documents each. Without training documents base scores
-are 0 and all weight is on the uniform estimate. Extra columns are ignored.
+are 0 and all weight is on the uniform estimate. An empty table gives an empty table; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
-import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .blocks import pack, pack_sorted, unpack, unpack_sorted
+from .blocks import Store, cuts_of, dump, grouped, load, pack, pack_sorted, unpack, unpack_sorted
 from .common import arrow_map, materialize, parallelism, shared_dir, slices, table
-from .warc import _filesystem
 
-ORDER = 2
+ORDER = 3
+#: Slots of n-grams of two words and more: so many bits beyond the corpus's size, two of them for the order.
+SLOT_BITS, LEAST_BITS = 14, 44
 #: Tokens of a block; more only where one document has more.
 BLOCK_TOKENS = 1_000_000
 #: Bytes of text for each range of hashes.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 6 << 20
 LEVELS, ZERO, STEPS = 21, 127, 60
 _END, _BEGIN = np.uint64(0xE4D0E4D0E4D0E4D1), np.uint64(0xBE61BE61BE61BE63)
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def ngram_keys(h: np.ndarray, position: np.ndarray, order: int) -> list[np.ndarray]:
-    """By order 1..n: the hash of the n-gram that ends at each token; its two low bits tell the order."""
-    out = []
-    for o in range(1, order + 1):
+def ngram_keys(h: np.ndarray, position: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
+    """The hashes of the n-grams that end at each token: of words alone (64 bits), then of orders 2..n in one array (``bits`` bits, the two lowest tell the order)."""
+    more = []
+    for o in range(2, order + 1):
         acc = K.mix(h)
         for s in range(1, o):
             before = np.roll(h, s)
             before[position < s] = _BEGIN
             with np.errstate(over="ignore"):
                 acc = K.mix(acc * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(s))
-        out.append(acc & ~np.uint64(3) | np.uint64(o - 1))
-    return out
+        more.append(acc >> np.uint64(64 - bits) & ~np.uint64(3) | np.uint64(o - 1))
+    return [K.mix(h), np.concatenate(more) if more else h[:0]]
 
 
 class Block:
@@ -66,18 +70,20 @@ class Block:
         self.ids, self.folds, self.lengths, self.index, self.distinct = ids, folds, lengths, index, distinct
 
     def dump(self) -> bytes:
-        return pickle.dumps((self.ids, self.folds, self.lengths, pack(self.index), pack_sorted(self.distinct)))
+        docs = dump({"ids": pa.array(self.ids, pa.int64()), "folds": pa.array(self.folds, pa.int8()), "lengths": pa.array(self.lengths, pa.int64())})
+        return dump({"parts": pa.array([docs, pack(self.index), pack_sorted(self.distinct)], pa.large_binary())})
 
     @classmethod
     def load(cls, data: bytes) -> Block:
-        ids, folds, lengths, index, distinct = pickle.loads(data)
-        return cls(ids, folds, lengths, unpack(index, np.int32), unpack_sorted(distinct))
+        docs, index, distinct = load(data).column("parts").to_pylist()
+        docs = load(docs)
+        return cls(docs.column("ids").to_pylist(), docs.column("folds").to_numpy(), docs.column("lengths").to_numpy(), unpack(index, np.int32), unpack_sorted(distinct))
 
-    def keys(self, order: int) -> list[np.ndarray]:
+    def keys(self, order: int, bits: int) -> list[np.ndarray]:
         h = self.distinct[self.index]
         ends = np.cumsum(self.lengths)
         position = np.arange(len(h)) - np.repeat(ends - self.lengths, self.lengths)
-        return ngram_keys(h, position, order)
+        return ngram_keys(h, position, order, bits)
 
     def token_folds(self) -> np.ndarray:
         return np.repeat(self.folds, self.lengths)
@@ -109,99 +115,94 @@ def _blocks(batches, most: int):
         yield make()
 
 
-def counted_blocks(docs: DataFrame, folder: str, order: int = ORDER, block: int = BLOCK_TOKENS, ranges: int = 64) -> DataFrame:
-    """(block, range, n, check, a, e): counts of each block's n-grams, from estimation and held-out documents, in the order of their hashes.
+def slot_bits(size: int) -> int:
+    return min(62, max(LEAST_BITS, SLOT_BITS + int(size // 4 + 1).bit_length()))
+
+
+def _check(keys: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(K.mix(keys)).view(np.int64)) if len(keys) else 0
+
+
+#: What a block sends and gets back: words, and longer n-grams, each with counts from estimation (a) and held-out documents (e).
+_SENT = "block long, range int, keys1 binary, a1 binary, e1 binary, keys2 binary, a2 binary, e2 binary"
+_BACK = "block long, range int, check long, a1 binary, e1 binary, a2 binary, e2 binary, sums array<long>"
+
+
+def counted_blocks(docs: DataFrame, folder: str, order: int = ORDER, block: int = BLOCK_TOKENS, ranges: int = 64, bits: int = LEAST_BITS) -> DataFrame:
+    """_BACK: counts of each block's n-grams, from estimation and held-out documents, in the order of their hashes.
 
     Rows with block -1 hold the sums of each range: distinct and all tokens, without and with the held-out ones.
     """
-    bits = max(1, (ranges - 1).bit_length())
+    top = max(1, (ranges - 1).bit_length())
 
     def send(batches):
         from pyspark import TaskContext
 
-        filesystem, root = _filesystem(folder)
-        filesystem.create_dir(root, recursive=True)
+        store = Store(folder)
         for n, blk in enumerate(_blocks(batches, block)):
             number = TaskContext.get().partitionId() << 24 | n
-            name = f"{root}/{number}"
-            scratch = f"{name}.{uuid.uuid4().hex}"
-            with filesystem.open_output_stream(scratch, compression=None) as f:
-                f.write(blk.dump())
-            filesystem.move(scratch, name)  # a retry puts the same content there
-            keys = blk.keys(order)
-            distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
-            fold = np.tile(blk.token_folds(), order)
-            a = np.bincount(index[fold > 1], minlength=len(distinct)).astype(np.uint32)
-            e = np.bincount(index[fold == 1], minlength=len(distinct)).astype(np.uint32)
-            del keys, index, fold
-            cuts = np.append(np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(distinct))
-            for r in range(1 << bits):
-                lo, hi = int(cuts[r]), int(cuts[r + 1])
-                if hi > lo:
-                    yield {"block": [number], "range": [r], "keys": [pack_sorted(distinct[lo:hi])], "a": [pack(a[lo:hi])], "e": [pack(e[lo:hi])]}
+            store.put_bytes(number, blk.dump())  # a retry puts the same content there
+            fold, parts = blk.token_folds(), []
+            for keys, width in zip(blk.keys(order, bits), (64, bits), strict=True):
+                distinct, index = np.unique(keys, return_inverse=True)
+                of = np.tile(fold, len(keys) // len(fold))
+                a = np.bincount(index[of > 1], minlength=len(distinct)).astype(np.uint32)
+                e = np.bincount(index[of == 1], minlength=len(distinct)).astype(np.uint32)
+                parts.append((cuts_of(distinct << np.uint64(64 - width), top), distinct, a, e))
+                del keys, index, of
+            for r in np.flatnonzero(np.diff(parts[0][0]) + np.diff(parts[1][0])).tolist():
+                row = {"block": [number], "range": [r]}
+                for k, (cuts, distinct, a, e) in enumerate(parts, 1):
+                    own = slice(int(cuts[r]), int(cuts[r + 1]))
+                    row |= {f"keys{k}": [pack_sorted(distinct[own])], f"a{k}": [pack(a[own])], f"e{k}": [pack(e[own])]}
+                yield row
 
     def add(batches):
         """All blocks' rows of a range stand together: sum them, answer each block."""
-        now, held = None, []
-
-        def answer():
-            keys = [unpack_sorted(x[1]) for x in held]
-            sizes = np.cumsum([0] + [len(k) for k in keys])
-            distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
-            total = []
-            for n in (2, 3):
-                own = np.concatenate([unpack(x[n], np.uint32) for x in held])
-                total.append(np.bincount(index, weights=own, minlength=len(distinct)).astype(np.int64))
-            one = (distinct & np.uint64(3)) == 0
-            a, e = total[0][one], total[1][one]
-            sums = np.array([(a > 0).sum(), (a + e > 0).sum(), a.sum(), (a + e).sum()], np.int64)
-            yield {"block": [-1], "range": [now], "n": [0], "check": [0], "a": [None], "e": [None], "sums": [sums.tolist()]}
-            for k, (x, lo, hi) in enumerate(zip(held, sizes[:-1], sizes[1:], strict=True)):
-                check = int(np.bitwise_xor.reduce(keys[k]).view(np.int64))
-                yield {"block": [x[0]], "range": [now], "n": [int(hi - lo)], "check": [check], "a": [pack(total[0][index[lo:hi]])], "e": [pack(total[1][index[lo:hi]])], "sums": [None]}
-
-        for b in batches:
-            for r, *row in zip(*(b.column(c).to_pylist() for c in ("range", "block", "keys", "a", "e")), strict=True):
-                if r != now:
-                    if held:
-                        yield from answer()
-                    now, held = r, []
-                held.append(row)
-        if held:
-            yield from answer()
-
-    sent = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), send, "block long, range int, keys binary, a binary, e binary")
+        for r, rows in grouped(batches, "range", ("block", "keys1", "a1", "e1", "keys2", "a2", "e2")):
+            checks, answers, sums = [0] * len(rows), [[] for _ in rows], None
+            for k in (1, 2):
+                keys = [unpack_sorted(x[3 * k - 2]) for x in rows]
+                distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
+                total = [np.bincount(index, weights=np.concatenate([unpack(x[3 * k - 1 + j], np.uint32) for x in rows]), minlength=len(distinct)).astype(np.int64) for j in (0, 1)]
+                if k == 1:
+                    a, e = total
+                    sums = [int((a > 0).sum()), int((a + e > 0).sum()), int(a.sum()), int((a + e).sum())]
+                at = 0
+                for i, own in enumerate(keys):
+                    mine = index[at : at + len(own)]
+                    at += len(own)
+                    checks[i] ^= _check(own)
+                    answers[i] += [pack(t[mine]) for t in total]
+            yield {"block": [-1], "range": [r], "check": [0], "sums": [sums]} | {c: [None] for c in ("a1", "e1", "a2", "e2")}
+            for x, check, own in zip(rows, checks, answers, strict=True):
+                yield {"block": [x[0]], "range": [r], "check": [check], "sums": [None]} | dict(zip(("a1", "e1", "a2", "e2"), ([v] for v in own), strict=True))
+
+    sent = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), send, _SENT)
     dealt = sent.repartition("range").sortWithinPartitions("range", "block")
-    return arrow_map(dealt, add, "block long, range int, n long, check long, a binary, e binary, sums array<long>")
-
+    return arrow_map(dealt, add, _BACK)
 
-def _with_counts(batches, folder: str, order: int):
-    """Each block with its keys' indices and its counts, as its rows come in the order of ranges."""
-    filesystem, root = _filesystem(folder)
-    now, rows = None, []
 
-    def load():
-        with filesystem.open_input_stream(f"{root}/{now}", compression=None) as f:
-            blk = Block.load(f.read())
-        distinct, index = np.unique(np.concatenate(blk.keys(order)), return_inverse=True)
-        a = np.concatenate([unpack(x[2], np.int64) for x in rows])
-        e = np.concatenate([unpack(x[3], np.int64) for x in rows])
-        check = 0
+def _with_counts(batches, folder: str, order: int, bits: int, held_out: bool):
+    """Each block with the counts (order, token) of its n-grams, from estimation documents and, if wanted, held-out ones as well."""
+    store = Store(folder)
+    for number, rows in grouped(batches, "block", ("check", "a1", "e1", "a2", "e2")):
+        blk = Block.load(store.get_bytes(number))
+        check, count = 0, []
         for x in rows:
-            check ^= x[1]
-        if len(a) != len(distinct) or check != int(np.bitwise_xor.reduce(distinct).view(np.int64)):
-            raise RuntimeError(f"block {now} and its counts don't belong together")
-        return blk, index.reshape(order, -1), a, e
-
-    for b in batches:
-        for k, *row in zip(*(b.column(c).to_pylist() for c in ("block", "n", "check", "a", "e")), strict=True):
-            if k != now:
-                if rows:
-                    yield load()
-                now, rows = k, []
-            rows.append(row)
-    if rows:
-        yield load()
+            check ^= x[0]
+        for k, keys in enumerate(blk.keys(order, bits)):
+            distinct, index = np.unique(keys, return_inverse=True)
+            own = np.concatenate([unpack(x[2 * k + 1], np.int64) for x in rows])
+            if held_out:
+                own = own + np.concatenate([unpack(x[2 * k + 2], np.int64) for x in rows])
+            check ^= _check(distinct)
+            if len(own) != len(distinct):
+                raise RuntimeError(f"block {number} and its counts don't belong together")
+            count.append(own[index].reshape(-1, len(blk.index)))
+        if check:
+            raise RuntimeError(f"block {number} and its counts don't belong together")
+        yield blk, np.concatenate(count)
 
 
 def estimates(count: np.ndarray, first: np.ndarray, docs: float, tokens: float) -> tuple[np.ndarray, np.ndarray]:
@@ -257,19 +258,18 @@ class Model:
 
 
 def _by_block(counts: DataFrame) -> DataFrame:
-    return counts.where("block >= 0").repartition("block").sortWithinPartitions("block", "range").select("block", "n", "check", "a", "e")
+    return counts.where("block >= 0").repartition("block").sortWithinPartitions("block", "range").select("block", "check", "a1", "e1", "a2", "e2")
 
 
-def fit(counts: DataFrame, folder: str, order: int = ORDER) -> Model:
+def fit(counts: DataFrame, folder: str, order: int = ORDER, bits: int = LEAST_BITS) -> Model:
     """The mixture weights and the corpus sums; only sums of fixed size come to the driver."""
     s = counts.where("block = -1").agg(*(F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)).alias(n) for i, n in enumerate(("va", "v", "na", "n")))).first()
 
     def events(batches):
-        for blk, index, a, _ in _with_counts(batches, folder, order):
+        for blk, count in _with_counts(batches, folder, order, bits, False):
             mine = blk.token_folds() == 1
             if not mine.any():
                 continue
-            count = a[index]
             docs = float(count[0][np.cumsum(blk.lengths)[:1] - 1][0])  # every document ends alike
             p, bucket = estimates(count, _first(blk), docs, float(s.na))
             cell = bucket[mine]
@@ -285,12 +285,11 @@ def fit(counts: DataFrame, folder: str, order: int = ORDER) -> Model:
     return Model(order, weights, int(s.n), int(s.v))
 
 
-def score(counts: DataFrame, folder: str, model: Model) -> DataFrame:
+def score(counts: DataFrame, folder: str, model: Model, bits: int = LEAST_BITS) -> DataFrame:
     """SCORE's columns for every document of the blocks."""
 
     def run(batches):
-        for blk, index, a, e in _with_counts(batches, folder, model.order):
-            count = (a + e)[index]
+        for blk, count in _with_counts(batches, folder, model.order, bits, True):
             docs = float(count[0][np.cumsum(blk.lengths)[:1] - 1][0])
             p, bucket = estimates(count, _first(blk), docs, float(model.tokens))
             w = model.weights[bucket]
@@ -313,10 +312,10 @@ def score(counts: DataFrame, folder: str, model: Model) -> DataFrame:
 def train_and_score(docs: DataFrame, order: int = ORDER, block: int = BLOCK_TOKENS) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    folder = shared_dir(spark)
+    folder, bits = shared_dir(spark), slot_bits(size)
     ranges = max(4, parallelism(spark), math.ceil(size / RANGE_BYTES))
-    counts = materialize(counted_blocks(docs, folder, order, block, ranges))
-    return score(counts, folder, fit(counts, folder, order))
+    counts = materialize(counted_blocks(docs, folder, order, block, ranges, bits))
+    return score(counts, folder, fit(counts, folder, order, bits), bits)
 
 
 def op7_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

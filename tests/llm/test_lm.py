@@ -74,7 +74,8 @@ def test_against_plain_dictionaries(spark, order):
         j = order
         words = [g[0] for g in grams[0]]
         assert sum(probability(seq[:j] + [x], j) for x in [*words, "never seen"]) == pytest.approx(1, abs=1e-9)
-    assert sum(r[6] for r in held) >= sum(r[5] for r in held) - 1e-6 * len(held) or order > 1
+    # the mixture learns how far to trust each order, so on held-out texts it is no worse than its best part
+    assert sum(r[6] for r in held) >= sum(r[5] for r in held) - 0.02 * abs(sum(r[5] for r in held))
 
 
 def test_em_finds_known_weights():
@@ -90,3 +91,34 @@ def test_empty_and_untrained(spark):
     assert lm.train_and_score(spark.createDataFrame([], schema)).count() == 0
     (r,) = lm.train_and_score(spark.createDataFrame([(None, "a b")], schema)).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_beats_the_base_on_held_out_texts(spark, tmp_path):
+    r = random.Random(8)
+    names = [f"w{i}" for i in range(300)]
+    follow = {a: r.sample(names, 5) for a in names}  # a language in which the word before tells much
+    rows = []
+    for i in range(1500):
+        w = [r.choice(names)]
+        while len(w) < 60:
+            w.append(r.choice(follow[w[-1]]))
+        rows.append((i, " ".join(w)))
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as block", "0 as held_out").write.parquet(f"{tmp_path}/documents.parquet")
+    held = [x for x in lm.op7_interpolation(spark, str(tmp_path)).collect() if x.held_out]
+    assert len(held) > 100
+    assert sum(x.score for x in held) > 0.9 * sum(x.base_score for x in held)
+    assert sum(x.score > x.base_score for x in held) > 0.95 * len(held)
+
+
+def test_regular_words_are_told_apart(spark):
+    def word(n, a, b):
+        return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+    rows = []
+    for n in (1024, 2048):
+        rows += [(2 * n, f"{word(n, 'a', 'b')} x"), (2 * n + 1, f"{word(n, 'b', 'a')} x")]
+    train = [r for r in rows if fold(r[0])]
+    got = {x.doc_id: x for x in lm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    known = {w for _, t in train for w in t.split()}
+    for i, t in rows:
+        assert got[i].n_known == sum(w in known for w in t.split()) + 1
