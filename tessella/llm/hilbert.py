@@ -15,7 +15,10 @@ Rows whose id is null, or whose vector is null, empty, zero, of another length t
 holds null or non-finite components, take no part. Of equal vectors only the ids that can be
 among a query's nearest are searched (the smallest k+1, cut before the shuffle), which loses no
 result. Repeated rows of an id count once. A query never finds its own id; equal scores go to the
-smaller id. An empty table gives no rows.
+smaller id; of several vectors of one id the nearest counts. Vectors of any size of components
+are scaled by powers of two, which changes no digit. A block that is larger than ``BLOCK`` rows
+twice over, since many near-equal vectors share a key, is split by hash, and its queries visit
+every part. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .common import arrow_map, materialize, table
 
 CURVES, DIMENSIONS, BITS, SHARE = 8, 6, 8, 0.25
@@ -37,6 +42,7 @@ FOUND = "query_id long, vec_id long, score double"
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Position on the Hilbert curve of integer points (one a row), 'bits' bits an axis.
 
+    After J. Skilling, "Programming the Hilbert curve" (AIP Conf. Proc. 707, 2004).
     Works from the top bit down on all points at once: axes are exchanged or inverted as the
     curve's orientation asks, then the Gray code of the interleaved bits is undone.
     """
@@ -79,8 +85,19 @@ class Curve:
         return hilbert_keys(cells.astype(np.int64), self.bits)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that no square overflows or vanishes; directions and roundings stay."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0))[1][:, None])
+
+
+def unit_rows(v: np.ndarray) -> np.ndarray:
+    v = scaled(v)
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of rows paired one to one, each computed the same way wherever it stands."""
+    a, b = scaled(a), scaled(b)
     norm = lambda v: np.sqrt((v * v).sum(axis=1))
     return np.clip((a * b).sum(axis=1) / (norm(a) * norm(b)), -1.0, 1.0)
 
@@ -112,14 +129,16 @@ def neighbours(
     down = key_bits(width) - HISTOGRAM_BITS
     slot = F.shiftright("key", down) if down > 0 else F.col("key")
     counts = keyed.groupBy("curve", slot.alias("slot")).count().toArrow()  # at most 2^16 rows a curve
-    starts = []
+    starts, splits = [], []
     for c in range(curves):
         of = np.zeros(1 << HISTOGRAM_BITS, np.int64)
         mine = counts.column("curve").to_numpy() == c
         of[counts.column("slot").to_numpy()[mine]] = counts.column("count").to_numpy()[mine]
         middle = np.cumsum(of) - of / 2  # a slot goes where its middle row falls
         starts.append(np.minimum((middle * blocks / max(1, of.sum())).astype(np.int32), blocks - 1))
+        splits.append(np.maximum(1, np.bincount(starts[-1], weights=of, minlength=blocks) // (2 * block)).astype(np.int32))
     places = spark.sparkContext.broadcast(np.stack(starts))  # fixed size: 256 KB a curve
+    parts_of = spark.sparkContext.broadcast(np.stack(splits))  # one number a block
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
 
     def assign(batches):
@@ -127,7 +146,8 @@ def neighbours(
         for b in batches:
             curve, key = b.column("curve").to_numpy(), b.column("key").to_numpy()
             own = at[curve, key >> max(0, down)]
-            yield {"curve": curve, "block": own, "q": np.zeros(len(own), bool), "vec_id": b.column("vec_id"), "v": b.column("v")}
+            salt = K.mix(b.column("vec_id").to_numpy().view(np.uint64)) % parts_of.value[curve, own].astype(np.uint64)
+            yield {"curve": curve, "block": own, "part": salt, "q": np.zeros(len(own), bool), "vec_id": b.column("vec_id"), "v": b.column("v")}
 
     def ask(batches):
         at = places.value
@@ -139,18 +159,23 @@ def neighbours(
                 # at an end of the order the window goes on at its other side, so every window is of one width
                 near = np.where(near < 0, own + reach - near, np.where(near >= blocks, own - reach - (near - blocks + 1), near))
                 keep = (near >= 0) & (near < blocks)
-                part = b.filter(_mask(keep))
-                yield {"curve": curve[keep], "block": near[keep], "q": np.ones(int(keep.sum()), bool), "vec_id": part.column("vec_id"), "v": part.column("v")}
-
-    shape_of = "curve int, block int, q boolean, vec_id long, v binary"
+                at_c, at_b = curve[keep], near[keep]
+                n = parts_of.value[at_c, at_b]
+                which = np.repeat(np.flatnonzero(keep), n)  # once for each part of the block
+                part = b.take(pa.array(which))
+                salt = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                yield {"curve": np.repeat(at_c, n), "block": np.repeat(at_b, n), "part": salt, "q": np.ones(len(which), bool), "vec_id": part.column("vec_id"), "v": part.column("v")}
+
+    shape_of = "curve int, block int, part int, q boolean, vec_id long, v binary"
     dealt = arrow_map(keyed, assign, shape_of).union(arrow_map(_keyed(queries, width, curves), ask, shape_of))
-    dealt = dealt.repartition("curve", "block").sortWithinPartitions("curve", "block", "q")
+    dealt = dealt.repartition("curve", "block", "part").sortWithinPartitions("curve", "block", "part", "q")
 
     def search(batches):
         """A block's rows come first and stay; its queries stream past them."""
         now, held, held_ids, unit, parts, part_ids = None, None, None, None, [], []
         for b in batches:
-            curve, blk, isq = (b.column(n).to_numpy(zero_copy_only=False) for n in ("curve", "block", "q"))
+            curve, isq = (b.column(n).to_numpy(zero_copy_only=False) for n in ("curve", "q"))
+            blk = b.column("block").to_numpy().astype(np.int64) << 32 | b.column("part").to_numpy()
             vec = np.frombuffer(b"".join(b.column("v").to_pylist()), np.float64).reshape(-1, width)
             ids = b.column("vec_id").to_numpy()
             cut = np.flatnonzero((np.diff(curve) != 0) | (np.diff(blk) != 0) | (np.diff(isq) != 0)) + 1
@@ -165,32 +190,25 @@ def neighbours(
                 elif parts:
                     if held is None:
                         held, held_ids = np.concatenate(parts), np.concatenate(part_ids)
-                        unit = held / np.linalg.norm(held, axis=1)[:, None]
+                        unit = unit_rows(held)
                     for i in range(lo, hi, 256):
                         yield _top(vec[i : min(i + 256, hi)], ids[i : min(i + 256, hi)], held, held_ids, unit, k)
 
     found = arrow_map(dealt, search, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def key_bits(width: int) -> int:
     return min(DIMENSIONS, width) * BITS
 
 
-def _mask(keep: np.ndarray):
-    import pyarrow as pa
-
-    return pa.array(keep)
-
-
 def _keyed(rows: DataFrame, width: int, curves: int) -> DataFrame:
     def run(batches):
         orders = [Curve(c, width) for c in range(curves)]
         for b in batches:
             v = np.array(b.column("v").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
-            unit = v / np.abs(v).max(axis=1)[:, None]  # first by the largest component, so that no square overflows
-            unit = unit / np.linalg.norm(unit, axis=1)[:, None]
+            unit = unit_rows(v)
             data = [x.tobytes() for x in v]
             for c, curve in enumerate(orders):
                 yield {"curve": np.full(len(v), c, np.int32), "key": curve.keys(unit), "vec_id": b.column("vec_id"), "v": data}
@@ -200,7 +218,7 @@ def _keyed(rows: DataFrame, width: int, curves: int) -> DataFrame:
 
 def _top(queries: np.ndarray, query_ids: np.ndarray, held: np.ndarray, held_ids: np.ndarray, unit: np.ndarray, k: int) -> dict:
     """Each query's k best in a block: a matrix product picks a few more, exact scores decide."""
-    rough = (queries / np.linalg.norm(queries, axis=1)[:, None]) @ unit.T
+    rough = unit_rows(queries) @ unit.T
     rough[query_ids[:, None] == held_ids[None, :]] = -np.inf
     # everything within rounding of the k-th is looked at, so ties can't be lost
     at = len(held) - min(k, len(held))

@@ -1,7 +1,9 @@
 import math
+import os
 from itertools import product
 
 import numpy as np
+import pytest
 
 from tessella.llm import hilbert
 
@@ -55,3 +57,45 @@ def test_curve_is_a_bijection_with_unit_steps():
     assert sorted(keys.tolist()) == list(range(512))
     walk = cells[np.argsort(keys)]
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_vectors_of_any_size_and_of_one_id(spark):
+    r = np.random.default_rng(5)
+    base = r.standard_normal((300, 6))
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(base, [1, 1e200, 1e-200] * 100, strict=True))]
+    rows += [(7, base[50].tolist()), (7, (-base[50]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in hilbert.neighbours(df).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    cos = unit @ unit.T
+    for q in range(0, 300, 50):
+        best = {i: cos[q, i] for i in range(300) if i != q}
+        best[7] = max(best[7], cos[q, 50], -cos[q, 50]) if q != 7 else 0
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert [i for i, _ in got[q]] == [i for i, _ in want]
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-12)
+
+
+def test_a_hot_key_is_split(spark):
+    r = np.random.default_rng(6)
+    centre = r.standard_normal(8)
+    rows = [(i, (centre + 1e-6 * r.standard_normal(8)).tolist()) for i in range(1000)] + [(1000 + i, r.standard_normal(8).tolist()) for i in range(1000)]
+    got, want = run(spark, rows, block=60, share=0.3), brute(rows, 50, 5)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want if q < 1000)
+    assert hits >= 0.9 * 5 * 20
+
+
+DATA = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
+def test_recall_on_the_table(spark):
+    rows = [(x.vec_id, x.embedding) for x in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    want = brute(rows, 50, 5)
+    got = {}
+    for x in hilbert.op1_hilbert(spark, DATA).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    assert set(got) == set(want)
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
