@@ -13,7 +13,8 @@ its payload digest verified.
 Null payloads are empty; null URLs give records without a target; control characters in URLs
 are percent-encoded. A null page id takes part like the smallest one. Rows that repeat the
 smallest page id of a payload are responses each, all others revisit that id. Payloads shorter
-than ``least`` bytes are responses always. Columns of other names are ignored.
+than ``least`` bytes are responses always. Payloads of any length are written and read whole; an empty
+table gives an empty index and no records. Columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ INDEX = "file string, offset long, length long, page_id long, url string, payloa
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 #: Ranges with gaps of up to GAP bytes are fetched together, in reads of up to READ bytes.
 GAP, READ = 1 << 16, 8 << 20
+#: Bytes of records that one task reads back.
+TASK_BYTES = 4 << 20
 #: A new archive is begun beyond this size.
 ROLL = 1 << 30
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -180,7 +183,10 @@ def read(index: DataFrame, folder: str, columns: tuple[str, ...] | None = None)
                 found = [parse(zlib.decompress(data[o - start : o - start + n], 31)) for o, n in ranges]
                 yield {k: [x[k] for x in found] for k, _ in fields}
 
-    rows = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # index rows are small, what they stand for isn't: the number of tasks follows the bytes to read
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first().b
+    tasks = max(1, -(-size // TASK_BYTES))
+    rows = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return arrow_map(rows, run, ", ".join(" ".join(f) for f in fields))
 
 
