@@ -10,7 +10,8 @@ The template marks turns with ``<turn>``, ``<text>`` and ``</turn>`` and escapes
 roles and texts, so no text can forge a marker and reading back is exact. Offsets are code points.
 
 Rows are sorted inside their partition and read as a stream, so a task holds one window of turns,
-however long a conversation is. Null roles and texts are empty; rows of a null conv_id form one
+however long a conversation is. Turn tokens are those of the BPE codec for a given tokenizer file,
+plus ``MARKERS`` for the template; without a file, runs of non-space characters. Null roles and texts are empty; rows of a null conv_id form one
 conversation; rows of a null turn come first; equal turns are ordered by role, then text, and
 repeated rows are turns each; an empty table gives no windows. Other columns are ignored.
 """
@@ -24,9 +25,10 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import arrow_map, table
 
-BUDGET, HISTORY = 512, 128
+BUDGET, HISTORY, MARKERS = 512, 128, 12
 _TOKEN = re.compile(r"\S+")
 WINDOW = "conv_id long, window long, formatted string, loss array<struct<start:long,end:long>>, n_fixed int, n_history int, n_new int"
 
@@ -57,8 +59,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 class Windows:
     """Turns of one conversation in, finished windows out; holds at most one window and its history."""
 
-    def __init__(self, conv_id, budget: int, history: int):
-        self.conv_id, self.budget, self.history = conv_id, budget, history
+    def __init__(self, conv_id, budget: int, history: int, count=lambda role, text: len(_TOKEN.findall(text)) + 1):
+        self.conv_id, self.budget, self.history, self.count = conv_id, budget, history, count
         self.system: tuple[str, str] | None = None
         self.sums = [0]  # prefix sums of the tokens of the turns held
         self.turns: list[tuple[str, str]] = []
@@ -67,7 +69,7 @@ class Windows:
         self.n = self.seen = 0
 
     def add(self, role: str, text: str) -> list[dict]:
-        tokens = len(_TOKEN.findall(text)) + 1
+        tokens = self.count(role, text)
         out = []
         if not self.seen and role == "system":
             self.system, self.fixed = (role, text), tokens
@@ -118,18 +120,22 @@ def _ordered(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition("conv_id").sortWithinPartitions(*by)
 
 
-def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Windows of all conversations: see WINDOW for the columns."""
+def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None) -> DataFrame:
+    """Windows of all conversations: see WINDOW for the columns; budgets are in tokens of the tokenizer file, if one is given."""
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
+        count = Windows.__init__.__defaults__[0]
+        if tokenizer:
+            codec = bpe.codec(tokenizer)
+            count = lambda role, text: sum(map(len, codec.stream(escape(text)))) + sum(map(len, codec.stream(escape(role)))) + MARKERS
         now: Windows | None = None
         for b in batches:
             out = []
             for c, role, text in zip(b.column("conv_id").to_pylist(), b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if now is None or now.conv_id != c:
                     out += now.close() if now else []
-                    now = Windows(c, budget, history)
+                    now = Windows(c, budget, history, count)
                 out += now.add(role, text)
                 if len(out) >= 500:
                     yield _columns(out)
@@ -195,4 +201,4 @@ EXTRA = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(turns.unionByName(extra)))
+    return read_back(format_conversations(turns.unionByName(extra), tokenizer=bpe.default_path()))

@@ -50,3 +50,15 @@ def test_null_ids_repeated_rows_and_empty(spark):
     (r,) = chat.read_back(chat.format_conversations(df)).collect()
     assert (r.conv_id, r.n_turns, r.loss_chars) == (None, 3, 2)
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_budgets_in_model_tokens(spark):
+    from tessella.llm import bpe
+
+    rows, df = rows_of(spark)
+    codec = bpe.codec(bpe.default_path())
+    windows = chat.format_conversations(df, budget=100, history=30, tokenizer=bpe.default_path())
+    for w in windows.collect():
+        assert len(codec.encode(w.formatted)) <= 100 or w.n_new == 1
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(windows).collect()}
+    assert got == brute(rows)
