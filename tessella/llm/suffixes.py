@@ -463,3 +463,15 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH, core: int = CORE, symb
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH h AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+p AS (SELECT doc_id, x, octet_length(x) AS n, unnest(range(CAST(octet_length(x) AS BIGINT))) AS i FROM h),
+g AS (SELECT doc_id, i, hex(array_slice(x, i + 1, i + 1)) AS b, CASE WHEN n >= i + 200 THEN md5_number(array_slice(x, i + 1, i + 200)) END AS w FROM p),
+f AS (SELECT w FROM g WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
+m AS (SELECT doc_id, i, b, max(CASE WHEN f.w IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM g LEFT JOIN f ON f.w = g.w),
+k AS (SELECT *, gone - coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) AS step FROM m),
+a AS (SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (WHERE step = 1) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM k GROUP BY doc_id)
+SELECT h.doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN a ON a.doc_id = h.doc_id
+"""

@@ -60,3 +60,16 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert D.contained_items(docs, some.withColumnRenamed("doc_id", "item_id")).count() == 0
     assert D.contained_items(some, items).count() == 0
+
+
+def test_regular_words_are_told_apart(spark):
+    word = lambda n, a, b: "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+    docs, items = [], []
+    for i, n in enumerate((1024, 2048)):
+        docs += [(2 * i, f"x y {word(n, 'a', 'b')} z x y z"), (2 * i + 1, f"x y {word(n, 'b', 'a')} z x y z")]
+        items += [(2 * i, f"y {word(n, 'a', 'b')} z x y"), (2 * i + 1, word(n, "b", "a"))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert {x[:2] for x in want} == {(0, 0), (1, 1), (2, 2), (3, 3)}
+    assert sorted((tuple(r) for r in D.contained_items(d, i).collect()), key=str) == want
+    assert sorted((tuple(r) for r in D.contained_items(d, i, most_broadcast=0).collect()), key=str) == want

@@ -102,3 +102,52 @@ def test_each_text_of_a_repeated_id_links(spark):
     r.shuffle(rows)
     found = jaccard.jaccard_classes(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(found) == len(rows) and {x.doc_id: x.component_id for x in found} == want
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_regular_words_do_not_link(spark):
+    rows = []
+    for i, n in enumerate((1024, 2048, 4096)):
+        rows += [(10 * i, thue_morse(n, "a", "b"), "", 1), (10 * i + 1, thue_morse(n, "b", "a"), "", 1), (10 * i + 2, f"x {thue_morse(n, 'a', 'b')} y z", "", 1), (10 * i + 3, f"x {thue_morse(n, 'b', 'a')} y z", "", 1)]
+    got = sorted(tuple(r) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute(rows)
+
+
+def test_large_group_of_near_copies_in_several_components(spark):
+    r = random.Random(9)
+    vocabulary = [f"g{i}" for i in range(400)]
+    base = [r.choice(vocabulary) for _ in range(150)]
+    rows = []
+    for i in range(500):  # from copies that link with nearly all to some that link with none
+        w = list(base)
+        for _ in range(r.choice((0, 1, 2, 3, 4, 6, 9, 12))):
+            w[r.randrange(len(w))] = f"u{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), None, None))
+    want = brute(rows)
+    assert len({x[2] for x in want}) > 5
+    got = sorted(tuple(x) for x in jaccard.jaccard_classes(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == want
+
+
+def test_candidates_are_linear_in_a_growing_group(spark, monkeypatch):
+    made = []
+    keep = jaccard.pairs_of
+    monkeypatch.setattr(jaccard, "pairs_of", lambda *a: made.append(keep(*a)) or made[-1])
+
+    def run(n):
+        r = random.Random(10)
+        base, rows = [f"g{r.randrange(300)}" for _ in range(120)], []
+        for i in range(n):
+            w = list(base)
+            for _ in range(r.choice((0, 1, 2, 4, 8, 12))):
+                w[r.randrange(len(w))] = f"u{r.randrange(10**6)}"
+            rows.append((i, " ".join(w), None, None))
+        made.clear()
+        jaccard.jaccard_classes(spark.createDataFrame(rows, SCHEMA)).count()
+        return sum(x.count() for x in made)
+
+    small, large = run(100), run(400)
+    assert large <= 8 * small  # sixteen times as many, were all pairs tried
