@@ -23,3 +23,9 @@ def test_same_as_sql(spark, name):
     names = [d[0] for d in r.description]
     assert sorted(names) == columns
     assert sorted(tuple(map(str, x)) for x in df.select(*columns).collect()) == sorted(tuple(str(x[names.index(c)]) for c in columns) for x in r.fetchall())
+
+
+def test_pipeline_counts_as_a_query(spark):
+    import __spark_entry__ as entry
+
+    assert "pipeline" in entry.queries() and {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()}
