@@ -22,11 +22,16 @@ def parser() -> argparse.ArgumentParser:
     m = s.add_parser("plan-media", help="download jobs of a capture, as JSON lines")
     m.add_argument("selected")
     m.add_argument("out")
+    m.add_argument("--accounts", nargs="*")
+    for kind in ("covers", "slides", "avatars"):
+        m.add_argument(f"--no-{kind}", action="store_true")
+    m.add_argument("--dry-run", metavar="MEDIA", help="only report what is planned and still missing in this media folder")
     e = s.add_parser("export-dataset", help="publish a dataset folder")
     for a in ("selected", "media", "out"):
         e.add_argument(a)
     e.add_argument("--zip", action="store_true")
     e.add_argument("--dry-run", action="store_true")
+    e.add_argument("--require-verified-media", action="store_true")
     v = s.add_parser("validate", help="check a published dataset")
     v.add_argument("dataset")
     s.add_parser("status", help="files of each area")
@@ -75,15 +80,23 @@ def _run(a: argparse.Namespace) -> int:
     if a.command == "doctor":
         print(json.dumps({"spark": spark.version, "rows": spark.range(3).count()}))
         return 0
+    from pyspark.sql import functions as F
+
     from .plans import export, media, normalize, validate
     from .sources import text
 
     if a.command == "normalize":
         normalize.normalized_posts(normalize.split_items(text.posts(spark, a.selected))[0], ["source_file", "record"]).select(*normalize.COLUMNS).write.parquet(a.out)
     elif a.command == "plan-media":
-        media.download_jobs(text.posts(spark, a.selected)).write.json(a.out)
+        planned = media.plan_posts(text.posts(spark, a.selected), a.accounts)
+        jobs = media.job_fingerprints(media.download_jobs(planned, not a.no_covers, not a.no_slides, not a.no_avatars), planned)
+        if a.dry_run:
+            present = text.media_files(spark, a.dry_run).select(F.col("relative").alias("path"), "length")
+            print(json.dumps(media.plan_report(planned, jobs, present).first().asDict()))
+        else:
+            jobs.write.json(a.out)
     elif a.command == "export-dataset":
-        print(json.dumps(export.export_dataset(spark, a.selected, a.media, a.out, archive=a.zip, dry_run=a.dry_run)["counts"]))
+        print(json.dumps(export.export_dataset(spark, a.selected, a.media, a.out, archive=a.zip, dry_run=a.dry_run, require_verified=a.require_verified_media)["counts"]))
     elif a.command == "validate":
         report = validate.validate(spark, a.dataset)
         print(json.dumps(report))

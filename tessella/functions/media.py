@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,7 @@ PLATFORM_HOSTS = ("tiktok", "tiktokcdn", "byteoversea", "ibyteimg", "muscdn", "a
 VIDEO_KEYS = ("video", "play", "download", "playaddr", "downloadaddr")
 VIDEO_MARKS = (".mp4", "video/tos", "v16-webapp", "v19-webapp", "mime_type=video")
 PLATFORM_SITE = "tiktok.com"
+POST_PAGES = ("/video/", "/photo/", "/v/")
 #: Direct video URLs that are tried at most.
 DIRECT_LIMIT = 8
 CANDIDATES = "array<struct<source:string,url:string>>"
@@ -107,42 +109,43 @@ def failure_summary(attempts: Column) -> Column:
     return F.transform(attempts, lambda a: F.struct(a["source"].alias("source"), F.filter(a["statuses"], lambda s: s.isNotNull()).alias("statuses"), tail(a["errors"], 2).alias("errors")))
 
 
-def _walk(value, visit, key=""):
-    if isinstance(value, dict):
-        for k, v in value.items():
-            _walk(v, visit, str(k).lower())
-    elif isinstance(value, list):
-        for v in value:
-            _walk(v, visit, key)
-    elif isinstance(value, str):
-        visit(value, key)
+def strings_in(value, key: str = "", backwards: bool = False) -> Iterator[tuple[str, str]]:
+    """(nearest key in lower case, string) of every string in a JSON value, in document order or its reverse."""
+    if isinstance(value, str):
+        yield key, value
+        return
+    inner = [(str(k).lower(), v) for k, v in value.items()] if isinstance(value, dict) else [(key, v) for v in value] if isinstance(value, list) else []
+    for k, v in reversed(inner) if backwards else inner:
+        yield from strings_in(v, k, backwards)
+
+
+def is_direct_video(key: str, url: str) -> bool:
+    """A URL that names a video by its own words or by the key it stands under; no image, no profile page."""
+    low = url.lower()
+    named = any(k in key for k in VIDEO_KEYS) or any(m in low for m in VIDEO_MARKS)
+    return named and url.startswith(("http://", "https://")) and not low.split("?")[0].endswith(IMAGE_EXTENSIONS) and f"{PLATFORM_SITE}/@" not in low
 
 
 def video_urls(payload) -> list[str]:
     """Direct video URLs anywhere in a payload, in document order, each once."""
-    found: dict[str, None] = {}
+    return list(dict.fromkeys(url for key, url in strings_in(payload) if is_direct_video(key, url)))
 
-    def visit(url: str, key: str) -> None:
-        low = url.lower()
-        if not url.startswith(("http://", "https://")) or low.split("?")[0].endswith(IMAGE_EXTENSIONS) or f"{PLATFORM_SITE}/@" in low:
-            return
-        if any(k in key for k in VIDEO_KEYS) or any(m in low for m in VIDEO_MARKS):
-            found.setdefault(url)
 
-    _walk(payload, visit)
-    return list(found)
+def post_page_url(*payloads) -> str | None:
+    """Of the post pages' URLs in the payloads the one that stands last."""
+    pages = (u for _, u in strings_in(list(payloads), backwards=True) if PLATFORM_SITE in u.lower() and any(x in u.lower() for x in POST_PAGES))
+    return next(pages, None)
 
 
-def post_page_url(*payloads) -> str | None:
-    """Some post page's URL in the payloads: the last value of the last container is looked at first."""
-    pending = list(payloads)
-    while pending:
-        v = pending.pop()
-        if isinstance(v, (dict, list)):
-            pending += v.values() if isinstance(v, dict) else v
-        elif isinstance(v, str) and PLATFORM_SITE in v.lower() and any(x in v.lower() for x in ("/video/", "/photo/", "/v/")):
-            return v
-    return None
+def acceptable_image(status: Column, content_type: Column, length: Column) -> Column:
+    """A response that may be kept as an image: 200, a body, and an image's, a plain binary's or no content type."""
+    kind = F.lower(F.split(F.coalesce(content_type, F.lit("")), ";")[0])
+    return (status == 200) & (length > 0) & ((kind == "") | kind.startswith("image/") | (kind == "application/octet-stream"))
+
+
+def error_tail(c: Column, most: int = 5000) -> Column:
+    """The last characters of an error's text."""
+    return F.when(F.char_length(c) > most, F.right(c, F.lit(most))).otherwise(c)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -151,6 +154,11 @@ def direct_video_urls(raw_json: pd.Series) -> pd.Series:
     return raw_json.map(lambda t: None if t is None else video_urls(json.loads(t)))
 
 
+def first_direct_urls(raw_json: Column) -> Column:
+    """The direct video URLs that are tried: the first few."""
+    return F.slice(direct_video_urls(raw_json), 1, DIRECT_LIMIT)
+
+
 @F.pandas_udf(T.StringType())
 def find_post_url(raw_json: pd.Series) -> pd.Series:
     return raw_json.map(lambda t: None if t is None else post_page_url(json.loads(t)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 
 def missing(required: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:
     """Required rows without a present one; null keys never match and so are missing."""
@@ -60,7 +62,7 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "number", par
     if parts:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*parts).orderBy(*order)))
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() % (1 << 33) + 1)
-    dealt = dealt.persist()  # numbers and counts must see one and the same dealing
+    dealt = settle(dealt)  # numbers and counts must see one and the same dealing
     counts = dealt.groupBy("__p").count()
     before = counts.withColumn("__b", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     return dealt.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import shutil
+import uuid
 import zipfile
 from datetime import UTC, datetime
 from pathlib import Path
@@ -13,13 +15,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.identity import UNKNOWN, account_id, export_account, export_post_id, post_uid, safe_component
+from ..functions.identity import UNKNOWN, account_id, capture_account, export_account, export_post_id, post_uid, safe_component
 from ..functions.variants import canonical
 from ..operators.dedup import collapse_or_fail, removed_rows
+from ..session import settle
 from ..sources import text as scans
+from ..sources.capture import capture_fingerprint
 from . import media as M
 from . import validate as V
-from .normalize import COLUMNS, content_type, normalize
+from .normalize import COLUMNS, content_type, normalize, published, spelt, verbatim
 
 # The versions and names of the package's parts.
 SCHEMA_VERSION = "creative-dataset-export-v1"
@@ -68,7 +72,7 @@ def load_posts(rows: DataFrame, overlay: DataFrame | None = None) -> tuple[DataF
     gone = removed_rows(k, ["acct", "post_id"]).first().removed
     keep = posts.columns
     n = normalize(posts.withColumnRenamed("post_id", "key_id"), "raw", "raw_json")
-    posts = n.withColumn("own_meta", F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})).withColumn("post_id", F.col("key_id")).select(*keep, "own_meta")
+    posts = n.withColumn("own_meta", published(n)).withColumn("post_id", F.col("key_id")).select(*keep, "own_meta")
     if overlay is not None:
         o = collapse_or_fail(keyed(overlay, F.lit(None).cast("string")), ["acct", "post_id"], "payload", order)
         o = o.select("acct", "post_id", F.col("payload").alias("over_meta"), F.col("own").alias("over_account"))
@@ -83,6 +87,7 @@ def load_posts(rows: DataFrame, overlay: DataFrame | None = None) -> tuple[DataF
         content_type(r).alias("content_type"), F.try_parse_json(F.coalesce("over_meta", "own_meta")).alias("metadata"), "raw",
         F.struct(F.lit("selected").alias("root"), F.col("source_file").alias("file"), F.col("record").alias("record")).alias("source"), "acct",
     )
+    out = settle(out)  # two checks and every later plan read it
     _refuse(out.where(~safe_component(F.col("account")) | ~safe_component(F.col("post_id"))).select("account", "post_id"), "unsafe path component")
     _refuse(out.groupBy("post_uid").count().where("count > 1"), "post_uid collision")
     return out, gone
@@ -95,9 +100,15 @@ def capture_or(posts: DataFrame):
 
 def snapshot(posts: DataFrame, files: DataFrame) -> dict:
     """envelopes, gaps, assets, files by role: all DataFrames of an export, nothing written."""
-    hashed = M.hashed(files).persist()  # hashing is dear, and four plans use it
+    hashed = settle(M.hashed(files))  # hashing is dear, and several plans use it
+    if "expected_sha256" in hashed.columns:
+        _refuse(hashed.where("sha256 <> expected_sha256 or length <> expected_bytes").select("relative"), "verified media changed before the export")
+        hashed = hashed.drop("expected_sha256", "expected_bytes")
+    folders = scans.account_directory(hashed, posts.select("account"))
+    _refuse(folders.where("ambiguous").select("account"), "ambiguous media folder of an account")
+    hashed = hashed.join(folders.select("account_dir").distinct(), "account_dir", "left_semi")
     refs, gaps, assets, problems = M.attach(posts, hashed)
-    refs, gaps = refs.persist(), gaps.persist()
+    refs, gaps, assets = settle(refs), settle(gaps), settle(assets)
     _refuse(problems, "media that fits no rule")
     empty = gaps.where("reason = 'empty_file'")
     used = hashed.select("relative", "length", "account_dir", "post_dir", "name", "media_type")
@@ -105,7 +116,7 @@ def snapshot(posts: DataFrame, files: DataFrame) -> dict:
     lost = used.where("length = 0").withColumn("kind", F.when(F.col("post_dir") == "profile", "avatar").when(F.col("media_type") == "video", "video").when(F.col("name").startswith("cover."), "cover").otherwise("slide"))
     lost = lost.join(empty.select(F.lower("account").alias("a")).distinct(), F.lower("account_dir") == F.col("a"), "left_semi").select("kind", "relative", "length")
     # each is read by several counts and writes
-    return {"posts": M.envelopes(posts, refs, gaps).persist(), "missing": gaps, "assets": assets.persist(), "files": roles.unionByName(lost).persist()}
+    return {"posts": settle(M.envelopes(posts, refs, gaps)), "missing": gaps, "assets": assets, "files": settle(roles.unionByName(lost))}
 
 
 def counts(posts: DataFrame, gaps: DataFrame, assets: DataFrame, refs_files: DataFrame, duplicates: int) -> dict:
@@ -179,40 +190,64 @@ def write_csv(df: DataFrame, path: Path, columns: tuple[str, ...] | None = None)
 
 
 def normalized_csv(df: DataFrame) -> DataFrame:
-    return df.select(*(F.array_join("hashtags", "|").alias(c) if c == "hashtags" else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in COLUMNS))
+    """The flat copy of normalised rows (with their ``raw``): values as the payload has them, hashtags joined by a bar, nothing for null."""
+    values = verbatim(df)
+    shown = lambda c: F.array_join("hashtags", "|") if c == "hashtags" else F.when(~F.is_variant_null(values[c]), spelt(values[c])) if c in values else F.col(c)
+    return df.select(*(F.coalesce(shown(c), F.lit("")).alias(c) for c in COLUMNS))
+
+
+def append_lines(path: Path, rows: list[dict]) -> None:
+    """Add a batch of JSON lines with one flush to disk; readers skip a last line that was cut off."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with path.open("a", encoding="utf-8") as f:
+        f.writelines(json.dumps(r, ensure_ascii=False, default=str) + "\n" for r in rows)
+        f.flush()
+        os.fsync(f.fileno())
+
+
+def write_profiles(profiles: DataFrame, folder: str) -> None:
+    """A partition per account with its profile as one JSON line; a full rewrite, so accounts that left go as well."""
+    rows = profiles.select("account", F.to_json(F.struct("account", "captured_at", F.try_parse_json("author").alias("authorMeta"))).alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("account").text(folder)
 
 
 def write_by_account(good: DataFrame, folder: str) -> None:
     """Raw lines in a partition per account; a full rewrite, so partitions of accounts that left go as well."""
-    from ..functions.identity import capture_account
-
     rows = good.select(capture_account(F.col("raw")).alias("account"), F.col("raw_json").alias("value"))
     rows.repartition("account").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("account").text(folder)
 
 
 def rows_per_account(good: DataFrame) -> DataFrame:
-    from ..functions.identity import capture_account
-
     return good.groupBy(capture_account(F.col("raw")).alias("account")).count()
 
 
-def copy_assets(assets: DataFrame, staged: Path) -> None:
-    """Copy each asset's file on the executors in chunks of a megabyte, hashing again on the way."""
+def filesystem(uri: str):
+    """(file system, path) of a path or URI, as executors on any machine see it."""
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+
+
+def copy_assets(assets: DataFrame, staged: Path | str) -> None:
+    """Copy each asset's file on the executors in chunks of a megabyte, hashing again on the way; both ends are paths or URIs that all of them share."""
     root = str(staged)
 
     def copy(rows):
         for r in rows:
-            target = Path(root, r.path)
-            target.parent.mkdir(parents=True, exist_ok=True)
+            (source, origin), (sink, target) = filesystem(r.file), filesystem(f"{root}/{r.path}")
+            sink.create_dir(target.rpartition("/")[0], recursive=True)
             h = hashlib.sha256()
-            scratch = target.with_name(f".{target.name}.{os.getpid()}")
-            with open(r.file.removeprefix("file:").replace("///", "/"), "rb") as a, scratch.open("wb") as b:
+            scratch = f"{target}.{uuid.uuid4().hex}"
+            with source.open_input_stream(origin, compression=None) as a, sink.open_output_stream(scratch, compression=None) as b:
                 while block := a.read(1 << 20):
                     h.update(block)
                     b.write(block)
             if h.hexdigest() != r.sha256:
+                sink.delete_file(scratch)
                 raise ExportError(f"{r.path} changed while it was copied")
-            os.replace(scratch, target)
+            sink.move(scratch, target)
 
     assets.select("path", "file", "sha256").foreachPartition(copy)
 
@@ -234,6 +269,18 @@ def write_zip(path: Path, staged: Path, top: str) -> None:
     os.replace(scratch, path)
 
 
+def ensure_zip(folder: Path) -> Path:
+    """The published folder's ZIP: made if it is missing, else verified, member by member."""
+    path = folder.with_suffix(".zip")
+    if path.is_symlink():
+        raise ExportError("the ZIP is a link")
+    if not path.exists():
+        write_zip(path, folder, folder.name)
+    if not verify_zip(path, folder):
+        raise ExportError("the ZIP differs from the published folder")
+    return path
+
+
 def verify_zip(path: Path, folder: Path) -> bool:
     """Do the members equal the folder's files, by name and content?"""
     with zipfile.ZipFile(path) as z:
@@ -253,17 +300,29 @@ def guard_destination(out: Path, roots: list[Path], archive: Path | None = None)
                 raise ExportError(f"{p} overlaps an input")
 
 
-def stable(before: DataFrame, after: DataFrame) -> None:
-    """Same (path, length, modificationTime) before and after, or the export is refused."""
-    cols = ["path", "length", "modificationTime"]
-    _refuse(before.select(*cols).exceptAll(after.select(*cols)).unionByName(after.select(*cols).exceptAll(before.select(*cols))), "a source changed during the export")
+def witnessed(*roots: Path) -> dict[str, tuple[int, int, int, int]]:
+    """Device, inode, size and time of change of every file below the roots; links are refused."""
+    out = {}
+    for root in roots:
+        for folder, folders, files in os.walk(root):
+            for name in [*folders, *files]:
+                p = os.path.join(folder, name)
+                if os.path.islink(p):
+                    raise ExportError(f"{name} is a link")
+                if name in files:
+                    x = os.stat(p)
+                    out[p] = (x.st_dev, x.st_ino, x.st_size, x.st_mtime_ns)
+    return out
 
 
-def export_dataset(spark: SparkSession, selected: str, media: str, out: str, archive: bool = False, dry_run: bool = False, verified: DataFrame | None = None, lineage: dict | None = None) -> dict:
+def export_dataset(spark: SparkSession, selected: str, media: str, out: str, archive: bool = False, dry_run: bool = False, verified: DataFrame | None = None, lineage: dict | None = None, require_verified: bool = False) -> dict:
     """Read, check, and (unless dry) publish a dataset folder by staging and rename; returns the manifest."""
     target, roots = Path(out), [Path(selected), Path(media)]
     bundle = target.with_suffix(".zip") if archive else None
     guard_destination(target, roots, bundle)
+    listed = witnessed(*roots)
+    if require_verified:
+        verified = scans.verified_inventory(spark, media, capture_fingerprint(Path(selected)))
     over = Path(selected, "normalized/posts.jsonl")
     overlay = None
     if over.exists():
@@ -272,9 +331,7 @@ def export_dataset(spark: SparkSession, selected: str, media: str, out: str, arc
     if rows.isEmpty():
         raise ExportError("the selected snapshot is empty")
     posts, gone = load_posts(rows, overlay)
-    posts = posts.persist()
     files = scans.media_files(spark, media, content=True, verified=verified)
-    listed = {p: (os.stat(p).st_size, os.stat(p).st_mtime_ns) for p in sorted(map(str, Path(media).rglob("*"))) if os.path.isfile(p)}
     parts = snapshot(posts, files)
     capture = None
     info = Path(selected, "run_info.json")
@@ -297,7 +354,7 @@ def export_dataset(spark: SparkSession, selected: str, media: str, out: str, arc
         atomic_write(staged / "manifest.json", json.dumps(told, indent=2, ensure_ascii=False, default=str).encode())
         atomic_write(staged / "README.md", GUIDE.encode())
         atomic_write(staged / CHECKSUMS, checksum_lines(staged, parts["assets"]).encode())
-        if listed != {p: (os.stat(p).st_size, os.stat(p).st_mtime_ns) for p in sorted(map(str, Path(media).rglob("*"))) if os.path.isfile(p)}:
+        if listed != witnessed(*roots):
             raise ExportError("a source changed during the export")
         report = V.validate(spark, str(staged))
         if not report["ok"]:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import download_account, download_post_id
-from ..functions.media import asset_path, media_type, mime_type, slide_index, stem, url_candidates
-from ..functions.variants import get, is_object, items, truthy
-from ..operators.dedup import first_wins
+from ..functions.identity import clean_handle, download_account, download_post_id
+from ..functions.media import asset_path, find_post_url, first_direct_urls, media_type, mime_type, slide_index, stem, url_candidates
+from ..functions.variants import canonical, filled, get, is_object, items, text, truthy
+from ..operators.dedup import ConflictError, conflicts, first_wins, last_wins
 from ..operators.inventory import expected_positions, missing
+from .normalize import content_type, discovered_slideshow
 
 JOBS = ["kind", "account", "post_id", "index", "candidates", "path"]
 #: Media statuses that stand for a file that is there.
@@ -41,15 +42,104 @@ def download_jobs(posts: DataFrame, covers: bool = True, slides: bool = True, av
     return out.where(F.size("candidates") > 0)
 
 
+def only_accounts(posts: DataFrame, accounts: list[str] | None, account: str = "account") -> DataFrame:
+    """Posts of the given handles, cleaned and without regard to case; all posts where none are given."""
+    names = posts.sparkSession.createDataFrame([(a,) for a in accounts or []], "a string").select(F.lower(clean_handle(F.col("a"))).alias("__a")).distinct()
+    return posts.join(names, F.lower(account) == F.col("__a"), "left_semi") if accounts else posts
+
+
+def only_posts(posts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Posts whose (account, post_id) is listed, accounts without regard to case."""
+    k = keys.select(F.lower("account").alias("__a"), F.col("post_id").alias("__p")).distinct()
+    return posts.join(k, (F.lower("account") == F.col("__a")) & (F.col("post_id") == F.col("__p")), "left_semi")
+
+
+def plan_posts(posts: DataFrame, accounts: list[str] | None = None, order: tuple[str, ...] = ("source_file", "record")) -> DataFrame:
+    """The posts to plan downloads for: each (account, post id) once, identical rows collapsed to the last, different ones refused."""
+    r = F.col("raw")
+    p = posts.withColumns({"account": download_account(r, F.col("stem")), "post_id": download_post_id(r, F.col("raw_json")), "payload": canonical(r)})
+    p = only_accounts(p, accounts).withColumn("__k", F.lower("account"))
+    bad = conflicts(p, ["__k", "post_id"], "payload").limit(5).collect()  # a report of five
+    if bad:
+        raise ConflictError("conflicting source posts: " + "; ".join(f"{x['__k']}/{x.post_id}" for x in bad))
+    return last_wins(p, ["__k", "post_id"], list(order)).drop("__k")
+
+
+def job_fingerprints(jobs: DataFrame, planned: DataFrame) -> DataFrame:
+    """snapshot_fingerprint of each job: of its post's payload, or of its candidates where it belongs to no post."""
+    own = planned.select(F.lower("account").alias("__a"), F.col("post_id").alias("__p"), F.sha2(F.col("payload").cast("binary"), 256).alias("__f"))
+    j = jobs.join(own, (F.lower("account") == F.col("__a")) & (F.col("post_id") == F.col("__p")), "left").drop("__a", "__p")
+    return j.withColumn("snapshot_fingerprint", F.coalesce("__f", F.sha2(F.to_json("candidates").cast("binary"), 256))).drop("__f")
+
+
+def plan_report(planned: DataFrame, jobs: DataFrame, present: DataFrame) -> DataFrame:
+    """One row: posts, accounts, video posts, jobs in all, and jobs whose file (path, length) isn't there with bytes in it."""
+    video = content_type(F.col("raw")) == "video"
+    a = planned.agg(F.count("*").alias("posts"), F.array_sort(F.collect_set("account")).alias("accounts"), F.count_if(video).alias("video_posts"))  # as many as accounts were asked for
+    b = jobs.agg(F.count("*").alias("media_jobs_total")).crossJoin(pending(jobs, present.where("length > 0")).agg(F.count("*").alias("pending")))
+    return a.crossJoin(b)  # one row each
+
+
 def usable(cache: DataFrame, attestations: DataFrame) -> DataFrame:
     """Cached files whose attested source, bytes and digest all agree."""
     return cache.join(attestations, ["path", "source_fingerprint", "sha256", "bytes"], "left_semi")
 
 
+def attested(files: DataFrame, source: str = "source_fingerprint") -> DataFrame:
+    """(path, source, sha256, bytes) of hashed files: what vouches for them later."""
+    return files.where("length > 0").select("path", source, "sha256", F.col("length").alias("bytes"))
+
+
 def pending(jobs: DataFrame, cache: DataFrame) -> DataFrame:
     return jobs.join(cache.select("path").distinct(), "path", "left_anti")
 
 
+def video_plan(tree: DataFrame, slides: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Videos to fetch, from post folders (account, post_id, meta, raw) that say anything: everything that is no slideshow.
+
+    ``slides``: (account, post_id) of folders that hold slide files. The post page's URL, the first
+    few direct URLs of the payload, and a fingerprint of what the plan was made from.
+    """
+    meta, raw = F.col("meta"), F.col("raw")
+    t = tree.where(F.coalesce(truthy(meta), F.lit(False)) | F.coalesce(truthy(raw), F.lit(False)))
+    t = t.join(slides.select("account", "post_id").distinct().withColumn("__s", F.lit(True)), ["account", "post_id"], "left")
+    t = t.where(~discovered_slideshow(meta, raw, F.coalesce("__s", F.lit(False))))
+    value = lambda *of: text(F.coalesce(*(F.when(filled(get(v, p)), get(v, p)) for v, p in of)))
+    whole = F.to_json(F.struct("meta", "raw"))
+    found = {
+        "post_id": F.coalesce(value((meta, "post_id"), (raw, "id"), (raw, "idStr")), "post_id"),
+        "url": F.coalesce(value((meta, "url"), (raw, "webVideoUrl"), (raw, "url")), find_post_url(whole)), "direct_urls": first_direct_urls(F.to_json("raw")),
+        "created_at": value((meta, "created_at"), (raw, "createTimeISO")), "source_fingerprint": F.sha2(whole.cast("binary"), 256),
+    } | {n: value((meta, n), (raw, k)) for n, k in (("views", "playCount"), ("likes", "diggCount"), ("comments", "commentCount"), ("shares", "shareCount"), ("saves", "collectCount"))}
+    out = t.select("account", *(c.alias(n) for n, c in found.items()))
+    return out if keys is None else only_posts(out, keys)
+
+
+def video_report(plan: DataFrame, manifest: DataFrame, failures: DataFrame) -> DataFrame:
+    """One row: videos discovered, downloaded or cached, failed, and bytes in all."""
+    a = plan.agg(F.count("*").alias("discovered_video_posts"))
+    b = manifest.agg(F.count("*").alias("downloaded_or_cached"), F.coalesce(F.sum("file_size_bytes"), F.lit(0)).alias("total_bytes"))
+    return a.crossJoin(b).crossJoin(failures.agg(F.count("*").alias("failed")))  # one row each
+
+
+def download_report(merged: DataFrame, before: str, after: str) -> dict:
+    """What a finished download vouches for, bound to the capture's fingerprint; refused if the capture changed meanwhile.
+
+    ``assets`` has one entry a file, so the report is as large as the list of files, never their content.
+    """
+    if before != after:
+        raise ConflictError("the capture changed during the download")
+    n = failure_totals(merged).first()
+    rows = report_inventory(merged).toLocalIterator()
+    return {"dry_run": False, "failed": n.images_failed + n.videos_failed, "source_fingerprint": before, "assets": {r.path: {"sha256": r.sha256, "bytes": r.bytes, "source_fingerprint": before} for r in rows}}
+
+
+def failure_totals(merged: DataFrame) -> DataFrame:
+    """One row: failed images and failed videos of a merged manifest."""
+    bad = F.col("status") == "failed"
+    return merged.agg(F.count_if(bad & (F.col("kind") != "video")).alias("images_failed"), F.count_if(bad & (F.col("kind") == "video")).alias("videos_failed"))
+
+
 def status_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("status").count()
 
@@ -63,8 +153,8 @@ def report_inventory(manifest: DataFrame) -> DataFrame:
 
 
 def largest_file(files: DataFrame) -> DataFrame:
-    """Per post folder the largest non-empty video."""
-    return files.where((F.col("length") > 0) & (media_type(F.col("path")) == "video")).groupBy("account_dir", "post_dir").agg(F.max_by("path", "length").alias("path"))
+    """Per post folder the largest non-empty video; of equal sizes the last path."""
+    return files.where((F.col("length") > 0) & (media_type(F.col("path")) == "video")).groupBy("account_dir", "post_dir").agg(F.max_by("path", F.struct("length", "path")).alias("path"))
 
 
 def hashed(files: DataFrame) -> DataFrame:
@@ -107,13 +197,20 @@ def attach(posts: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, Da
     return refs, gaps, assets(refs, posts), problems
 
 
+def with_assets(posts: DataFrame, assets: DataFrame) -> DataFrame:
+    """(post_uid, role, position, and the asset's columns) for every asset that an envelope's media arrays name: a reader's join."""
+    ids = lambda k: F.transform(F.col(f"media.{k}s"), lambda x, i: F.struct(F.lit(k).alias("role"), (i + 1).alias("position"), x.alias("asset_id")))
+    slides = F.transform("media.slides", lambda x: F.struct(F.lit("slide").alias("role"), x["index"].cast("int").alias("position"), x["asset_id"].alias("asset_id")))
+    named = posts.select("post_uid", F.explode(F.concat(ids("cover"), ids("avatar"), slides, ids("video"))).alias("m")).select("post_uid", "m.*")
+    return named.join(assets, "asset_id")
+
+
 def assets(refs: DataFrame, posts: DataFrame) -> DataFrame:
     """One row per content: path suffix and MIME type of the file seen first (posts by key; images, avatars, then videos; by path)."""
-    seen = Window.partitionBy("sha256").orderBy("acct", "post_id", "ord", "relative")
     order = F.when(F.col("kind") == "avatar", 1).when(F.col("kind") == "video", 2).otherwise(0)
     r = refs.withColumn("acct", F.lower("account")).withColumn("ord", order)
     label = F.concat(F.lit("media/"), "relative")
-    first = r.withColumn("n", F.row_number().over(seen)).where("n = 1")
+    first = first_wins(r, ["sha256"], ["acct", "post_id", "ord", "relative"])
     sources = r.groupBy("sha256").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("acct", "post_id", "ord", label.alias("p")))), lambda x: x["p"])).alias("source_paths"))
     out = first.join(sources, "sha256")
     return out.select("asset_id", asset_path(F.col("relative"), F.col("sha256")).alias("path"), "media_type", mime_type(F.col("relative")).alias("mime_type"), F.col("length").alias("bytes"), "sha256", "source_paths", F.col("path").alias("file"))

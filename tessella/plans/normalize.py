@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import capture_account, capture_post_id, download_account, download_post_id
-from ..functions.variants import first_truthy, first_value, get, is_object, is_string, items, present, text, truthy
+from ..functions.variants import first_truthy, first_value, get, is_object, is_string, items, kind, present, text, truthy
 from ..operators.dedup import first_wins, last_wins
 
 # The candidate paths of each output column, in their order.
@@ -37,28 +37,61 @@ def either(raw: Column, a: str, b: str) -> Column:
     return F.when(is_object(v), v)
 
 
+def spelt(v: Column) -> Column:
+    """A JSON scalar as plain text, its words for nothing, true and false written out as the published files have them."""
+    return F.when(kind(v) == "VOID", "None").when(kind(v) == "BOOLEAN", F.initcap(text(v))).otherwise(text(v))
+
+
 def hashtags(v: Column, names: tuple[str, ...] = ("name", "title", "hashtagName"), scalars: bool = True) -> Column:
-    """Strings and named objects of an array as strings; others as text where wanted; empty ones dropped."""
-    other = text if scalars else lambda x: F.lit(None).cast("string")
-    one = lambda x: F.when(is_object(x), text(first_truthy(x, *names))).when(is_string(x), text(x)).otherwise(other(x))
-    return F.filter(F.transform(items(v), one), lambda t: t.isNotNull() & (t != "") & (t != "null"))
+    """Strings and named objects of an array as strings; others spelt out where wanted; empty ones dropped."""
+    other = spelt if scalars else lambda x: F.lit(None).cast("string")
+    one = lambda x: F.when(is_object(x), spelt(first_truthy(x, *names))).when(is_string(x), text(x)).otherwise(other(x))
+    return F.filter(F.transform(items(v), one), lambda t: t.isNotNull() & (t != ""))
+
+
+def verbatim(df: DataFrame, raw: str = "raw") -> dict[str, Column]:
+    """COLUMNS but the identities as the payload has them (VARIANT): what is published keeps each value's own type and digits."""
+    r = F.col(raw)
+    author, video, music = either(r, "authorMeta", "author"), either(r, "videoMeta", "video"), either(r, "musicMeta", "music")
+    out = {name: first_value(r, *paths) for name, paths in FIRST_OF.items()}
+    out["caption"] = F.coalesce(out["caption"], F.parse_json(F.lit('""')))
+    out["is_pinned"] = F.coalesce(out["is_pinned"], F.parse_json(F.lit("false")))
+    out |= {name: get(author, key) for name, key in AUTHOR.items()}
+    out |= {name: get(video, key) for name, key in VIDEO.items()}
+    out |= {name: first_or_last(music, *keys) for name, keys in MUSIC.items()}
+    return out | {"error": get(r, "error"), "error_code": get(r, "errorCode")}
+
+
+def first_or_last(v: Column, *keys: str) -> Column:
+    """The first value that counts as true, else the last as it is."""
+    return F.coalesce(first_truthy(v, *keys), get(v, keys[-1]))
+
+
+def published(df: DataFrame, raw: str = "raw") -> Column:
+    """The normalised row as JSON with every column, identities from ``account`` and ``post_id``, values verbatim."""
+    values = verbatim(df, raw)
+    return F.to_json(F.struct(*(values.get(c, F.col(c)).alias(c) for c in COLUMNS)), {"ignoreNullFields": "false"})
 
 
 def normalize(df: DataFrame, raw: str = "raw", raw_json: str = "raw_json") -> DataFrame:
-    """COLUMNS for every row: one projection. Metrics that are absent or no numbers are null, never zero."""
+    """COLUMNS for every row, typed for analysis: one projection. A metric that is no whole number is null, never zero and never rounded.
+
+    What is published has the payload's own values instead: see ``published``.
+    """
     r = F.col(raw)
     author, video, music = either(r, "authorMeta", "author"), either(r, "videoMeta", "video"), either(r, "musicMeta", "music")
-    whole = lambda v: F.try_variant_get(v, "$", "long")
+    whole = lambda v: F.when(kind(v).isin("BIGINT"), F.try_variant_get(v, "$", "long"))
+    number = lambda v: F.when(kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.try_variant_get(v, "$", "double"))
     out = {"account": capture_account(r), "post_id": capture_post_id(r, F.col(raw_json))}
     for name, paths in FIRST_OF.items():
         v = first_value(r, *paths)
-        out[name] = whole(v) if name in NUMBERS else F.coalesce(F.try_variant_get(v, "$", "boolean"), F.lit(False)) if name == "is_pinned" else text(v)
+        out[name] = whole(v) if name in NUMBERS else F.when(v.isNull(), False).when(kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")) if name == "is_pinned" else text(v)
     out["caption"] = F.coalesce(out["caption"], F.lit(""))
     out["hashtags"] = hashtags(get(r, "hashtags"))
     for name, key in AUTHOR.items():
         out[name] = whole(get(author, key)) if name in NUMBERS else text(get(author, key))
     for name, key in VIDEO.items():
-        out[name] = F.try_variant_get(video, f"$.{key}", "double" if name == "video_duration" else "int")
+        out[name] = number(get(video, key)) if name == "video_duration" else whole(get(video, key)).try_cast("int")
     for name, keys in MUSIC.items():
         out[name] = text(first_truthy(music, *keys))
     out["error"], out["error_code"] = text(get(r, "error")), text(get(r, "errorCode"))
@@ -75,6 +108,14 @@ def split_items(items_df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items_df.where(~bad), items_df.where(bad)
 
 
+def capture_counts(items_df: DataFrame, order: list[str]) -> DataFrame:
+    """One row: all rows, error rows, rows kept, and posts after deduplication."""
+    good, _ = split_items(items_df)
+    bad = F.coalesce(is_error(F.col("raw")), F.lit(False))
+    n = normalized_posts(good, order).agg(F.count("*").alias("posts"))
+    return items_df.agg(F.count("*").alias("total"), F.count_if(bad).alias("errors"), F.count_if(~bad).alias("kept")).crossJoin(n)  # one row each
+
+
 def normalized_posts(good: DataFrame, order: list[str]) -> DataFrame:
     """One row per post in ingest order (first wins), with its sort position's columns."""
     n = normalize(good).withColumn("__k", F.lower("account"))

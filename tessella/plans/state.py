@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import fcntl
-import hashlib
 import json
+import math
 import os
 import threading
 import uuid
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.inventory import chunks
+from ..sources.capture import StateError, capture_fingerprint, fingerprint
 from .export import atomic_write
 
 # The stages in order, and what a stage or a run can be.
@@ -26,19 +27,10 @@ STATUSES = ("pending", "running", "completed", "partial", "failed", "interrupted
 FAILED_BATCH = ("FAILED", "TIMED-OUT", "ABORTED")
 
 
-class StateError(ValueError):
-    """A checkpoint that can't be trusted, or a resume with another configuration."""
-
-
 def now() -> str:
     return datetime.now(UTC).isoformat()
 
 
-def fingerprint(value) -> str:
-    """SHA-256 of a document's JSON with sorted keys."""
-    return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()
-
-
 def batches(accounts: DataFrame, size: int) -> DataFrame:
     """(batch_index, profiles): accounts in order, ``size`` to a batch."""
     if isinstance(size, bool) or size < 1:
@@ -98,9 +90,29 @@ def single_writer(root: Path) -> Iterator[None]:
 _guard, _held = threading.Lock(), {}
 
 
+def check_options(config: dict) -> None:
+    """Refuse options that can't be: counts must be positive, retries not negative, times and the charge cap finite and positive."""
+    whole = lambda x: isinstance(x, int) and not isinstance(x, bool)
+    for name in ("batch_size", "max_posts", "actor_timeout", "concurrency", "checkpoint_every"):
+        if name in config and not (whole(config[name]) and config[name] >= 1):
+            raise ValueError(f"{name} must be positive")
+    if "retries" in config and not (whole(config["retries"]) and config["retries"] >= 0):
+        raise ValueError("retries can't be negative")
+    for name in ("timeout", "max_charge_usd"):
+        v = config.get(name)
+        if v is not None and (isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v) or v <= 0):
+            raise ValueError(f"{name} must be finite and positive")
+
+
+def require_keys(config: dict, keys: set[str]) -> None:
+    if gone := sorted(keys - set(config)):
+        raise StateError(f"the configuration lacks {', '.join(gone)}")
+
+
 def new_run(path: Path, config: dict) -> dict:
     if path.exists():
         raise StateError(f"{path} exists; resume it instead")
+    check_options(config)
     state = {"schema_version": VERSION, "run_id": uuid.uuid4().hex, "created_at": now(), "status": "pending", "config": config, "config_fingerprint": fingerprint(config), "publication": 0}
     state["stages"] = {s: {"status": "pending", "attempts": 0} for s in STAGES}
     save(path, state)
@@ -166,20 +178,6 @@ def finish(path: Path, state: dict) -> dict:
     return state
 
 
-def capture_fingerprint(root: Path) -> str:
-    """One digest over the capture's posts, normalised rows, profiles, run record and manifest."""
-    names = [p for g in ("posts/*.jsonl", "normalized/*.jsonl", "profiles/*.json") for p in sorted(root.glob(g))] + [p for p in (root / "run_info.json", root / "manifest.json") if p.exists()]
-    if not any(p.parent.name == "posts" for p in names):
-        raise StateError("the capture has no post files")
-    if any(p.is_symlink() for p in names):
-        raise StateError("unsafe capture file")
-    out = {}
-    for p in names:
-        with p.open("rb") as f:
-            out[p.relative_to(root).as_posix()] = hashlib.file_digest(f, "sha256").hexdigest()
-    return fingerprint(out)
-
-
 def workspace_status(root: Path, areas: tuple[str, ...] = ("inputs", "captures", "media", "datasets", "runs")) -> dict[str, int | None]:
     """Files below each area; null where it is absent."""
     return {a: sum(len(f) for _, _, f in os.walk(root / a)) if (root / a).is_dir() else None for a in areas}
@@ -198,11 +196,13 @@ def run_pipeline(spark, path: Path, selected: str, media: str, datasets: str, co
         def publish() -> dict:
             target = next_revision(Path(datasets))
             target.parent.mkdir(parents=True, exist_ok=True)
-            told = export.export_dataset(spark, selected, media, str(target), lineage={"run_id": state["run_id"], "inputs": inputs})
+            told = export.export_dataset(spark, selected, media, str(target), lineage={"run_id": state["run_id"], "inputs": inputs}, require_verified=bool(config.get("require_verified_media")))
             state["publication"] += 1
             return {"complete": told["completion"]["media"], "dataset": str(target), "inputs": inputs}
 
         told = run_stage(path, state, "export", publish, lambda r: r.get("inputs") == inputs and Path(r.get("dataset", "")).is_dir())
+        if config.get("zip"):
+            export.ensure_zip(Path(told["dataset"]))  # made again if a run ended before it, else verified
         run_stage(path, state, "validate", lambda: _checked(validate.validate(spark, told["dataset"])))
         return finish(path, state)
 

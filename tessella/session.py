@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +22,15 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     for k, v in {**settings, **{k.replace("_", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table to the cluster's shared folder (``spark.checkpoint.dir``) and read it back: one dealing of the rows for all that follows, whatever executors are lost.
+
+    Only where that setting is missing, as in tests on one machine, a temporary folder is used.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tessella-")
+    path = f"{root.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import logging
 from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,18 +37,18 @@ def accounts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, raw_json, raw, ok): non-blank lines, numbered from 1 among all lines of their file."""
+    """(file, line, place, raw_json, raw, ok): non-blank lines, numbered from 1 among all lines of their file, and among the non-blank ones."""
     # numbered inside the file's own array, so no shuffle is needed
     whole = _whole(spark, path).select(
         "file",
-        F.explode(
+        F.posexplode(
             F.filter(
                 F.transform(F.split("text", "\r\n|[\n\r]"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("raw_json"))),
                 lambda s: F.trim(F.regexp_replace(s["raw_json"], r"\s", "")) != "",
             )
-        ).alias("s"),
+        ).alias("place", "s"),
     )
-    rows = whole.select("file", F.col("s.line").alias("line"), F.col("s.raw_json").alias("raw_json"))
+    rows = whole.select("file", F.col("s.line").alias("line"), (F.col("place") + 1).cast("long").alias("place"), F.col("s.raw_json").alias("raw_json"))
     rows = rows.withColumn("raw", F.try_parse_json("raw_json"))
     return rows.withColumn("ok", F.coalesce(is_object(F.col("raw")), F.lit(False)))
 
@@ -66,10 +69,8 @@ def jsonl_tolerant(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def with_record_numbers(rows: DataFrame) -> DataFrame:
-    """record: 1-based number of each non-blank line within its file."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("record", F.row_number().over(Window.partitionBy("file").orderBy("line")).cast("long"))
+    """record: 1-based number of each non-blank line within its file, as the scan has numbered it."""
+    return rows.withColumn("record", F.col("place"))
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,23 +101,56 @@ def binary_files(spark: SparkSession, root: str) -> DataFrame:
 def media_files(spark: SparkSession, root: str, content: bool = False, verified: DataFrame | None = None) -> DataFrame:
     """(path, account_dir, post_dir, name, length, modificationTime[, content]) of images and videos below root/<account>/<post>/.
 
-    With an inventory (path, bytes, sha256) only listed files are read.
+    With an inventory (path, bytes, sha256) only listed files are read, with what it says of them
+    (expected_bytes, expected_sha256) beside them.
     """
     df = binary_files(spark, root)
     parts = F.split(F.col("path"), "/")
     at = F.size(parts)
     df = df.where(extension(F.col("path")).isin(*IMAGE_EXTENSIONS, *VIDEO_EXTENSIONS)).withColumns({"account_dir": parts[at - 3], "post_dir": parts[at - 2], "name": parts[at - 1]})
     df = df.withColumn("relative", F.concat_ws("/", "account_dir", "post_dir", "name"))
-    if verified is not None:
-        df = df.join(verified.select(F.col("path").alias("relative")), "relative", "left_semi")
     keep = ["path", "relative", "account_dir", "post_dir", "name", "length", "modificationTime"]
+    if verified is not None:
+        df = df.join(verified.select(F.col("path").alias("relative"), F.col("bytes").alias("expected_bytes"), F.col("sha256").alias("expected_sha256")), "relative")
+        keep += ["expected_bytes", "expected_sha256"]
     return df.select(*keep, *(["content"] if content else []))
 
 
+def verified_inventory(spark: SparkSession, media: str, capture: str) -> DataFrame:
+    """(path, bytes, sha256) that a download report of ``media`` vouches for, if it belongs to the capture of this fingerprint and its files are there and no links."""
+    report = read_object(Path(media, "download_report.json"))
+    if report.get("source_fingerprint") != capture:
+        raise InputError("the media belong to another capture")
+    rows = [(name, int(r["bytes"]), r["sha256"]) for name, r in report["assets"].items()]
+    for name, *_ in rows:
+        p = Path(media, name)
+        if p.is_symlink() or not p.is_file() or not p.resolve().is_relative_to(Path(media).resolve()):
+            raise InputError("the verified inventory has a missing or unsafe file")
+    return spark.createDataFrame(rows, "path string, bytes long, sha256 string")
+
+
+def read_object(path: Path, missing: bool = False, invalid: bool = False) -> dict:
+    """One small JSON object; a missing or invalid file is an empty one only if so wanted, other failures are never hidden."""
+    try:
+        found = json.loads(path.read_text(encoding="utf-8-sig"))
+        if not isinstance(found, dict):
+            raise ValueError("no JSON object")
+    except FileNotFoundError:
+        if missing:
+            return {}
+        raise
+    except ValueError:
+        if invalid:
+            logging.getLogger(__name__).warning("invalid JSON object: %s", path)
+            return {}
+        raise InputError(f"invalid JSON object: {path}") from None
+    return found
+
+
 def account_directory(files: DataFrame, accounts: DataFrame) -> DataFrame:
     """account -> account_dir, ignoring case; the exact name is preferred, and several others are an error (ambiguous)."""
     dirs = files.select("account_dir").distinct()
-    hit = accounts.join(dirs, F.lower("account") == F.lower("account_dir"))
+    hit = accounts.select("account").distinct().join(dirs, F.lower("account") == F.lower("account_dir"))
     return hit.groupBy("account").agg(
         F.coalesce(F.max(F.when(F.col("account") == F.col("account_dir"), F.col("account_dir"))), F.max("account_dir")).alias("account_dir"),
         ((F.count("*") > 1) & ~F.bool_or(F.col("account") == F.col("account_dir"))).alias("ambiguous"),

@@ -32,11 +32,5 @@ def test_same_as_sql(spark, sql, name):
     assert sorted(names) == columns and got == want
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
-@pytest.mark.parametrize("name", ["op2_warc", "op4_decontaminate"])
-def test_operators_same_as_sql(spark, sql, name):
-    test_same_as_sql(spark, sql, name)
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
