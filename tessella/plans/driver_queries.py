@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, media, redaction
 from ..functions.variants import first_value, text
 from ..operators import dedup, inventory
+from . import capture_queries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,11 +29,11 @@ def query(sql: str):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | capture_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | capture_queries.SQL
 
 
 @query("SELECT c_custkey, 'ACC-' || upper(substr(sha1(lower(c_name)), 1, 12)) AS account_id FROM customer")
@@ -59,11 +60,6 @@ def missing_companions(spark, sf):
     return gone.select("doc_id", "source", F.lit("not_found").alias("reason"))
 
 
-@query("SELECT page_id, regexp_extract(url, '/[a-z]{2}/(\\d+)', 1) AS post_id, regexp_extract(url, '(\\d+)[^/]*$', 1) AS tail_id FROM pages")
-def url_post_id(spark, sf):
-    return table(spark, sf, "pages", "page_id", "url").select("page_id", F.regexp_extract("url", r"/[a-z]{2}/(\d+)", 1).alias("post_id"), F.regexp_extract("url", r"(\d+)[^/]*$", 1).alias("tail_id"))
-
-
 @query("SELECT event_id, coalesce(nullif(json_extract_string(props, '$.missing'), ''), nullif(json_extract_string(props, '$.k'), '')) AS value FROM events")
 def json_first_value(spark, sf):
     e = table(spark, sf, "events", "event_id", "props").withColumn("raw", F.try_parse_json("props"))
@@ -138,21 +134,6 @@ def status_rollup(spark, sf):
     return s.groupBy("source").agg(F.count("*").alias("posts"), n.alias("incomplete"), F.when(n > 0, "incomplete").otherwise("complete").alias("status"))
 
 
-@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (
-SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey = 1)""")
-def account_subset(spark, sf):
-    n = table(spark, sf, "nation", "n_nationkey", "n_regionkey").where("n_regionkey = 1")
-    n = n.join(table(spark, sf, "region", "r_regionkey"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
-    c = table(spark, sf, "customer", "c_custkey", "c_nationkey").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
-    return table(spark, sf, "orders", "o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-
-
-@query("SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'kept' END AS part, count(*) AS rows, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events GROUP BY 1")
-def error_split(spark, sf):
-    e = table(spark, sf, "events", "event_type", "value")
-    return e.groupBy(F.when(F.col("event_type") == "error", "error").otherwise("kept").alias("part")).agg(F.count("*").alias("rows"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-
-
 @query("SELECT CAST((n - 1) // 4 + 1 AS BIGINT) AS chunk, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY n) AS members FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS n FROM customer) GROUP BY 1")
 def batch_chunks(spark, sf):
     c = inventory.chunks(table(spark, sf, "customer", "c_custkey").withColumn("v", F.col("c_custkey").cast("string")), "c_custkey", "v", 4)
@@ -166,16 +147,6 @@ def unique_key_check(spark, sf):
     return a.unionByName(inventory.key_check(table(spark, sf, "lineitem", "l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"]).withColumn("name", F.lit("lineitem")))
 
 
-@query("""SELECT 'document' AS kind, doc_id AS id, text AS body, CAST(NULL AS BIGINT) AS turn FROM documents
-UNION ALL SELECT 'item', item_id, text, NULL FROM benchmark
-UNION ALL SELECT 'turn', conv_id, NULL, turn FROM conversations""")
-def manifest_union(spark, sf):
-    d = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    i = table(spark, sf, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.col("text").alias("body"))
-    t = table(spark, sf, "conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), "turn")
-    return d.unionByName(i).unionByName(t, allowMissingColumns=True)
-
-
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'left' ELSE 'right' END AS side
 FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL""")
 def set_equality(spark, sf):
@@ -188,11 +159,6 @@ def normalized_sort_rank(spark, sf):
     return inventory.numbered(c, ["k1", "k2", "c_custkey"], "position").select("c_custkey", "position")
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '(?i)://([^/?#]+)', 1)) AS handle FROM pages")
-def handle_clean(spark, sf):
-    return table(spark, sf, "pages", "page_id", "url").select("page_id", F.lower(F.regexp_extract("url", r"(?i)://([^/?#]+)", 1)).alias("handle"))
-
-
 @query("""SELECT source, count(*) AS posts, count(DISTINCT sha256(text)) AS unique_assets, count(*) - count(DISTINCT sha256(text)) AS duplicate_rows,
 count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, CASE WHEN count(*) FILTER (WHERE l.doc_id IS NULL) > 0 THEN 'incomplete' ELSE 'complete' END AS status
 FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY source""")
@@ -227,13 +193,6 @@ def redact_text(spark, sf):
     return table(spark, sf, "documents", "doc_id", "text").select("doc_id", F.sha2(redaction.redact(t).cast("binary"), 256).alias("redacted_sha256"))
 
 
-@query("""SELECT doc_id, CAST(i AS BIGINT) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS v, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-WHERE regexp_matches(v, 'AKIA[A-Z0-9]{16}')""")
-def secret_lines(spark, sf):
-    found = redaction.audit(table(spark, sf, "documents", F.col("doc_id").alias("file"), "text"))
-    return found.where("category = 'access key'").select(F.col("file").alias("doc_id"), F.col("line").cast("long").alias("line"))
-
-
 @query("""SELECT conv_id, CAST(p AS INTEGER) AS position FROM (SELECT conv_id, unnest(range(1, n + 1)) AS p FROM (SELECT conv_id, max(turn) + 1 AS n FROM conversations GROUP BY conv_id))
 WHERE (conv_id, p - 1) NOT IN (SELECT (conv_id, turn) FROM conversations WHERE role = 'user')""")
 def expected_minus_present(spark, sf):
@@ -247,15 +206,3 @@ def expected_minus_present(spark, sf):
 def largest_wins(spark, sf):
     e = table(spark, sf, "events", "user_id", "event_id", "value").withColumn("o", -F.col("event_id"))
     return dedup.last_wins(e, ["user_id"], ["value", "o"]).select("user_id", "event_id", "value")
-
-
-@query("SELECT n_name AS account, count(*) AS rows FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
-def rows_per_account(spark, sf):
-    n = F.broadcast(table(spark, sf, "nation", "n_nationkey", "n_name"))  # a fixed table of 25 rows
-    c = table(spark, sf, "customer", "c_nationkey").groupBy("c_nationkey").count().join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.groupBy(F.col("n_name").alias("account")).agg(F.sum("count").alias("rows"))
-
-
-@query("SELECT event_type AS status, count(*) AS n, count(*) FILTER (WHERE value > 50) AS large FROM events GROUP BY event_type")
-def download_status_counts(spark, sf):
-    return table(spark, sf, "events", "event_type", "value").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("large"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.operators.dedup import ConflictError
 from tessella.plans import export, media, normalize, validate
 from tessella.sources import text as scans
+from tessella.sources.capture import capture_fingerprint
 
 
 def snapshot(root: Path, gaps: bool = False) -> tuple[str, str]:
@@ -180,3 +181,106 @@ def test_scans(spark, tmp_path):
     assert rows.count() == 2 and sorted(r.line for r in bad.collect()) == [3, 5]
     with pytest.raises(scans.InputError, match=":3: not a JSON object"):
         scans.jsonl(spark, str(p))
+
+
+def test_values_are_published_verbatim(spark):
+    item = {"id": "1", "input": "A", "playCount": "12", "diggCount": 1.5, "commentCount": 10**20, "shareCount": True, "isPinned": "yes", "hashtags": ["null", None, True, 5, {"name": 7}, "x"], "videoMeta": {"width": 1.5}}
+    df = spark.createDataFrame([(json.dumps(item),)], "raw_json string").withColumn("raw", F.try_parse_json("raw_json"))
+    n = normalize.normalize(df)
+    told = json.loads(n.select(normalize.published(n).alias("p")).first().p)
+    assert [told[k] for k in ("views", "likes", "comments", "shares", "is_pinned", "video_width")] == ["12", 1.5, 10**20, True, "yes", 1.5]
+    assert told["hashtags"] == ["null", "None", "True", "5", "7", "x"] and list(told) == list(normalize.COLUMNS)
+    r = n.first()
+    assert (r.views, r.likes, r.shares, r.is_pinned, r.video_width) == (None, None, None, None, None)  # nothing is rounded into a type
+
+
+def report_of(selected, files):
+    rows = {p.relative_to(files).as_posix(): {"sha256": hashlib.sha256(p.read_bytes()).hexdigest(), "bytes": p.stat().st_size} for p in Path(files).rglob("*") if p.is_file()}
+    return {"source_fingerprint": capture_fingerprint(Path(selected)), "assets": rows}
+
+
+def test_verified_media(spark, tmp_path):
+    selected, files = snapshot(tmp_path)
+    report, place = report_of(selected, files), Path(files, "download_report.json")
+    place.write_text(json.dumps(report))
+    stray = Path(files, "creator", "7100000000000000002", "stray.mp4")
+    stray.write_bytes(b"not listed")
+    told = export.export_dataset(spark, selected, files, str(tmp_path / "out"), dry_run=True, require_verified=True)
+    assert told["counts"]["source_media_files"] == 14  # the stray file isn't vouched for
+    cover = Path(files, "creator", "7100000000000000002", "cover.jpg")
+    cover.write_bytes(b"other")
+    with pytest.raises(export.ExportError, match="verified media changed"):
+        export.export_dataset(spark, selected, files, str(tmp_path / "out"), require_verified=True)
+    place.write_text(json.dumps(report | {"source_fingerprint": "0"}))
+    with pytest.raises(scans.InputError, match="another capture"):
+        export.export_dataset(spark, selected, files, str(tmp_path / "out"), require_verified=True)
+    place.write_text(json.dumps(report | {"assets": report["assets"] | {"creator/gone.jpg": {"sha256": "", "bytes": 1}}}))
+    with pytest.raises(scans.InputError, match="missing or unsafe"):
+        export.export_dataset(spark, selected, files, str(tmp_path / "out"), require_verified=True)
+
+
+def test_ambiguous_folder_links_and_zip(spark, tmp_path, published):
+    files = spark.createDataFrame([("cREATOR/1/cover.jpg", "cREATOR", "1", "cover.jpg"), ("CREATOR/1/cover.jpg", "CREATOR", "1", "cover.jpg")], "relative string, account_dir string, post_dir string, name string")
+    files = files.withColumns({"path": F.col("relative"), "length": F.lit(5).cast("long"), "content": F.lit("cover").cast("binary")})
+    (tmp_path / "posts").mkdir()
+    (tmp_path / "posts" / "Creator.jsonl").write_text('{"id": "1", "input": "Creator"}\n')
+    posts, _ = export.load_posts(scans.posts(spark, str(tmp_path)))
+    with pytest.raises(export.ExportError, match="ambiguous"):
+        export.snapshot(posts, files)
+    (tmp_path / "link").symlink_to(tmp_path / "posts")
+    with pytest.raises(export.ExportError, match="link"):
+        export.witnessed(tmp_path)
+    copy = tmp_path / "again"
+    shutil.copytree(published[0] / "out", copy)
+    made = export.ensure_zip(copy)
+    assert made == tmp_path / "again.zip" and export.ensure_zip(copy) == made
+    (copy / "README.md").write_text("changed")
+    with pytest.raises(export.ExportError, match="differs"):
+        export.ensure_zip(copy)
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([('{"input": "A", "authorMeta": {"name": "a"}}', 1), ('{"input": "B", "authorMeta": null}', 2), ('{"input": "A", "authorMeta": {"name": "b"}}', 3)], "raw_json string, record long").withColumn("raw", F.try_parse_json("raw_json"))
+    export.write_by_account(rows, str(tmp_path / "posts"))
+    export.write_by_account(rows.where("record > 1"), str(tmp_path / "posts"))
+    assert {(r.account, r.value) for r in spark.read.text(str(tmp_path / "posts")).collect()} == {("A", rows.where("record = 3").first().raw_json), ("B", rows.where("record = 2").first().raw_json)}
+    export.write_profiles(normalize.profiles(rows, ["record"]), str(tmp_path / "profiles"))
+    (p,) = spark.read.text(str(tmp_path / "profiles")).collect()
+    assert p.account == "A" and json.loads(p.value)["authorMeta"] == {"name": "b"}
+    export.append_lines(tmp_path / "log" / "x.jsonl", [{"a": 1}])
+    export.append_lines(tmp_path / "log" / "x.jsonl", [{"a": "é"}, {"a": 3}])
+    with (tmp_path / "log" / "x.jsonl").open("a") as f:
+        f.write('{"a": ')
+    good, bad = scans.jsonl_tolerant(spark, str(tmp_path / "log" / "x.jsonl"))
+    assert good.count() == 3 and [r.line for r in bad.collect()] == [4]
+
+
+def test_small_objects(tmp_path):
+    p = tmp_path / "x.json"
+    with pytest.raises(FileNotFoundError):
+        scans.read_object(p)
+    assert scans.read_object(p, missing=True) == {}
+    p.write_text("\ufeff{\"a\": 1}", encoding="utf-8")
+    assert scans.read_object(p) == {"a": 1}
+    p.write_text("[1]")
+    with pytest.raises(scans.InputError):
+        scans.read_object(p, missing=True)
+    assert scans.read_object(p, invalid=True) == {}
+
+
+def test_media_tree_and_plan_conflicts(spark, tmp_path):
+    d = tmp_path / "tree" / "acc" / "7"
+    d.mkdir(parents=True)
+    (d / "raw.json").write_text('{"id": "70", "x": {"u": "https://www.tiktok.com/@a/video/70"}, "video": "http://h/v"}')
+    t = scans.media_tree(spark, str(tmp_path / "tree"))
+    (r,) = media.video_plan(t, t.where("false")).collect()
+    assert (r.account, r.post_id, r.url, r.direct_urls) == ("acc", "70", "https://www.tiktok.com/@a/video/70", ["http://h/v"])
+    make = lambda *items: spark.createDataFrame([(json.dumps(x), n) for n, x in enumerate(items)], "raw_json string, record long").withColumns({"raw": F.try_parse_json("raw_json"), "stem": F.lit("s"), "source_file": F.lit("f")})
+    assert media.plan_posts(make({"id": 1, "input": "A"}, {"input": "A", "id": 1}, {"id": 2, "input": "a"})).count() == 2
+    with pytest.raises(ConflictError):
+        media.plan_posts(make({"id": 1, "input": "A"}, {"id": 1, "input": "a", "n": 2}))
+    done = spark.createDataFrame([("image", "downloaded", "a/1", "d", 3), ("video", "existing", "a/2", "e", 4), ("image", "failed", None, None, None)], "kind string, status string, path string, sha256 string, bytes long")
+    report = media.download_report(done, "f", "f")
+    assert report["failed"] == 1 and set(report["assets"]) == {"a/1", "a/2"}
+    with pytest.raises(ConflictError):
+        media.download_report(done, "f", "g")
