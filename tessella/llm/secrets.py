@@ -27,7 +27,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, table
+from .common import arrow_map, materialize, slices, table
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -263,8 +263,16 @@ def corpus_words(df: DataFrame, text_col: str = "text", most: int = RANKED) -> l
                     total = {}
         yield {"word": [w.decode() for w in total], "n": list(total.values())}
 
-    counts = arrow_map(df.select(F.col(text_col).alias("t")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = materialize(arrow_map(df.select(F.col(text_col).alias("t")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # a histogram by sixteenths of powers of two (a thousand bins at most) says from which count on words are wanted,
+    # so that no task sends words that others outrank
+    size = F.floor(F.log2("n") * 16).alias("bin")
+    least, seen = 0, 0
+    for r in sorted(counts.groupBy(size).count().collect(), reverse=True):
+        least, seen = r.bin, seen + r["count"]
+        if seen >= most:
+            break
+    return [r.word for r in counts.where(size >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def model_words(df: DataFrame, text_col: str = "text") -> list[str]:
