@@ -13,7 +13,7 @@ task makes again alike) and sends each distinct n-gram hash of the block once, p
 arrays by hash range. Each range is summed over all blocks, and each block gets back just the
 counts in the order of the hashes it sent. Hot n-grams are thus pre-aggregated, texts are never
 shuffled, and no vocabulary is gathered anywhere. Words are counted by 64-bit hashes; longer n-grams
-by slots, some 2^``SLOT_BITS`` for each word of the corpus, so that about one in a thousand shares its
+by slots, some 2^``SLOT_BITS`` for each word of the corpus, so that about one in five hundred shares its
 slot with another, whatever the corpus's size.
 
 Null and empty texts are one end token; texts of any length are scored whole (a block is larger
@@ -39,7 +39,7 @@ from .common import arrow_map, materialize, parallelism, shared_dir, slices, tab
 
 ORDER = 3
 #: Slots of n-grams of two words and more: so many bits beyond the corpus's size, two of them for the order.
-SLOT_BITS, LEAST_BITS = 14, 44
+SLOT_BITS, LEAST_BITS = 13, 44
 #: Tokens of a block; more only where one document has more.
 BLOCK_TOKENS = 1_000_000
 #: Bytes of text for each range of hashes.
@@ -123,9 +123,10 @@ def _check(keys: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(K.mix(keys)).view(np.int64)) if len(keys) else 0
 
 
-#: What a block sends and gets back: words, and longer n-grams, each with counts from estimation (a) and held-out documents (e).
+#: What a block sends: words, and longer n-grams, each with counts from estimation (a) and held-out documents (e).
+#: What it gets back: the corpus's counts from estimation documents (a), and from all training documents (t).
 _SENT = "block long, range int, keys1 binary, a1 binary, e1 binary, keys2 binary, a2 binary, e2 binary"
-_BACK = "block long, range int, check long, a1 binary, e1 binary, a2 binary, e2 binary, sums array<long>"
+_BACK = "block long, range int, check long, a1 binary, t1 binary, a2 binary, t2 binary, sums array<long>"
 
 
 def counted_blocks(docs: DataFrame, folder: str, order: int = ORDER, block: int = BLOCK_TOKENS, ranges: int = 64, bits: int = LEAST_BITS) -> DataFrame:
@@ -173,29 +174,27 @@ def counted_blocks(docs: DataFrame, folder: str, order: int = ORDER, block: int
                     mine = index[at : at + len(own)]
                     at += len(own)
                     checks[i] ^= _check(own)
-                    answers[i] += [pack(t[mine]) for t in total]
-            yield {"block": [-1], "range": [r], "check": [0], "sums": [sums]} | {c: [None] for c in ("a1", "e1", "a2", "e2")}
+                    answers[i] += [pack(total[0][mine]), pack((total[0] + total[1])[mine])]
+            yield {"block": [-1], "range": [r], "check": [0], "sums": [sums]} | {c: [None] for c in ("a1", "t1", "a2", "t2")}
             for x, check, own in zip(rows, checks, answers, strict=True):
-                yield {"block": [x[0]], "range": [r], "check": [check], "sums": [None]} | dict(zip(("a1", "e1", "a2", "e2"), ([v] for v in own), strict=True))
+                yield {"block": [x[0]], "range": [r], "check": [check], "sums": [None]} | dict(zip(("a1", "t1", "a2", "t2"), ([v] for v in own), strict=True))
 
     sent = arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), send, _SENT)
     dealt = sent.repartition("range").sortWithinPartitions("range", "block")
     return arrow_map(dealt, add, _BACK)
 
 
-def _with_counts(batches, folder: str, order: int, bits: int, held_out: bool):
-    """Each block with the counts (order, token) of its n-grams, from estimation documents and, if wanted, held-out ones as well."""
+def _with_counts(batches, folder: str, order: int, bits: int):
+    """Each block with the counts (order, token) of its n-grams, of either kind."""
     store = Store(folder)
-    for number, rows in grouped(batches, "block", ("check", "a1", "e1", "a2", "e2")):
+    for number, rows in grouped(batches, "block", ("check", "c1", "c2")):
         blk = Block.load(store.get_bytes(number))
         check, count = 0, []
         for x in rows:
             check ^= x[0]
         for k, keys in enumerate(blk.keys(order, bits)):
             distinct, index = np.unique(keys, return_inverse=True)
-            own = np.concatenate([unpack(x[2 * k + 1], np.int64) for x in rows])
-            if held_out:
-                own = own + np.concatenate([unpack(x[2 * k + 2], np.int64) for x in rows])
+            own = np.concatenate([unpack(x[k + 1], np.int64) for x in rows])
             check ^= _check(distinct)
             if len(own) != len(distinct):
                 raise RuntimeError(f"block {number} and its counts don't belong together")
@@ -252,13 +251,26 @@ def _first(blk: Block) -> np.ndarray:
     return out
 
 
+def portions(blk: Block, most: int = 200_000):
+    """(documents, tokens) of a block as slices of about ``most`` tokens (one document may exceed it): a bound on the memory of estimates."""
+    ends = np.cumsum(blk.lengths)
+    start = 0
+    while start < len(ends):
+        base = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
+        yield slice(start, stop), slice(base, int(ends[stop - 1]))
+        start = stop
+
+
 class Model:
     def __init__(self, order: int, weights: np.ndarray, tokens: int, distinct: int):
         self.order, self.weights, self.tokens, self.distinct = order, weights, tokens, distinct
 
 
-def _by_block(counts: DataFrame) -> DataFrame:
-    return counts.where("block >= 0").repartition("block").sortWithinPartitions("block", "range").select("block", "check", "a1", "e1", "a2", "e2")
+def _by_block(counts: DataFrame, kind: str) -> DataFrame:
+    """The answers of one kind (a or t), each block's together and in the order of ranges."""
+    rows = counts.where("block >= 0").select("block", "range", "check", F.col(f"{kind}1").alias("c1"), F.col(f"{kind}2").alias("c2"))
+    return rows.repartition("block").sortWithinPartitions("block", "range").select("block", "check", "c1", "c2")
 
 
 def fit(counts: DataFrame, folder: str, order: int = ORDER, bits: int = LEAST_BITS) -> Model:
@@ -266,19 +278,22 @@ def fit(counts: DataFrame, folder: str, order: int = ORDER, bits: int = LEAST_BI
     s = counts.where("block = -1").agg(*(F.coalesce(F.sum(F.col("sums")[i]), F.lit(0)).alias(n) for i, n in enumerate(("va", "v", "na", "n")))).first()
 
     def events(batches):
-        for blk, count in _with_counts(batches, folder, order, bits, False):
+        for blk, count in _with_counts(batches, folder, order, bits):
             mine = blk.token_folds() == 1
             if not mine.any():
                 continue
-            docs = float(count[0][np.cumsum(blk.lengths)[:1] - 1][0])  # every document ends alike
-            p, bucket = estimates(count, _first(blk), docs, float(s.na))
-            cell = bucket[mine]
-            for o in range(order, 0, -1):
-                cell = cell << 7 | bins(p[o - 1][mine])
-            cell, weight = np.unique(cell, return_counts=True)
+            docs = float(count[0][blk.lengths[0] - 1])  # every document ends alike
+            first, cells = _first(blk), []
+            for _, own in portions(blk):
+                p, bucket = estimates(count[:, own], first[own], docs, float(s.na))
+                cell = bucket[mine[own]]
+                for o in range(order, 0, -1):
+                    cell = cell << 7 | bins(p[o - 1][mine[own]])
+                cells.append(cell)
+            cell, weight = np.unique(np.concatenate(cells), return_counts=True)
             yield {"cell": cell, "weight": weight}
 
-    got = arrow_map(_by_block(counts), events, "cell long, weight long").groupBy("cell").agg(F.sum("weight").alias("weight")).toArrow()
+    got = arrow_map(_by_block(counts, "a"), events, "cell long, weight long").groupBy("cell").agg(F.sum("weight").alias("weight")).toArrow()
     weights = learn(got.column("cell").to_numpy(), got.column("weight").to_numpy().astype(float), order, float(s.va))
     if not s.n:
         weights[:] = np.eye(order + 1)[0]
@@ -289,24 +304,25 @@ def score(counts: DataFrame, folder: str, model: Model, bits: int = LEAST_BITS)
     """SCORE's columns for every document of the blocks."""
 
     def run(batches):
-        for blk, count in _with_counts(batches, folder, model.order, bits, True):
-            docs = float(count[0][np.cumsum(blk.lengths)[:1] - 1][0])
-            p, bucket = estimates(count, _first(blk), docs, float(model.tokens))
-            w = model.weights[bucket]
-            mixed = w[:, 0] / (model.distinct + 1)
-            for o in range(model.order):
-                mixed += w[:, o + 1] * p[o]
-            base = np.log10((count[0] + 0.1) / (model.tokens + 0.1 * (model.distinct + 1)))
-            starts = np.cumsum(blk.lengths) - blk.lengths
-            add = lambda x: np.add.reduceat(x, starts)
-            for i in range(0, len(starts), 5000):
-                part = slice(i, i + 5000)
+        for blk, count in _with_counts(batches, folder, model.order, bits):
+            docs, first = float(count[0][blk.lengths[0] - 1]), _first(blk)
+            for part, own in portions(blk):
+                c = count[:, own]
+                p, bucket = estimates(c, first[own], docs, float(model.tokens))
+                w = model.weights[bucket]
+                mixed = w[:, 0] / (model.distinct + 1)
+                for o in range(model.order):
+                    mixed += w[:, o + 1] * p[o]
+                base = np.log10((c[0] + 0.1) / (model.tokens + 0.1 * (model.distinct + 1)))
+                lengths = blk.lengths[part]
+                starts = np.cumsum(lengths) - lengths
+                add = lambda x, at=starts: np.add.reduceat(x, at)
                 yield {
-                    "doc_id": blk.ids[part], "held_out": blk.folds[part] == 0, "n_tokens": blk.lengths[part], "n_known": add((count[0] > 0).astype(np.int64))[part],
-                    "train_tokens": np.full(len(starts[part]), model.tokens), "base_score": add(base)[part], "score": add(np.log10(mixed))[part],
+                    "doc_id": blk.ids[part], "held_out": blk.folds[part] == 0, "n_tokens": lengths, "n_known": add((c[0] > 0).astype(np.int64)),
+                    "train_tokens": np.full(len(starts), model.tokens), "base_score": add(base), "score": add(np.log10(mixed)),
                 }
 
-    return arrow_map(_by_block(counts), run, SCORE)
+    return arrow_map(_by_block(counts, "t"), run, SCORE)
 
 
 def train_and_score(docs: DataFrame, order: int = ORDER, block: int = BLOCK_TOKENS) -> DataFrame:
