@@ -12,6 +12,7 @@ from ..functions import identity, redaction
 from ..functions import media as U
 from ..functions.variants import get
 from ..operators import inventory
+from ..session import settle
 from ..sources import text as scans
 from . import export, media, normalize
 
@@ -68,6 +69,13 @@ def keyed(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(identity.post_uid(F.col("account"), F.col("post_id")).alias("post_uid"), "account", "post_id", normalize.content_type(r).alias("content_type"), "raw", F.lower("account").alias("acct"))
 
 
+def attached(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(posts, references, gaps, assets), written once as an export does, so that what follows has small plans."""
+    posts = settle(keyed(spark, sf))
+    refs, gaps, assets, _ = media.attach(posts, settle(files(spark, sf)))
+    return posts, settle(refs), settle(gaps), assets
+
+
 _POSTS = """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, 'Cust' || o_custkey AS account, CAST(o_orderkey AS VARCHAR) AS pid,
 CASE WHEN o_orderkey % 3 = 0 THEN 'slideshow' WHEN o_orderkey % 3 = 2 AND o_orderkey % 4 > 0 THEN 'slideshow' ELSE 'video' END AS kind,
 CASE WHEN o_orderkey % 3 <> 1 THEN o_orderkey % 4 ELSE 0 END AS slides, o_orderstatus, o_orderpriority, o_orderdate FROM orders)"""
@@ -239,8 +247,7 @@ def usable_cache(spark, sf):
 @query(_POSTS + _FILES + """SELECT 'POST-' || upper(substr(sha1(account || chr(0) || pid), 1, 12)) AS post_uid, role AS kind, CAST(idx AS INTEGER) AS "index", relative, 'sha256:' || h AS asset_id FROM f WHERE length > 0""")
 def media_references(spark, sf):
     """Files attached to posts, folders in other case than the account."""
-    refs = media.attach(keyed(spark, sf), files(spark, sf))[0]
-    return refs.select("post_uid", "kind", "index", "relative", "asset_id")
+    return attached(spark, sf)[1].select("post_uid", "kind", "index", "relative", "asset_id")
 
 
 _GAPS = """, g AS (SELECT k, role AS kind, idx, 'empty_file' AS reason FROM f WHERE length = 0
@@ -254,7 +261,7 @@ UNION ALL SELECT k, 'slide', NULL, 'no_slide_inventory' FROM o WHERE kind = 'sli
 @query(_POSTS + _FILES + _GAPS + """SELECT g.kind, CAST(idx AS INTEGER) AS "index", reason, pid AS post_id FROM g JOIN o ON o.k = g.k""")
 def media_gaps(spark, sf):
     """A7, A8, A9, A10, J4, J5, T3."""
-    return media.attach(keyed(spark, sf), files(spark, sf))[1].select("kind", "index", "reason", "post_id")
+    return attached(spark, sf)[2].select("kind", "index", "reason", "post_id")
 
 
 @query(_POSTS + _FILES + """, r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY lower(account), pid, CASE role WHEN 'video' THEN 2 ELSE 0 END, relative) AS n FROM f WHERE length > 0)
@@ -262,7 +269,7 @@ SELECT 'sha256:' || h AS asset_id, 'assets/' || CASE role WHEN 'video' THEN 'vid
 CASE role WHEN 'video' THEN 'video/mp4' ELSE 'image/jpeg' END AS mime_type, CAST(length AS BIGINT) AS bytes, (SELECT count(*) FROM r q WHERE q.h = r.h) AS n_sources FROM r WHERE n = 1""")
 def asset_inventory(spark, sf):
     """A5, F27, F29, F30, J6, W7."""
-    a = media.attach(keyed(spark, sf), files(spark, sf))[2]
+    a = attached(spark, sf)[3]
     return a.select("asset_id", "path", "mime_type", "bytes", F.size("source_paths").cast("long").alias("n_sources"))
 
 
@@ -271,8 +278,7 @@ CASE WHEN k IN (SELECT k FROM g) THEN 'incomplete' ELSE 'complete' END AS media_
 CAST((SELECT count(DISTINCT h) FROM f WHERE f.k = o.k AND role = 'video' AND length > 0) AS INTEGER) AS videos FROM o""")
 def post_envelopes(spark, sf):
     """A11, A12, A13, A14, F41."""
-    posts = keyed(spark, sf)
-    refs, gaps, _, _ = media.attach(posts, files(spark, sf))
+    posts, refs, gaps, _ = attached(spark, sf)
     e = media.envelopes(posts, refs, gaps)
     return e.select("post_id", "expected_slide_count", "available_slide_count", "media_status", F.size("media.videos").alias("videos"))
 
@@ -280,8 +286,7 @@ def post_envelopes(spark, sf):
 @query(_POSTS + _FILES + """, a AS (SELECT DISTINCT k, role, idx, h FROM f WHERE length > 0) SELECT pid AS post_id, role, count(*) AS n FROM a JOIN o ON o.k = a.k GROUP BY ALL""")
 def referenced_assets(spark, sf):
     """A reader joins envelopes with the inventory."""
-    posts = keyed(spark, sf)
-    refs, gaps, assets, _ = media.attach(posts, files(spark, sf))
+    posts, refs, gaps, assets = attached(spark, sf)
     named = media.with_assets(media.envelopes(posts, refs, gaps), assets)
     return named.join(posts.select("post_uid", "post_id"), "post_uid").groupBy("post_id", "role").agg(F.count("*").alias("n"))
 
@@ -388,7 +393,7 @@ def account_profiles(spark, sf):
 @query(_POSTS + """SELECT account, pid AS post_id, kind AS content_type, CAST(k % 1000 AS VARCHAR) AS views, '' AS likes, CAST(0 AS VARCHAR) AS video_count, CAST(slides AS VARCHAR) AS expected_slide_count FROM o""")
 def flat_posts(spark, sf):
     """K6, K7: the flat copy takes the envelope's value, else the metadata's, and nothing for null."""
-    posts = keyed(spark, sf)
+    posts = settle(keyed(spark, sf))
     n = F.try_parse_json(F.to_json(F.struct(get(F.col("raw"), "playCount").alias("views"))))
     empty = files(spark, sf).where("false")
     refs, gaps, _, _ = media.attach(posts, empty)
