@@ -10,6 +10,9 @@ Null and empty texts get the vector of an empty text and a score like any other.
 id are scored, count as held out, and are never learnt from. Repeated label rows count once, and
 conflicting ones count for both classes; labels that are null or neither 0 nor 1 are ignored.
 With no labels of one class every score is the share of label 1 (0.5 with no labels at all).
+Texts of any length are measured whole; equal texts get equal scores; an empty table gives an
+empty table; columns of other names, clashing ones too, are ignored. The sums over the labelled rows
+are of doubles and arrive in any order, so scores may differ in their last digits between runs.
 """
 
 from __future__ import annotations

@@ -21,8 +21,10 @@ A hash with more than ``HOT`` different contexts (a passage in a large share of
 isn't gathered: digests of its windows are spread by their own value and counted instead.
 
 Null and empty texts keep nothing and lose nothing; repeated rows are documents each, hence
-remove each other where long enough; null ids are processed like others; extra columns are
-ignored.
+remove each other where long enough; null ids are processed like others. Texts of any length are
+processed whole (a block is larger where one document is, and a long text's windows are hashed a
+piece at a time); of equal contexts the first block's copy is the one that is sent, which changes
+no result; an empty table gives an empty table; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

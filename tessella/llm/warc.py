@@ -36,7 +36,7 @@ RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_
 #: Ranges with gaps of up to GAP bytes are fetched together, in reads of up to READ bytes.
 GAP, READ = 1 << 16, 8 << 20
 #: Bytes of records that one task reads back.
-TASK_BYTES = 4 << 20
+TASK_BYTES = 16 << 20
 #: A new archive is begun beyond this size.
 ROLL = 1 << 30
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
