@@ -13,8 +13,8 @@ task makes again alike) and sends each distinct n-gram hash of the block once, p
 arrays by hash range. Each range is summed over all blocks, and each block gets back just the
 counts in the order of the hashes it sent. Hot n-grams are thus pre-aggregated, texts are never
 shuffled, and no vocabulary is gathered anywhere. Words are counted by 64-bit hashes; longer n-grams
-by slots, some 2^``SLOT_BITS`` for each word of the corpus, so that about one in five hundred shares its
-slot with another, whatever the corpus's size.
+by slots, 2^(``SLOT_BITS`` - 2) or more for every four bytes of the corpus and each order, so that fewer
+than one in a thousand shares its slot with another, whatever the corpus's size.
 
 Null and empty texts are one end token; texts of any length are scored whole (a block is larger
 where one document is). Rows of a null id are scored, count as held out and are
