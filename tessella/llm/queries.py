@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_chat": "chat",
     "op9_secrets": "secrets",
     "op10_jaccard": "jaccard",
+    "op11_records": "records",
 }
 
 
