@@ -17,6 +17,7 @@ _QUERIES = {
     "op9_secrets": "secrets",
     "op10_jaccard": "jaccard",
     "op11_records": "records",
+    "op12_codes": "codes",
 }
 
 
