@@ -18,6 +18,7 @@ _QUERIES = {
     "op10_jaccard": "jaccard",
     "op11_records": "records",
     "op12_codes": "codes",
+    "op13_divergence": "divergence",
 }
 
 
