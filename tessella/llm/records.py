@@ -16,8 +16,8 @@ fetched by coalesced byte ranges, and both checksums of every frame are verified
 
 Texts are encoded word by word: no match of the splitting pattern holds white space, no character
 composes with ASCII white space, and lower-casing goes by single characters, so the words between
-ASCII white space encode as they do within the text. Distinct words go to the tokenizers library
-once, in a memory of fixed size.
+ASCII white space encode as they do within the text. Words go to the tokenizers library once while
+they are remembered, in a memory of fixed size.
 
 Null texts are empty (the end id alone). Null document ids come first; rows of one id stand in the
 order of the table's files. Texts of any length are written whole, as one record. An empty table gives an empty
@@ -52,7 +52,7 @@ FILE_BYTES = 64 << 20
 #: Bytes of records that one task reads back.
 TASK_BYTES = 32 << 20
 #: Words remembered, and the longest that are (in bytes).
-CACHE, LONG = 200_000, 64
+CACHE, LONG = 300_000, 64
 END = 1
 
 # CRC-32C --------------------------------------------------------------------------------------
@@ -170,46 +170,67 @@ def payloads(data: bytes | memoryview, ranges: list[tuple[int, int]]) -> list[me
 # encoding -------------------------------------------------------------------------------------
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it is printable, else the next free one from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    other = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class Encoder:
-    """Token ids of whole texts by the tokenizers library, each distinct word (and each piece of an ASCII word) encoded once."""
+    """Token ids of whole texts by the tokenizers library, each distinct word encoded once while it is remembered.
 
-    #: What the tokenizer's own pattern yields within ASCII words once they are lower-cased.
-    PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+    A word of ASCII and Latin-1 letters is its own normal form once it is lower-cased, so what the
+    splitting pattern finds in it goes straight to the library's model; others go through the whole library.
+    """
+
+    #: Words that need no normal form, and what the tokenizer's own pattern finds in them once they are lower-cased.
+    SIMPLE = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z0-9\xdf-\xf6\xf8-\xff]+")
+    LETTERS = _byte_letters()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        size = tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.words: dict[bytes, tuple[int, ...]] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
-
-    def learn(self, fresh: set[bytes]) -> None:
-        parts = {w: self.PIECES.findall(w.lower()) if w.isascii() and b"<|" not in w else [w] for w in fresh}
-        new = list({p for x in parts.values() for p in x if p not in self.pieces})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.pieces[p] = tuple(e.ids)
-        for w, x in parts.items():
-            self.words[w] = self.pieces[x[0]] if len(x) == 1 else tuple(chain.from_iterable(map(self.pieces.__getitem__, x)))
-
-    def forget(self) -> None:
-        """Keep memory fixed: long words and pieces go at once, the others when there are too many."""
-        for held in (self.words, self.pieces):
-            if len(held) > CACHE:
-                held.clear()
-            else:
-                for w in [w for w in held if len(w) > LONG]:
-                    del held[w]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self.learn(set().union(*words).difference(self.words))
-        out = [np.fromiter(chain.from_iterable(map(self.words.__getitem__, x)), self.kind) for x in words]
-        self.forget()
-        return out
+        stored = [i.to_bytes(self.kind.itemsize, "little") for i in range(size)]
+        simple, find, letters, tokenize = self.SIMPLE.fullmatch, self.PIECES.findall, self.LETTERS, tokenizer.model.tokenize
+
+        class Words(dict):
+            """A word's ids as they are stored. Two generations of words, so that common ones stay when memory is full."""
+
+            def __init__(self):
+                self.old: dict[bytes, bytes] = {}
+
+            def __missing__(self, word: bytes) -> bytes:
+                ids = self.old.get(word)
+                if ids is None:
+                    ids = self.encode(word)
+                if len(word) <= LONG:
+                    if len(self) >= CACHE:
+                        self.old = dict(self)
+                        self.clear()
+                    self[word] = ids
+                return ids
+
+            def encode(self, word: bytes) -> bytes:
+                if word.isalpha():  # ASCII letters are one piece, whatever stands behind them but an apostrophe's
+                    return b"".join([stored[t.id] for t in tokenize(word.lower().decode())])
+                if word[:-1].isalpha() and word[-1] < 128:
+                    return self[word[:-1]] + b"".join([stored[t.id] for t in tokenize(word[-1:].decode().translate(letters))])
+                text = word.decode()
+                if simple(text) and "<|" not in text:
+                    return b"".join([stored[t.id] for p in find(text.lower()) for t in tokenize(p.encode().decode("latin-1").translate(letters))])
+                return b"".join([stored[i] for i in tokenizer.encode(text, add_special_tokens=False).ids])
+
+        self.words = Words()
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.words.__getitem__, (text or "").encode("utf-8", "replace").split())), self.kind)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -264,7 +285,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
             for whole in batches:
                 for b in slices(whole, "text", 2 << 20):
                     doc_ids = b.column("doc_id").to_pylist()
-                    ids = [np.append(x, x.dtype.type(end)) for x in e.encode(b.column("text").to_pylist())]
+                    ids = [np.append(e.encode(t), e.kind.type(end)) for t in b.column("text").to_pylist()]
                     framed = frames([payload(d, x) for d, x in zip(doc_ids, ids, strict=True)])
                     out.write(b"".join(framed))
                     lengths = np.array([len(f) for f in framed], np.int64)

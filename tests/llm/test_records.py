@@ -63,8 +63,15 @@ def test_frames_are_what_the_docstring_says_and_damage_is_told():
 def test_words_encode_as_the_whole_text_does():
     want, e = whole(), records.Encoder(records.default_path())
     for _ in range(2):  # the second time from memory
-        assert [x.tolist() for x in e.encode(ODD)] == [want(t) for t in ODD]
-    assert all(len(w) <= records.LONG for w in [*e.words, *e.pieces])
+        assert [e.encode(t).tolist() for t in ODD] == [want(t) for t in ODD]
+    assert all(len(w) <= records.LONG for w in e.words)
+
+
+def test_every_character_alone_and_between_letters():
+    want, e = whole(), records.Encoder(records.default_path())
+    for c in [*map(chr, range(0x600)), *map(chr, range(0x1E00, 0x2100)), "\u212a", "\ufb01"]:
+        for t in (c, f"a{c}B", f"{c}'s{c}1"):
+            assert e.encode(t).tolist() == want(t), (hex(ord(c)), t)
 
 
 def test_memory_is_bounded(monkeypatch):
@@ -72,8 +79,8 @@ def test_memory_is_bounded(monkeypatch):
     e, want = records.Encoder(records.default_path()), whole()
     for k in range(5):
         text = " ".join(f"word{k}{i}" for i in range(30))
-        assert e.encode([text])[0].tolist() == want(text)
-        assert len(e.words) <= 10 and len(e.pieces) <= 10 + 40
+        assert e.encode(text).tolist() == want(text)
+        assert len(e.words) <= 10 and len(e.words.old) <= 10
 
 
 def brute(rows):
