@@ -6,7 +6,8 @@ The tables are: quality labels and benchmark items of ``sf_dir``. Each stage's i
 as Parquet and read again, so a lost executor repeats one stage's tasks only.
 
 Nulls, empty texts, repeated rows and empty tables are treated as each operator says; every filter
-judges a row by its own text, also where its id is null or other rows have it.
+judges a row by its own text, also where its id is null or other rows have it. Further columns pass
+every stage but the last untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,8 +20,14 @@ from tessella.llm.common import materialize, table
 
 #: A document goes if its score is below this.
 QUALITY = 0.3
-#: Column of the rows' own keys inside a stage.
-KEY = "_row_key"
+
+
+def own_key(docs: DataFrame) -> str:
+    """A name for the rows' own keys inside a stage that no column of docs has, in whatever case."""
+    taken, name = {c.lower() for c in docs.columns}, "_row_key"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,23 +48,25 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         classes = jaccard.jaccard_classes(docs, k=5, num=80, den=100)
         gone = classes.where("component_id <> doc_id").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    rows = materialize(docs.withColumn(KEY, F.monotonically_increasing_id()))
-    classes = jaccard.jaccard_classes(rows.select(F.col(KEY).alias("doc_id"), "text"), k=5, num=80, den=100).select(F.col("doc_id").alias(KEY), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", KEY)
-    linked = classes.join(classes.where(f"component_id <> {KEY}").select("component_id").distinct(), "component_id", "left_semi")
-    linked = linked.join(rows.select(KEY, "doc_id", F.sha1(F.col("text").cast("binary")).alias("digest")), KEY)
-    first = linked.groupBy("component_id").agg(F.min(order)[KEY].alias(KEY))
-    gone = linked.select(KEY).join(first, KEY, "left_anti")
-    return rows.join(gone, KEY, "left_anti").select(docs.columns)
+    key = own_key(docs)
+    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()))
+    classes = jaccard.jaccard_classes(rows.select(F.col(key).alias("doc_id"), "text"), k=5, num=80, den=100).select(F.col("doc_id").alias(key), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", key)
+    linked = classes.join(classes.where(f"component_id <> {key}").select("component_id").distinct(), "component_id", "left_semi")
+    linked = linked.join(rows.select(key, "doc_id", F.sha1(F.col("text").cast("binary")).alias("digest")), key)
+    first = linked.groupBy("component_id").agg(F.min(order)[key].alias(key))
+    gone = linked.select(key).join(first, key, "left_anti")
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that contain no benchmark item, each judged by its own text, whatever its id."""
     ids = docs.groupBy("doc_id").count()
     unique = ids.where("doc_id is null or count > 1").isEmpty()
-    rows = docs.withColumn(KEY, F.col("doc_id")) if unique else materialize(docs.withColumn(KEY, F.monotonically_increasing_id()))
-    found = decontaminate.contained_items(rows.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return rows.join(found.select(F.col("doc_id").alias(KEY)).distinct(), KEY, "left_anti").select(docs.columns)
+    key = own_key(docs)
+    rows = docs.withColumn(key, F.col("doc_id")) if unique else materialize(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = decontaminate.contained_items(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

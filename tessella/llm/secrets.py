@@ -154,15 +154,17 @@ class GuessCost:
         # longer periods show in the distance to where the same few characters stood last
         for size in (4, 12):
             seen: dict[str, int] = {}
+            reach: dict[int, int] = {}  # per distance the end of its last run: a place within it would run to that end again, from a later start
             i = 0
             while i + size <= n:
                 gram = value[i : i + size]
                 p = seen.get(gram)
                 seen[gram] = i
-                if p is not None and i - p > self.unit:
+                if p is not None and i - p > self.unit and reach.get(i - p, 0) < i + size:
                     j = i + size
                     while j < n and value[j] == value[j - (i - p)]:
                         j += 1
+                    reach[i - p] = j
                     if j - p >= 2 * (i - p):
                         times = (j - p) // (i - p)
                         out.setdefault(p, []).append(("repeat", p + times * (i - p), sum(map(_size, value[p:i])) + math.log10(times)))

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 import corpus_pipeline as P
 from tessella.llm import bpe, quality, secrets
 
@@ -58,3 +60,22 @@ def test_rows_of_null_and_shared_ids(spark, tmp_path):
     assert left(P.decontamination_stage, rows) == sorted([(None, a), (1, b), (2, c)], key=str)
     rows = [(None, a), (None, b), (1, a), (1, c), (2, f"{c} end"), (3, c)]
     assert left(P.near_duplicate_stage, rows) == sorted([(None, b), (1, a), (1, c)], key=str)
+
+
+@pytest.mark.parametrize("names", [("_row_key", "_row_key_", "score", "found", "x", "component_id", "digest", "count"), ("_ROW_KEY",)])
+def test_further_columns_stay_as_they_are(spark, tmp_path, names):
+    r = random.Random(3)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)) + "."
+    item, a = text(20), text(60)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    # keys of their own are given where ids repeat or are null
+    texts = (a, text(60), f"{text(30)} password = hunter2hunter2 {text(30)}", a)
+    d = spark.createDataFrame([(i, t, "en", "s", len(t), *[99 + k] * len(names)) for k, (i, t) in enumerate(zip((1, 1, None, 4), texts, strict=True))], f"{SCHEMA}, " + ", ".join(f"`{n}` int" for n in names))
+    columns = d.columns
+    for stage_name, stage in P.STAGES[:-1]:
+        d = stage(spark, d, str(tmp_path))
+        assert d.columns == columns, stage_name
+    got = d.collect()
+    assert all({x[n] for n in names} == {x[names[0]]} for x in got) and sorted(x[names[0]] for x in got) == [99, 100, 101]
+    assert P.tokens_stage(spark, d, str(tmp_path)).count() == 3

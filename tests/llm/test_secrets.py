@@ -159,3 +159,39 @@ def test_words_of_the_corpus_are_cheap(spark):
     assert secrets.corpus_words(df, most=3) == ["incorrect", "again", "and"]
     assert {x.doc_id for x in secrets.find_secrets(df).collect() if x.found} == set()
     assert {x.doc_id for x in secrets.find_secrets(df, words=secrets.WORDS).collect() if x.found} == {99}
+
+
+def test_time_is_linear_in_the_length_of_a_value():
+    """A value that repeats its own first half after a gap, doubled five times."""
+    r, model = random.Random(8), secrets.GuessCost()
+    noise = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    took = []
+    for n in (8_000, 16_000, 32_000, 64_000, 128_000):
+        w = noise(n)
+        value = w + noise(n + 50) + w
+        t = time.process_time()
+        model._runs(value, value.lower())
+        took.append(time.process_time() - t)
+    assert took[-1] < 16 * 2 * max(took[0], 0.02)
+
+
+def test_repeats_are_found_as_by_trying_every_distance():
+    """The runs of long periods, with their memory of distances, against a search without it."""
+    r, model = random.Random(9), secrets.GuessCost()
+    for _ in range(300):
+        parts = ["".join(r.choices("abcd", k=r.randint(3, 14))) for _ in range(3)]
+        value = "".join(r.choices(parts, k=r.randint(2, 9)))
+        got = {(i, e) for i, found in model._runs(value, value).items() for k, e, _ in found if k == "repeat"}
+        want, n = set(), len(value)
+        for size in (4, 12):
+            seen, i = {}, 0
+            while i + size <= n:
+                p, seen[value[i : i + size]] = seen.get(value[i : i + size]), i
+                if p is not None and i - p > model.unit:
+                    d = i - p
+                    j = next((j for j in range(i + size, n) if value[j] != value[j - d]), n)
+                    if j - p >= 2 * d:
+                        want.add((p, p + (j - p) // d * d))
+                        i = j - size
+                i += 1
+        assert want <= got
