@@ -3,8 +3,8 @@
 Tasks count terms of whole texts by (lang, source) and send partial counts to shards, which are
 hashes of language and term, so that everything about a term is in one shard. Each shard is counted
 by vectorised SQL in DuckDB: terms in too few documents go, the rest keep one row a source. Spark
-adds up the groups' totals, which go back to the shards with the rows; a second SQL pass in each
-shard yields partial pair sums and the best terms of its own, and Spark merges sums and rankings.
+adds up the groups' totals; a second SQL pass in each shard then yields partial pair sums and the best
+terms of its own, and Spark merges sums and rankings.
 
 With p(g, t) = 1 + floor(SCALE (count + 1) / (N + V)) and f(p, q) = floor((p - q)^2 / q), the sum over all
 V terms of a language is taken apart by inclusion and exclusion: V f(p0, q0) for terms that neither
@@ -12,30 +12,46 @@ source has, a correction for the terms of one (from the histogram of its counts,
 one for terms that both have, which is the only one that needs pairs, of sources that share a term,
 within a shard. So no vector of zeros is ever made. Integers are exact: 128 bits in DuckDB, 38 digits in Spark.
 
+Counts travel as Arrow tables, one a task's portion and shard, not as rows, so that little but bytes passes
+through Spark's own row formats. Shards are of bounded text, so their number grows with it; a portion
+sends each shard one table at most, and in the worst case (terms that never repeat) a row is a table.
+
 Null text, lang and source read as ''. Texts of any length are counted whole; ties rank by item in
-UTF-8 order; repeated rows count each (as documents, too); a group without terms has a total of 0 and pairs with all others of its language; a language
-without kept terms has pair values of 0. An empty table gives an empty table; columns of other names are ignored.
+UTF-8 order; repeated rows count each (as documents, too); a group without terms has a total of 0 and
+pairs with all others of its language; a language without kept terms has pair values of 0. An empty
+table gives an empty table; columns of other names are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, parallelism, slices, table
+from .blocks import dump, expand, load, squeeze
+from .common import arrow_map, materialize, shared_dir, slices, table
+from .warc import _filesystem
 
 LEAST_DOCUMENTS, TOP, SCALE = 3, 200, 1_000_000_000
 #: A-Z in lower case; letters and all bytes from 0x80 on stay; the rest parts terms.
 _TERM = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Partial counts that a task holds before it sends them (a bound on memory: the shuffle adds them up).
-HELD = 400_000
-#: Partial counts of one shard.
-SHARD_ROWS = 1_000_000
-#: Groups up to so many are broadcast (some tens of bytes each); beyond it they are joined by a shuffle.
-MOST_GROUPS = 100_000
+#: Partial counts that a task holds before it sends them (a bound on memory: the shards add them up).
+HELD = 250_000
+#: Bytes of text whose terms one shard gets on average.
+SHARD_BYTES = 16 << 20
+#: Rows of one Arrow table of counts.
+ROWS = 100_000
 #: Pairs of sources that a shard holds sums of at once.
-MOST_PAIRS = 500_000
+MOST_PAIRS = 250_000
 _EXACT = "decimal(38,0)"
+#: A document, added to the occurrences of its terms, so that one integer counts both.
+_DOCUMENT = 1 << 40
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -43,52 +59,59 @@ def terms(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TERM).split()
 
 
-def partial_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents), added up within tasks; a row with an empty term for every group."""
+def partial_counts(docs: DataFrame, shards: int) -> DataFrame:
+    """shard, counts: tables of lang, source, term, n (occurrences), docs (documents), added up within a task's portions of the rows."""
+
+    def tables(held):
+        rows = [(lang, source, t, c) for (lang, source), mine in held.items() for t, c in mine.items()]
+        if not rows:
+            return
+        lang, source, term, both = zip(*rows, strict=True)
+        both = np.array(both, np.int64)
+        seeds = {x: xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in set(lang)}
+        shard = np.array([xxhash.xxh3_64_intdigest(t, seed=seeds[x]) % shards for x, t in zip(lang, term, strict=True)], np.int64)
+        order = np.argsort(shard, kind="stable")
+        columns = {"lang": pa.array(lang), "source": pa.array(source), "term": pa.array(term, pa.binary()).cast(pa.string()), "n": pa.array(both % _DOCUMENT), "docs": pa.array(both // _DOCUMENT)}
+        whole = pa.record_batch(list(columns.values()), names=list(columns)).take(pa.array(order))
+        bounds = np.flatnonzero(np.diff(shard[order], prepend=-1, append=shards))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield {"shard": [int(shard[order[a]])], "counts": [squeeze(dump(dict(zip(columns, whole.slice(a, b - a).columns, strict=True))))]}
 
     def run(batches):
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        size = 0
-
-        def out():
-            rows = [(g, s, t, n, d) for (g, s), c in held.items() for t, (n, d) in c.items()]
-            for i in range(0, len(rows), 50_000):
-                part = list(zip(*rows[i : i + 50_000], strict=True))
-                yield {"lang": part[0], "source": part[1], "term": [t.decode("utf-8", "surrogatepass") for t in part[2]], "n": part[3], "docs": part[4]}
-
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        size = seen = 0
         for whole in batches:
             for b in slices(whole, "text"):
                 for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                    mine = held.setdefault((lang, source), {b"": [0, 0]})
-                    once: dict[bytes, int] = {}
-                    for t in terms(text):
-                        once[t] = once.get(t, 0) + 1
-                    size -= len(mine)
-                    for t, n in once.items():
-                        if (c := mine.get(t)) is None:
-                            mine[t] = [n, 1]
-                        else:
-                            c[0] += n
-                            c[1] += 1
-                    size += len(mine)
-                    if size > HELD:
-                        yield from out()
-                        held, size = {}, 0
-        yield from out()
-
-    plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), "text")
-    return arrow_map(plain, run, "lang string, source string, term string, n long, docs long")
+                    mine = held.setdefault((lang, source), {})
+                    before, get = len(mine), mine.get
+                    for t, n in Counter(terms(text)).items():
+                        mine[t] = get(t, 0) + n + _DOCUMENT
+                    size, seen = size + len(mine) - before, seen + 1
+                    if size > HELD or seen >= 1 << 20:
+                        yield from tables(held)
+                        held, size, seen = {}, 0, 0
+        yield from tables(held)
+
+    return arrow_map(named(docs), run, "shard int, counts binary")
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """lang, source ('' for null) and text."""
+    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), "text")
 
 
 _COUNT = """
-SELECT lang, term, source, n, CAST(row_number() OVER (PARTITION BY lang, term ORDER BY source) = 1 AS BIGINT) AS lead
+CREATE TABLE kept AS SELECT lang, source, term, n, row_number() OVER (PARTITION BY lang, term ORDER BY source) = 1 AS lead
 FROM (SELECT lang, term, source, CAST(sum(n) AS BIGINT) AS n, sum(sum(docs)) OVER (PARTITION BY lang, term) AS d FROM part GROUP BY lang, term, source)
 WHERE d >= {least}
 """
 
+_HISTOGRAM = "SELECT lang, source, n, count(*) AS k, count(*) FILTER (lead) AS leads FROM kept GROUP BY lang, source, n"
+
 _SCORE = """
 CREATE TABLE r AS SELECT lang, term, source, n, p0, lang_total, terms,
-  CAST(1 + ({scale}::HUGEINT * (n + 1)) // (total + terms) AS BIGINT) AS p FROM part
+  CAST(1 + ({scale}::HUGEINT * (n + 1)) // (total + terms) AS BIGINT) AS p FROM part JOIN groups USING (lang, source)
 """
 
 _TERMS = """
@@ -108,33 +131,44 @@ WHERE hash(a.source) % {blocks} = {block} GROUP BY a.lang, a.source, b.source
 
 
 def _shard(batches, columns: str):
-    """A DuckDB connection of one thread and bounded memory, whose table ``part`` holds the shard's rows."""
+    """A DuckDB connection of one thread and bounded memory, whose table ``part`` holds the counts of the shard's tables."""
     import duckdb
-    import pyarrow as pa
 
-    db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": "", "preserve_insertion_order": "false"})
+    db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": "false"})
     db.execute(f"CREATE TABLE part ({columns})")
     for b in batches:
-        db.register("chunk", pa.Table.from_batches([b]))
-        db.execute("INSERT INTO part BY NAME SELECT * FROM chunk")
-        db.unregister("chunk")
+        for data in b.column("counts"):
+            db.register("chunk", pa.Table.from_batches([load(expand(data.as_py()))]))
+            db.execute("INSERT INTO part BY NAME SELECT * FROM chunk")
+            db.unregister("chunk")
     return db
 
 
 def _results(db, sql: str):
-    for b in db.execute(sql).to_arrow_reader(50_000):
+    for b in db.execute(sql).to_arrow_reader(ROWS):
         yield {n: b.column(n) for n in b.schema.names}
 
 
 def shard_counts(partial: DataFrame, shards: int, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """lang, term, source, n of the terms in at least ``least`` documents of the language; ``lead`` is 1 for one row of each term."""
+    """Of every shard the counts of terms in at least ``least`` documents of the language, as tables of lang, source, term, n
+    (shard, counts), and their histogram: lang, source, n, k terms with n occurrences, of which ``leads`` are the first of their term."""
 
     def run(batches):
-        with _shard(batches, "lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT") as db:
-            yield from _results(db, _COUNT.format(least=least))
-
-    dealt = partial.where("term <> ''").repartition(shards, "lang", "term")
-    return arrow_map(dealt, run, "lang string, term string, source string, n long, lead long")
+        none = lambda **x: {"shard": None, "counts": None, "lang": None, "source": None, "n": None, "k": None, "leads": None} | x
+        first = next(batches, None)
+        if first is None:
+            return
+        number = first.column("shard")[0].as_py()
+        with _shard(chain([first], batches), "lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT") as db:
+            db.execute(_COUNT.format(least=least))
+            for x in _results(db, "SELECT lang, source, term, n FROM kept"):
+                yield none(**{k: [None] for k in ("lang", "source", "n", "k", "leads")}, shard=[number], counts=[squeeze(dump(x))])
+            for x in _results(db, _HISTOGRAM):
+                size = len(x["n"])
+                yield none(**x | {"shard": [number] * size, "counts": [None] * size})
+
+    dealt = partial.repartitionById(shards, "shard")
+    return arrow_map(dealt, run, "shard int, counts binary, lang string, source string, n long, k long, leads long")
 
 
 def _share(n: str, scale: int) -> Column:
@@ -142,34 +176,48 @@ def _share(n: str, scale: int) -> Column:
     return F.expr(f"CASE WHEN terms > 0 THEN 1 + (CAST({scale} AS DECIMAL(19,0)) * CAST({n} + 1 AS DECIMAL(19,0))) div CAST(total + terms AS DECIMAL(38,0)) END")
 
 
-def group_totals(partial: DataFrame, counts: DataFrame, scale: int = SCALE) -> DataFrame:
+def group_totals(docs: DataFrame, histogram: DataFrame, scale: int = SCALE) -> DataFrame:
     """Per (lang, source): total (of its kept terms), terms (V of the language), lang_total, p0 (p of a term that it has not; null if V is 0)."""
-    groups = partial.where("term = ''").select("lang", "source").distinct()
-    own = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum("lead").alias("leads"))
+    groups = named(docs).select("lang", "source").distinct()
+    own = histogram.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("k")).alias("total"), F.sum("leads").alias("leads"))
     every = groups.join(own, ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("leads", F.lit(0)).alias("leads"))
     langs = every.groupBy("lang").agg(F.sum("leads").alias("terms"), F.sum("total").alias("lang_total"))
     return every.join(langs, "lang").select("lang", "source", "total", "terms", "lang_total").withColumn("p0", _share("0", scale))
 
 
-def shard_sums(counts: DataFrame, groups: DataFrame, shards: int, blocks: int, scale: int = SCALE, top: int = TOP) -> DataFrame:
-    """Of every shard: lang, source, part, item, value (decimal): its best terms of each group, and its partial sums of pairs that share terms."""
+def shard_sums(counts: DataFrame, groups: str, shards: int, blocks: int, scale: int = SCALE, top: int = TOP) -> DataFrame:
+    """Of every shard: lang, source, part, item, value (decimal): its best terms of each group, and its partial sums of pairs that share terms.
+
+    ``groups`` is the folder of the groups' totals; tasks read it from there, a file at a time, and keep the languages they have.
+    """
 
     def run(batches):
-        with _shard(batches, "lang VARCHAR, term VARCHAR, source VARCHAR, n BIGINT, total BIGINT, terms BIGINT, lang_total BIGINT, p0 BIGINT") as db:
+        import pyarrow.parquet as pq
+
+        with _shard(batches, "lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT") as db:
+            db.execute("CREATE TABLE groups (lang VARCHAR, source VARCHAR, total BIGINT, terms BIGINT, lang_total BIGINT, p0 BIGINT)")
+            db.execute("CREATE TABLE langs AS SELECT DISTINCT lang FROM part")
+            filesystem, root = _filesystem(groups)
+            for x in filesystem.get_file_info(FileSelector(root)):
+                if x.base_name.endswith(".parquet"):
+                    db.register("chunk", pq.read_table(x.path, filesystem=filesystem))
+                    db.execute("INSERT INTO groups BY NAME SELECT * FROM chunk WHERE lang IN (SELECT lang FROM langs)")
+                    db.unregister("chunk")
             db.execute(_SCORE.format(scale=scale))
+            db.execute("DROP TABLE part")
             yield from _results(db, _TERMS.format(scale=scale, top=top))
             for block in range(blocks):  # sums of some pairs at a time, so that memory doesn't grow with the square of the sources
                 yield from _results(db, _PAIRS.format(blocks=blocks, block=block))
 
-    dealt = counts.drop("lead").join(groups, ["lang", "source"]).repartition(shards, "lang", "term")
+    dealt = counts.where("counts is not null").select("shard", "counts").repartitionById(shards, "shard")
     out = arrow_map(dealt, run, "lang string, source string, part string, item string, value string")
     return out.withColumn("value", F.col("value").cast(_EXACT))
 
 
-def apart(counts: DataFrame, groups: DataFrame, scale: int = SCALE) -> DataFrame:
+def apart(histogram: DataFrame, groups: DataFrame, scale: int = SCALE) -> DataFrame:
     """lang, source, item, value: every pair's sum over all V terms as if none were shared, from the groups' histograms of counts."""
     f = lambda p, q: f"CAST(({p} - {q}) * ({p} - {q}) div {q} AS DECIMAL(38,0))"
-    own = counts.groupBy("lang", "source", "n").agg(F.count("*").alias("k")).join(groups, ["lang", "source"]).withColumn("p", _share("n", scale))
+    own = histogram.groupBy("lang", "source", "n").agg(F.sum("k").alias("k")).join(groups, ["lang", "source"]).withColumn("p", _share("n", scale))
     other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     met = own.select("lang", "source", "k", "p", "p0").join(other, "lang").where("source <> item")
     one = met.select("lang", "source", "item", F.expr(f"CAST(k AS DECIMAL(38,0)) * ({f('p', 'q0')} - {f('p0', 'q0')})").cast(_EXACT).alias("value"))
@@ -180,14 +228,16 @@ def apart(counts: DataFrame, groups: DataFrame, scale: int = SCALE) -> DataFrame
 
 def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, scale: int = SCALE, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank of documents (lang, source, text), as the module says."""
-    partial = materialize(partial_counts(docs))
-    shards = max(parallelism(docs.sparkSession), -(-partial.count() // SHARD_ROWS))
-    counts = materialize(shard_counts(partial, shards, least))
-    groups = materialize(group_totals(partial, counts, scale))
-    size = groups.groupBy("lang").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("groups"), F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0)).alias("pairs")).first()
-    few = F.broadcast(groups) if size.groups <= MOST_GROUPS else groups
-    sums = materialize(shard_sums(counts, few, shards, max(1, -(-size.pairs // MOST_PAIRS)), scale, top))
-    pairs = apart(counts, few, scale).unionByName(sums.where("part = 'pair'").drop("part"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+    shards = max(1, -(-size // SHARD_BYTES))
+    counts = materialize(shard_counts(partial_counts(docs, shards), shards, least))
+    histogram = counts.where("counts is null").select("lang", "source", "n", "k", "leads")
+    folder = shared_dir(docs.sparkSession)
+    group_totals(docs, histogram, scale).write.parquet(folder)
+    groups = docs.sparkSession.read.parquet(folder)
+    pairs = groups.groupBy("lang").count().agg(F.coalesce(F.sum(F.col("count") * F.col("count")), F.lit(0)).alias("n")).first().n
+    sums = materialize(shard_sums(counts, folder, shards, max(1, -(-pairs // MOST_PAIRS)), scale, top))
+    pairs = apart(histogram, groups, scale).unionByName(sums.where("part = 'pair'").drop("part"))
     pairs = pairs.groupBy("lang", "source", "item").agg(F.sum("value").cast("long").alias("value")).withColumn("part", F.lit("pair"))
     best = sums.where("part = 'term'").withColumn("value", F.col("value").cast("long"))
     w = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

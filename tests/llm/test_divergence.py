@@ -55,8 +55,8 @@ def test_odd_rows(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_small_memory_many_blocks_and_no_broadcast(spark, monkeypatch):
-    for name, v in {"HELD": 20, "SHARD_ROWS": 50, "MOST_GROUPS": 1, "MOST_PAIRS": 7}.items():
+def test_small_memory_many_shards_and_blocks(spark, monkeypatch):
+    for name, v in {"HELD": 20, "SHARD_BYTES": 3000, "ROWS": 9, "MOST_PAIRS": 7}.items():
         monkeypatch.setattr(divergence, name, v)
     rows = made(80, seed=5)
     assert run(spark, rows) == brute(rows)
