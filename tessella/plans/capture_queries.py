@@ -12,7 +12,8 @@ from ..functions import identity, redaction
 from ..functions import media as U
 from ..functions.variants import get
 from ..operators import inventory
-from ..session import settle
+from ..session import settle, shared_folder
+from ..sources import provider
 from ..sources import text as scans
 from . import export, media, normalize
 
@@ -420,3 +421,15 @@ def normalized_order(spark, sf):
     n = normalize.normalized_posts(normalize.split_items(captured(spark, sf))[0], ["source_file", "record"])
     n = n.select("post_id", F.lower("account").alias("a"), F.coalesce("created_at", F.lit("")).alias("c"))
     return inventory.numbered(n, ["a", "c", "post_id"], "position").select("position", "post_id")
+
+
+@query("""WITH o AS (SELECT 'cust' || o_custkey AS account, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders),
+p AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY d DESC, '{"id":"' || o_orderkey || '"}') AS position FROM o)
+SELECT account, position, d AS created_at, CAST(o_orderkey AS VARCHAR) AS post_id FROM p WHERE position <= 5 AND d >= '1994-03-01' AND d <= '1997-09-30'""")
+def provider_bounds(spark, sf):
+    """Orders as a provider's pages, read through the source with its pushed post limit and dates."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    folder = shared_folder(spark)
+    provider.publish(o.select(F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("account"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"))).alias("item")), folder)
+    got = provider.requested(provider.items(spark, folder), max_posts=5, oldest="1994-03-01", newest="1997-09-30")
+    return got.select("account", "position", "created_at", F.get_json_object("item", "$.id").alias("post_id"))

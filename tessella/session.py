@@ -24,13 +24,21 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table to the cluster's shared folder (``spark.checkpoint.dir``) and read it back: one dealing of the rows for all that follows, whatever executors are lost.
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share, which the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing, as in tests on one machine, a temporary folder is used.
+    Only a session on this machine alone may lack that setting, as in tests: a temporary folder serves then.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tessella-")
-    path = f"{root.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
+    return f"{root.rstrip('/')}/settled-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back: one dealing of the rows for all that follows, whatever executors are lost."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
