@@ -13,6 +13,8 @@ from ..functions import media as U
 from ..functions.variants import get
 from ..operators import inventory
 from ..session import settle, shared_folder
+from ..sinks import lines
+from ..sources import files as disk
 from ..sources import provider
 from ..sources import text as scans
 from . import export, media, normalize
@@ -433,3 +435,41 @@ def provider_bounds(spark, sf):
     provider.publish(o.select(F.concat(F.lit("cust"), F.col("o_custkey").cast("string")).alias("account"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"))).alias("item")), folder)
     got = provider.requested(provider.items(spark, folder), max_posts=5, oldest="1994-03-01", newest="1997-09-30")
     return got.select("account", "position", "created_at", F.get_json_object("item", "$.id").alias("post_id"))
+
+
+@query("""WITH j AS (SELECT o_orderkey AS k, '{"o_orderkey":' || o_orderkey || ',"status":"' || o_orderstatus || '","clerk":"' || o_clerk || '"}' || chr(10) AS l, o_orderkey || ',' || o_orderstatus || ',' || o_clerk || chr(13) || chr(10) AS c FROM orders)
+SELECT 'orders.jsonl' AS file, CAST(coalesce(sum(octet_length(encode(l))), 0) AS BIGINT) AS bytes, sha256(coalesce(string_agg(l, '' ORDER BY k), '')) AS sha256, count(*) AS lines FROM j
+UNION ALL SELECT 'orders.csv', CAST(coalesce(sum(octet_length(encode(c))), 0) + 28 AS BIGINT), sha256(chr(65279) || 'o_orderkey,status,clerk' || chr(13) || chr(10) || coalesce(string_agg(c, '' ORDER BY k), '')), count(*) FROM j""")
+def published_lines(spark, sf):
+    """K2, K7: orders through the ordered sink, as JSON lines and CSV; what the joining of the parts answers for each file."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_clerk").withColumnsRenamed({"o_orderstatus": "status", "o_clerk": "clerk"}).orderBy("o_orderkey")
+    folder = shared_folder(spark)
+    lines.write_parts(lines.json_lines(o), f"{folder}/j")
+    lines.write_parts(o.select(F.col("o_orderkey").cast("string"), "status", "clerk"), f"{folder}/c", "csv")
+    done = lines.publish(spark, [(f"{folder}/j", f"{folder}/orders.jsonl", b""), (f"{folder}/c", f"{folder}/orders.csv", lines.csv_header(("o_orderkey", "status", "clerk")))])
+    return done.select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "bytes", "sha256", "lines")
+
+
+def document_files(spark: SparkSession, sf: str) -> str:
+    """A folder with a file of each document's text."""
+    folder = shared_folder(spark)
+
+    def write(batches):
+        filesystem, root = disk.opened(folder)
+        filesystem.create_dir(root, recursive=True)
+        for b in batches:
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                with filesystem.open_output_stream(f"{root}/{i}.txt", compression=None) as f:
+                    f.write((t or "").encode())
+                yield {"doc_id": [i]}
+
+    disk.arrow(table(spark, sf, "documents", "doc_id", "text"), write, "doc_id long").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS length, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def file_digests(spark, sf):
+    """a file of each document's text, listed, dealt to tasks by bytes and hashed as streams."""
+    found = scans.listed(spark, document_files(spark, sf))
+    hashed = found.join(disk.digests(found).select("path", "sha256"), "path")
+    return hashed.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).cast("long").alias("doc_id"), "length", "sha256")

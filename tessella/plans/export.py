@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from ..functions.identity import UNKNOWN, account_id, capture_account, export_account, export_post_id, post_uid, safe_component
 from ..functions.variants import canonical
 from ..operators.dedup import collapse_or_fail, removed_rows
-from ..session import settle
+from ..session import settle, shared_folder
+from ..sinks.lines import csv_header, json_lines, publish, write_parts
 from ..sources import text as scans
 from ..sources.capture import capture_fingerprint
+from ..sources.files import arrow, by_bytes, chunks, opened
 from . import media as M
 from . import validate as V
 from .normalize import COLUMNS, content_type, normalize, published, spelt, verbatim
@@ -100,12 +102,12 @@ def capture_or(posts: DataFrame):
 
 def snapshot(posts: DataFrame, files: DataFrame) -> dict:
     """envelopes, gaps, assets, files by role: all DataFrames of an export, nothing written."""
+    folders = scans.account_directory(files, posts.select("account"))
+    _refuse(folders.where("ambiguous").select("account"), "ambiguous media folder of an account")
     hashed = settle(M.hashed(files))  # hashing is dear, and several plans use it
     if "expected_sha256" in hashed.columns:
         _refuse(hashed.where("sha256 <> expected_sha256 or length <> expected_bytes").select("relative"), "verified media changed before the export")
         hashed = hashed.drop("expected_sha256", "expected_bytes")
-    folders = scans.account_directory(hashed, posts.select("account"))
-    _refuse(folders.where("ambiguous").select("account"), "ambiguous media folder of an account")
     hashed = hashed.join(folders.select("account_dir").distinct(), "account_dir", "left_semi")
     refs, gaps, assets, problems = M.attach(posts, hashed)
     refs, gaps, assets = settle(refs), settle(gaps), settle(assets)
@@ -156,20 +158,6 @@ def atomic_write(path: Path, data: bytes) -> None:
         scratch.unlink(missing_ok=True)
 
 
-def write_lines(df: DataFrame, path: Path) -> None:
-    """One file of JSON lines in the rows' order, fetched a partition at a time: the driver holds one partition."""
-    scratch = path.with_name(f".{path.name}.{os.getpid()}.tmp")
-    try:
-        with scratch.open("w", encoding="utf-8") as f:
-            for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-                f.write(r.j + "\n")
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(scratch, path)
-    finally:
-        scratch.unlink(missing_ok=True)
-
-
 def csv_rows(posts: DataFrame) -> DataFrame:
     """The flat columns: the envelope's value, else the metadata's; nulls empty."""
     own = set(posts.columns)
@@ -177,18 +165,6 @@ def csv_rows(posts: DataFrame) -> DataFrame:
     return posts.select(*(F.coalesce(value(c).cast("string"), F.lit("")).alias(c) for c in CSV_COLUMNS))
 
 
-def write_csv(df: DataFrame, path: Path, columns: tuple[str, ...] | None = None) -> None:
-    """One CSV with a byte order mark, in the rows' order."""
-    import csv
-
-    columns = columns or tuple(df.columns)
-    with path.open("w", encoding="utf-8-sig", newline="") as f:
-        w = csv.writer(f)
-        w.writerow(columns)
-        for r in df.select(*columns).toLocalIterator():
-            w.writerow(r)
-
-
 def normalized_csv(df: DataFrame) -> DataFrame:
     """The flat copy of normalised rows (with their ``raw``): values as the payload has them, hashtags joined by a bar, nothing for null."""
     values = verbatim(df)
@@ -221,42 +197,51 @@ def rows_per_account(good: DataFrame) -> DataFrame:
     return good.groupBy(capture_account(F.col("raw")).alias("account")).count()
 
 
-def filesystem(uri: str):
-    """(file system, path) of a path or URI, as executors on any machine see it."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
-
-
 def copy_assets(assets: DataFrame, staged: Path | str) -> None:
-    """Copy each asset's file on the executors in chunks of a megabyte, hashing again on the way; both ends are paths or URIs that all of them share."""
+    """Copy each asset's file on the executors in chunks, dealt to tasks by bytes and hashed again on the way; both ends are paths or URIs that all of them share."""
     root = str(staged)
 
-    def copy(rows):
-        for r in rows:
-            (source, origin), (sink, target) = filesystem(r.file), filesystem(f"{root}/{r.path}")
-            sink.create_dir(target.rpartition("/")[0], recursive=True)
-            h = hashlib.sha256()
-            scratch = f"{target}.{uuid.uuid4().hex}"
-            with source.open_input_stream(origin, compression=None) as a, sink.open_output_stream(scratch, compression=None) as b:
-                while block := a.read(1 << 20):
-                    h.update(block)
-                    b.write(block)
-            if h.hexdigest() != r.sha256:
-                sink.delete_file(scratch)
-                raise ExportError(f"{r.path} changed while it was copied")
-            sink.move(scratch, target)
-
-    assets.select("path", "file", "sha256").foreachPartition(copy)
-
-
-def checksum_lines(staged: Path, assets: DataFrame) -> str:
-    found = {r.path: r.sha256 for r in assets.select("path", "sha256").toLocalIterator()}
-    for name in FILES:
-        found[name] = hashlib.sha256((staged / name).read_bytes()).hexdigest()
-    return "".join(f"{d}  {n}\n" for n, d in sorted(found.items()))
+    def copy(batches):
+        for b in batches:
+            for name, file, digest in zip(*(b.column(c).to_pylist() for c in ("path", "file", "sha256")), strict=True):
+                sink, target = opened(f"{root}/{name}")
+                sink.create_dir(target.rpartition("/")[0], recursive=True)
+                h, scratch = hashlib.sha256(), f"{target}.{uuid.uuid4().hex}"
+                try:
+                    with sink.open_output_stream(scratch, compression=None) as out:
+                        for block in chunks(file):
+                            h.update(block)
+                            out.write(block)
+                    if h.hexdigest() != digest:
+                        raise ExportError(f"{name} changed while it was copied")
+                except BaseException:
+                    sink.delete_file(scratch)
+                    raise
+                sink.move(scratch, target)
+                yield {"path": [name]}
+
+    arrow(by_bytes(assets.select("path", "file", "sha256", "bytes"), "bytes"), copy, "path string").write.format("noop").mode("overwrite").save()
+
+
+def write_tables(parts: dict, told: dict, staged: Path, scratch: str) -> None:
+    """All files of a package but its assets, in ``staged``: tables by the ordered sink, whose parts lie below ``scratch``, and checksums of everything. No row passes the driver."""
+    spark = parts["posts"].sparkSession
+    ordered = parts["posts"].orderBy("acct", "post_id")
+    posts = ordered.select("post_uid", "account_id", "platform", "account", "post_id", "content_type", "metadata", "raw", "source", "media", "expected_slide_count", "available_slide_count", "media_status")
+    tables = {
+        "posts.jsonl": (json_lines(posts), "text", b""), "posts.csv": (csv_rows(ordered), "csv", csv_header(CSV_COLUMNS)), "assets.jsonl": (json_lines(parts["assets"].drop("file").orderBy("asset_id")), "text", b""),
+        "missing_assets.jsonl": (json_lines(parts["missing"].orderBy("account", "post_id", "kind", "index")), "text", b""),
+    }
+    for name, (df, kind, _) in tables.items():
+        write_parts(df, f"{scratch}/{name}", kind)
+    done = publish(spark, [(f"{scratch}/{name}", str(staged / name), header) for name, (_, _, header) in tables.items()])
+    small = {"manifest.json": json.dumps(told, indent=2, ensure_ascii=False, default=str).encode(), "README.md": GUIDE.encode()}
+    for name, data in small.items():
+        atomic_write(staged / name, data)
+    own = spark.createDataFrame([(n, hashlib.sha256(d).hexdigest()) for n, d in small.items()], "name string, sha256 string")
+    own = own.union(done.select(F.regexp_extract("file", "([^/]+)$", 1), "sha256")).union(parts["assets"].select("path", "sha256"))
+    write_parts(own.orderBy("name").select(F.concat_ws("  ", "sha256", "name").alias("value")), f"{scratch}/{CHECKSUMS}")
+    publish(spark, [(f"{scratch}/{CHECKSUMS}", str(staged / CHECKSUMS), b"")])
 
 
 def write_zip(path: Path, staged: Path, top: str) -> None:
@@ -331,7 +316,7 @@ def export_dataset(spark: SparkSession, selected: str, media: str, out: str, arc
     if rows.isEmpty():
         raise ExportError("the selected snapshot is empty")
     posts, gone = load_posts(rows, overlay)
-    files = scans.media_files(spark, media, content=True, verified=verified)
+    files = scans.media_files(spark, media, verified=verified)
     parts = snapshot(posts, files)
     capture = None
     info = Path(selected, "run_info.json")
@@ -346,14 +331,7 @@ def export_dataset(spark: SparkSession, selected: str, media: str, out: str, arc
     staged.mkdir(parents=True)
     try:
         copy_assets(parts["assets"], staged)
-        ordered = parts["posts"].orderBy("acct", "post_id")
-        write_lines(ordered.drop("acct").select("post_uid", "account_id", "platform", "account", "post_id", "content_type", "metadata", "raw", "source", "media", "expected_slide_count", "available_slide_count", "media_status"), staged / "posts.jsonl")
-        write_csv(csv_rows(ordered), staged / "posts.csv", CSV_COLUMNS)
-        write_lines(parts["assets"].drop("file").orderBy("asset_id"), staged / "assets.jsonl")
-        write_lines(parts["missing"].orderBy("account", "post_id", "kind", "index"), staged / "missing_assets.jsonl")
-        atomic_write(staged / "manifest.json", json.dumps(told, indent=2, ensure_ascii=False, default=str).encode())
-        atomic_write(staged / "README.md", GUIDE.encode())
-        atomic_write(staged / CHECKSUMS, checksum_lines(staged, parts["assets"]).encode())
+        write_tables(parts, told, staged, shared_folder(spark))
         if listed != witnessed(*roots):
             raise ExportError("a source changed during the export")
         report = V.validate(spark, str(staged))

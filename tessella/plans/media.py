@@ -10,6 +10,7 @@ from ..functions.media import asset_path, find_post_url, first_direct_urls, medi
 from ..functions.variants import canonical, filled, get, is_object, items, text, truthy
 from ..operators.dedup import ConflictError, conflicts, first_wins, last_wins
 from ..operators.inventory import expected_positions, missing
+from ..sources.files import digests
 from .normalize import content_type, discovered_slideshow
 
 JOBS = ["kind", "account", "post_id", "index", "candidates", "path"]
@@ -158,8 +159,8 @@ def largest_file(files: DataFrame) -> DataFrame:
 
 
 def hashed(files: DataFrame) -> DataFrame:
-    """Files with digest and media type; content goes no further. For videos beyond the binary limit use a chunked hash by path."""
-    return files.withColumn("sha256", F.sha2("content", 256)).drop("content").withColumn("media_type", media_type(F.col("path")))
+    """Files with digest and media type. Files are dealt to tasks by bytes and read as streams, so a file of any size is hashed in the memory of a chunk."""
+    return files.join(digests(files).select("path", "sha256"), "path").withColumn("media_type", media_type(F.col("path")))
 
 
 def attach(posts: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

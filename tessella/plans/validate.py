@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.variants import get, is_array, is_object, is_string, items, kind, text
 from ..operators.inventory import difference
-from ..sources.text import InputError, binary_files, checksums, jsonl
+from ..session import settle
+from ..sources.files import digests
+from ..sources.text import InputError, checksums, jsonl, listed
 
 VERSION = "creative-dataset-export-v1"
 PARTS = ("posts.jsonl", "posts.csv", "assets.jsonl", "missing_assets.jsonl", "manifest.json", "README.md")
@@ -131,10 +133,10 @@ def violations(spark: SparkSession, root: str) -> DataFrame:
         links = [p for p in folder.rglob("*") if p.is_symlink()]
     except (InputError, OSError, ValueError) as e:
         return spark.createDataFrame([("V0", "package", str(e)[:300])], "rule string, key string, detail string")
-    files = binary_files(spark, root)
+    files = listed(spark, root)
     base = folder.resolve().as_posix()
     posts, assets, gaps, sums = (x.persist() for x in (posts, assets, gaps, sums))  # two dozen rules read them
-    files = files.select(F.expr(f"substring_index(path, '{base}/', -1)").alias("name"), "length", F.sha2("content", 256).alias("sha256")).persist()
+    files = settle(files.join(digests(files).select("path", "sha256"), "path").select(F.expr(f"substring_index(path, '{base}/', -1)").alias("name"), "length", "sha256"))
     n = [x.count() for x in (posts, assets, gaps)]
     rows = manifest_violations(manifest, *n) + [("V24", p.relative_to(folder).as_posix(), "symbolic link") for p in links]
     out = spark.createDataFrame(rows, "rule string, key string, detail string")

@@ -32,13 +32,14 @@ def opened(uri: str):
 
 
 def by_bytes(files: DataFrame, length: str = "length", task_bytes: int = TASK_BYTES) -> DataFrame:
-    """The rows dealt to tasks so that each has ``task_bytes`` at most, or a single larger file, besides the last that passes the bound.
+    """The rows dealt to tasks by bytes: a task has less than ``task_bytes`` besides its last file.
 
     Rows are summed within the partitions they come in and placed behind the partitions before, so
-    the list of files is shuffled once and gathered nowhere.
+    the list of files is shuffled once and gathered nowhere. A larger file counts as ``task_bytes``, so
+    there are no more tasks than files.
     """
     dealt = settle(files.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
-    size = F.coalesce(F.col(length), F.lit(0))
+    size = F.least(F.coalesce(F.col(length), F.lit(0)), F.lit(task_bytes))
     sums = dealt.groupBy("__p").agg(F.sum(size).alias("__s"))
     before = sums.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     total = sums.agg(F.coalesce(F.sum("__s"), F.lit(0)).alias("n")).first().n

@@ -81,30 +81,30 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def empty_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modificationTime, content) of files without bytes, which Spark's file sources leave out."""
+    """(path, length, modificationTime) of files without bytes, which Spark's file sources leave out."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     found, rows = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
     while found.hasNext():
         f = found.next()
         if f.getLen() == 0:
-            rows.append((f.getPath().toString(), 0, datetime.fromtimestamp(f.getModificationTime() / 1000, UTC), b""))
-    return spark.createDataFrame(rows, "path string, length long, modificationTime timestamp, content binary")
+            rows.append((f.getPath().toString(), 0, datetime.fromtimestamp(f.getModificationTime() / 1000, UTC)))
+    return spark.createDataFrame(rows, "path string, length long, modificationTime timestamp")
 
 
-def binary_files(spark: SparkSession, root: str) -> DataFrame:
-    """All files below a folder, those without bytes included."""
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modificationTime) of all files below a folder, those without bytes included; nothing is read of them."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return df.select("path", "length", "modificationTime", "content").union(empty_files(spark, root).select("path", "length", "modificationTime", "content"))
+    return df.select("path", "length", "modificationTime").union(empty_files(spark, root))
 
 
-def media_files(spark: SparkSession, root: str, content: bool = False, verified: DataFrame | None = None) -> DataFrame:
-    """(path, account_dir, post_dir, name, length, modificationTime[, content]) of images and videos below root/<account>/<post>/.
+def media_files(spark: SparkSession, root: str, verified: DataFrame | None = None) -> DataFrame:
+    """(path, relative, account_dir, post_dir, name, length, modificationTime) of images and videos below root/<account>/<post>/.
 
     With an inventory (path, bytes, sha256) only listed files are read, with what it says of them
     (expected_bytes, expected_sha256) beside them.
     """
-    df = binary_files(spark, root)
+    df = listed(spark, root)
     parts = F.split(F.col("path"), "/")
     at = F.size(parts)
     df = df.where(extension(F.col("path")).isin(*IMAGE_EXTENSIONS, *VIDEO_EXTENSIONS)).withColumns({"account_dir": parts[at - 3], "post_dir": parts[at - 2], "name": parts[at - 1]})
@@ -113,7 +113,7 @@ def media_files(spark: SparkSession, root: str, content: bool = False, verified:
     if verified is not None:
         df = df.join(verified.select(F.col("path").alias("relative"), F.col("bytes").alias("expected_bytes"), F.col("sha256").alias("expected_sha256")), "relative")
         keep += ["expected_bytes", "expected_sha256"]
-    return df.select(*keep, *(["content"] if content else []))
+    return df.select(*keep)
 
 
 def verified_inventory(spark: SparkSession, media: str, capture: str) -> DataFrame:

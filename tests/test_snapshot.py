@@ -74,7 +74,7 @@ def test_full_snapshot(spark, published):
 def test_gaps(spark, tmp_path):
     selected, files = snapshot(tmp_path, gaps=True)
     posts, _ = export.load_posts(scans.posts(spark, selected))
-    parts = export.snapshot(posts.persist(), scans.media_files(spark, files, content=True))
+    parts = export.snapshot(posts.persist(), scans.media_files(spark, files))
     assert {(r.kind, r["index"], r.reason) for r in parts["missing"].collect()} == {("slide", 1, "not_found"), ("slide", 2, "empty_file"), ("video", None, "not_found")}
     assert [(r.media_status, r.expected_slide_count, r.available_slide_count) for r in parts["posts"].orderBy("post_id").collect()] == [("incomplete", 10, 8), ("incomplete", 0, 0)]
     assert parts["files"].where("length = 0").count() == 1
