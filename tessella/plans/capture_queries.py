@@ -15,8 +15,9 @@ from ..operators import inventory
 from ..session import settle, shared_folder
 from ..sinks import lines
 from ..sources import files as disk
-from ..sources import provider
+from ..sources import provider, ranges
 from ..sources import text as scans
+from ..streaming import ingest
 from . import export, media, normalize
 
 QUERIES: dict = {}
@@ -437,16 +438,16 @@ def provider_bounds(spark, sf):
     return got.select("account", "position", "created_at", F.get_json_object("item", "$.id").alias("post_id"))
 
 
-@query("""WITH j AS (SELECT o_orderkey AS k, '{"o_orderkey":' || o_orderkey || ',"status":"' || o_orderstatus || '","clerk":"' || o_clerk || '"}' || chr(10) AS l, o_orderkey || ',' || o_orderstatus || ',' || o_clerk || chr(13) || chr(10) AS c FROM orders)
+@query("""WITH j AS (SELECT o_orderkey AS k, '{"o_orderkey":' || o_orderkey || ',"status":"' || o_orderstatus || '","class":"' || o_orderpriority || '"}' || chr(10) AS l, o_orderkey || ',' || o_orderstatus || ',' || o_orderpriority || chr(13) || chr(10) AS c FROM orders)
 SELECT 'orders.jsonl' AS file, CAST(coalesce(sum(octet_length(encode(l))), 0) AS BIGINT) AS bytes, sha256(coalesce(string_agg(l, '' ORDER BY k), '')) AS sha256, count(*) AS lines FROM j
-UNION ALL SELECT 'orders.csv', CAST(coalesce(sum(octet_length(encode(c))), 0) + 28 AS BIGINT), sha256(chr(65279) || 'o_orderkey,status,clerk' || chr(13) || chr(10) || coalesce(string_agg(c, '' ORDER BY k), '')), count(*) FROM j""")
+UNION ALL SELECT 'orders.csv', CAST(coalesce(sum(octet_length(encode(c))), 0) + 28 AS BIGINT), sha256(chr(65279) || 'o_orderkey,status,class' || chr(13) || chr(10) || coalesce(string_agg(c, '' ORDER BY k), '')), count(*) FROM j""")
 def published_lines(spark, sf):
     """K2, K7: orders through the ordered sink, as JSON lines and CSV; what the joining of the parts answers for each file."""
-    o = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_clerk").withColumnsRenamed({"o_orderstatus": "status", "o_clerk": "clerk"}).orderBy("o_orderkey")
+    o = table(spark, sf, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority").withColumnsRenamed({"o_orderstatus": "status", "o_orderpriority": "class"}).orderBy("o_orderkey")
     folder = shared_folder(spark)
     lines.write_parts(lines.json_lines(o), f"{folder}/j")
-    lines.write_parts(o.select(F.col("o_orderkey").cast("string"), "status", "clerk"), f"{folder}/c", "csv")
-    done = lines.publish(spark, [(f"{folder}/j", f"{folder}/orders.jsonl", b""), (f"{folder}/c", f"{folder}/orders.csv", lines.csv_header(("o_orderkey", "status", "clerk")))])
+    lines.write_parts(o.select(F.col("o_orderkey").cast("string"), "status", "class"), f"{folder}/c", "csv")
+    done = lines.publish(spark, [(f"{folder}/j", f"{folder}/orders.jsonl", b""), (f"{folder}/c", f"{folder}/orders.csv", lines.csv_header(("o_orderkey", "status", "class")))])
     return done.select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), "bytes", "sha256", "lines")
 
 
@@ -473,3 +474,30 @@ def file_digests(spark, sf):
     found = scans.listed(spark, document_files(spark, sf))
     hashed = found.join(disk.digests(found).select("path", "sha256"), "path")
     return hashed.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).cast("long").alias("doc_id"), "length", "sha256")
+
+
+@query("""SELECT o_orderkey, CAST(place + coalesce(sum(CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line, place
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders)""")
+def numbered_records(spark, sf):
+    """Orders as one file of JSON lines, some blank, scanned by byte ranges; every line's numbers as in the whole file."""
+    o = table(spark, sf, "orders", "o_orderkey").orderBy("o_orderkey")
+    line = F.concat(F.to_json(F.struct("o_orderkey")), F.when(F.col("o_orderkey") % 7 == 0, F.lit("\n  \r")).otherwise(F.lit("\r")))
+    folder = shared_folder(spark)
+    lines.write_parts(o.select(line.alias("value")), f"{folder}/parts")
+    lines.publish(spark, [(f"{folder}/parts", f"{folder}/orders.jsonl", b"")])
+    got = ranges.numbered_lines(spark, f"{folder}/orders.jsonl", 1 << 16)
+    return got.select(F.get_json_object("value", "$.o_orderkey").cast("long").alias("o_orderkey"), "line", "place")
+
+
+@query("""WITH o AS (SELECT 'cust' || (o_custkey % 40) AS key, CAST(o_orderkey % 61 AS VARCHAR) AS post_id, o_orderstatus AS payload, o_orderkey % 3 AS batch, o_orderkey FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY key, post_id ORDER BY batch, o_orderkey) AS n FROM o)
+SELECT key, post_id, max(CASE WHEN n = 1 THEN payload END) AS payload, count(*) AS rows, count(DISTINCT payload) > 1 AS conflict FROM r GROUP BY key, post_id""")
+def stateful_first_wins(spark, sf):
+    """W1, W3 on a stream: orders arrive in three batches, and the state keeps who was first."""
+    folder = shared_folder(spark)
+    o = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    rows = o.select(F.concat(F.lit("Cust"), (F.col("o_custkey") % 40).cast("string")).alias("account"), (F.col("o_orderkey") % 61).cast("string").alias("post_id"), F.col("o_orderstatus").alias("payload"), F.col("o_orderkey").cast("long").alias("line"))
+    for batch in range(3):
+        rows.where(F.col("line") % 3 == batch).write.mode("append").parquet(f"{folder}/in")
+        ingest.deduplicate(spark, spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), ["line"], f"{folder}/out", f"{folder}/mark")
+    return ingest.outcome(spark, f"{folder}/out")

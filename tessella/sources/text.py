@@ -14,6 +14,7 @@ from ..functions.identity import clean_handle
 from ..functions.media import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, extension
 from ..functions.variants import is_object
 from ..operators.dedup import first_wins
+from .ranges import numbered_lines
 
 #: What text.splitlines() breaks lines at.
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -38,17 +39,7 @@ def accounts(spark: SparkSession, path: str) -> DataFrame:
 
 def _json_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, place, raw_json, raw, ok): non-blank lines, numbered from 1 among all lines of their file, and among the non-blank ones."""
-    # numbered inside the file's own array, so no shuffle is needed
-    whole = _whole(spark, path).select(
-        "file",
-        F.posexplode(
-            F.filter(
-                F.transform(F.split("text", "\r\n|[\n\r]"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("raw_json"))),
-                lambda s: F.trim(F.regexp_replace(s["raw_json"], r"\s", "")) != "",
-            )
-        ).alias("place", "s"),
-    )
-    rows = whole.select("file", F.col("s.line").alias("line"), (F.col("place") + 1).cast("long").alias("place"), F.col("s.raw_json").alias("raw_json"))
+    rows = numbered_lines(spark, path).withColumnRenamed("value", "raw_json").withColumn("line", F.col("line").cast("int"))
     rows = rows.withColumn("raw", F.try_parse_json("raw_json"))
     return rows.withColumn("ok", F.coalesce(is_object(F.col("raw")), F.lit(False)))
 

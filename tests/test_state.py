@@ -87,3 +87,30 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["--root", str(tmp_path), "status"]) == 0
     assert json.loads(capsys.readouterr().out) == dict.fromkeys(cli.AREAS, 0)
     assert cli.main([]) == 2
+
+
+def test_first_line_of_a_file_wins(spark, tmp_path):
+    src, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    src.mkdir()
+    (src / "a.jsonl").write_text("".join(json.dumps({"id": "1", "input": "A", "text": t}) + "\n" for t in ("zzz first line", "aaa second line", "mmm third")))
+    ingest.ingest(spark, str(src), out, mark)
+    assert [r.caption for r in ingest.posts(spark, out).collect()] == ["zzz first line"]
+    (src / "0.jsonl").write_text(json.dumps({"id": "1", "input": "a", "text": "a late file"}) + "\n")
+    ingest.ingest(spark, str(src), out, mark)
+    assert [r.caption for r in ingest.posts(spark, out).collect()] == ["zzz first line"]
+
+
+def test_state_of_first_payloads_over_batches_replays_and_late_files(spark, tmp_path):
+    schema = "account string, post_id string, payload string, file string, line long"
+    batches = [
+        [("A", "1", "x", "f1", 2), ("a", "1", "y", "f1", 10), ("A", "2", "p", "f1", 3), ("B", "1", None, "f1", 4), ("A", "3", "s", "f2", 1), ("A", "3", "r", "f1", 9)],
+        [("A", "1", "x", "f1", 2), ("a", "1", "y", "f1", 10), ("A", "2", "p", "f1", 3)],  # the first batch's rows again
+        [("A", "2", "q", "f0", 1), ("C", "9", "new", "f0", 2), ("B", "1", None, "f0", 3)],  # a file that sorts before, but comes late
+    ]
+    source = str(tmp_path / "in")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        for _ in range(2):  # a second run finds nothing new
+            ingest.deduplicate(spark, spark.readStream.schema(schema).parquet(source), ["file", "line"], str(tmp_path / "out"), str(tmp_path / "mark"))
+    got = sorted(tuple(r) for r in ingest.outcome(spark, str(tmp_path / "out")).collect())
+    assert got == [("a", "1", "x", 4, True), ("a", "2", "p", 3, True), ("a", "3", "r", 2, True), ("b", "1", None, 2, False), ("c", "9", "new", 1, False)]
