@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, redaction
 from ..functions import media as U
 from ..functions.variants import get
-from ..operators import inventory
+from ..operators import hashtree, inventory
 from ..session import settle, shared_folder
 from ..sinks import lines
 from ..sources import files as disk
@@ -501,3 +501,16 @@ def stateful_first_wins(spark, sf):
         rows.where(F.col("line") % 3 == batch).write.mode("append").parquet(f"{folder}/in")
         ingest.deduplicate(spark, spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), ["line"], f"{folder}/out", f"{folder}/mark")
     return ingest.outcome(spark, f"{folder}/out")
+
+
+@query("""WITH n AS (SELECT CASE WHEN doc_id % 89 = 3 THEN doc_id + 1000000000 ELSE doc_id END AS id, CASE WHEN doc_id % 97 = 5 THEN coalesce(text, '') || '!' ELSE text END AS t FROM documents WHERE doc_id % 101 <> 7)
+SELECT CAST(coalesce(d.doc_id, n.id) AS VARCHAR) AS key, CASE WHEN d.doc_id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM documents d FULL OUTER JOIN n ON d.doc_id = n.id WHERE d.doc_id IS NULL OR n.id IS NULL OR d.text IS DISTINCT FROM n.t""")
+def changed_documents(spark, sf):
+    """A21's tree: two versions of the documents as stored hash trees, and what differs between them."""
+    d = table(spark, sf, "documents", "doc_id", "text")
+    later = d.where("doc_id % 101 <> 7").select(F.when(F.col("doc_id") % 89 == 3, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("doc_id") % 97 == 5, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    leaf = lambda df: df.select("doc_id", F.sha2("text", 256).alias("digest"))
+    folder = shared_folder(spark)
+    old = hashtree.build(leaf(d), "doc_id", "digest", f"{folder}/1")
+    return hashtree.changes(old, hashtree.build(leaf(later), "doc_id", "digest", f"{folder}/2", old))

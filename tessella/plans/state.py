@@ -189,9 +189,10 @@ def run_pipeline(spark, path: Path, selected: str, media: str, datasets: str, co
 
     with single_writer(path.parent):
         state = load(path, config) if path.exists() else new_run(path, config)
-        run_stage(path, state, "scrape", capture or (lambda: {"complete": True, "fingerprint": capture_fingerprint(Path(selected))}))
+        own = lambda: capture_fingerprint(Path(selected), spark, f"{path.parent}/.capture")
+        run_stage(path, state, "scrape", capture or (lambda: {"complete": True, "fingerprint": own()}))
         run_stage(path, state, "download", download or (lambda: {"complete": True}))
-        inputs = fingerprint({"capture": capture_fingerprint(Path(selected)), "media": sorted((p.relative_to(media).as_posix(), p.stat().st_size, p.stat().st_mtime_ns) for p in Path(media).rglob("*") if p.is_file())})
+        inputs = fingerprint({"capture": own(), "media": sorted((p.relative_to(media).as_posix(), p.stat().st_size, p.stat().st_mtime_ns) for p in Path(media).rglob("*") if p.is_file())})
 
         def publish() -> dict:
             target = next_revision(Path(datasets))
