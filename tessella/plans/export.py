@@ -188,9 +188,12 @@ def write_profiles(profiles: DataFrame, folder: str) -> None:
 
 
 def write_by_account(good: DataFrame, folder: str) -> None:
-    """Raw lines in a partition per account; a full rewrite, so partitions of accounts that left go as well."""
+    """Raw lines in a partition per account; a full rewrite, so partitions of accounts that left go as well.
+
+    Rows are rebalanced by account: small accounts share tasks, and adaptive execution splits a large one into several of the advised size, each with a file of its own.
+    """
     rows = good.select(capture_account(F.col("raw")).alias("account"), F.col("raw_json").alias("value"))
-    rows.repartition("account").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("account").text(folder)
+    rows.hint("rebalance", "account").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("account").text(folder)
 
 
 def rows_per_account(good: DataFrame) -> DataFrame:

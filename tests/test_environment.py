@@ -1,46 +1,10 @@
-from pathlib import Path
 
 import pytest
 
-from tessella.functions import environment as E
 from tessella.functions import media, redaction
 from tessella.plans import state
 
 
-def test_credentials():
-    env = {"X_TOKENS": "a, b,,a", "X_TOKEN_10": "d", "X_TOKEN_2": "c", "X_TOKEN_3": " ", "X_TOKEN": "b", "X_TOKEN_Z": "no"}
-    assert E.credentials(env, "X_TOKEN") == ["a", "b", "c", "d"]
-    assert E.credentials({}, "X_TOKEN") == []
-
-
-def test_variables():
-    got = E.parse_variables("\ufeff# c\nA=1\nexport B = 'x y' # z\n\nC=\nD=a#b\nE=\"$A\"\n")
-    assert got == {"A": "1", "B": "x y", "C": "", "D": "a", "E": "$A"}
-    assert E.with_defaults({"A": "old"}, got)["A"] == "old"
-    for bad in ("A", "1A=2", "A=x y", "A='x"):
-        with pytest.raises(ValueError, match=":2:"):
-            E.parse_variables("OK=1\n" + bad)
-
-
-def test_paths(tmp_path):
-    (tmp_path / "a").mkdir()
-    assert E.portable_path(tmp_path / "a" / "b", tmp_path) == "a/b"
-    assert E.portable_path(Path("/etc"), tmp_path) == "/etc"
-    assert E.resolve_path("a/../a", tmp_path) == tmp_path / "a" and E.resolve_path("/etc", tmp_path) == Path("/etc")
-
-
-def test_plain():
-    class Model:
-        def model_dump(self, by_alias):
-            return {"a": (1, {2: None})}
-
-    class Thing:
-        def __init__(self):
-            self.x, self._y = [Model()], 1
-
-    assert E.plain(Thing()) == {"x": [{"a": [1, {"2": None}]}]} and E.plain(b"x") == b"x" and E.plain(1 + 2j) == "(1+2j)"
-
-
 def test_options():
     state.check_options({"batch_size": 4, "retries": 0, "timeout": 35.0, "max_charge_usd": None})
     for bad in ({"batch_size": 0}, {"concurrency": True}, {"retries": -1}, {"timeout": 0}, {"timeout": float("inf")}, {"max_charge_usd": float("nan")}, {"max_posts": 1.5}):

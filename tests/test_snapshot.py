@@ -284,3 +284,21 @@ def test_media_tree_and_plan_conflicts(spark, tmp_path):
     assert report["failed"] == 1 and set(report["assets"]) == {"a/1", "a/2"}
     with pytest.raises(ConflictError):
         media.download_report(done, "f", "g")
+
+
+def test_a_hot_account_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(20_000).select(F.to_json(F.struct(F.when(F.col("id") % 10 > 0, F.lit("Hot")).otherwise(F.concat(F.lit("a"), (F.col("id") % 7).cast("string"))).alias("input"), F.col("id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))).alias("raw_json"))
+    rows = rows.withColumn("raw", F.try_parse_json("raw_json")).repartition(6)
+    advised = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.2"}
+    for k, v in advised.items():
+        spark.conf.set(k, v)
+    try:
+        export.write_by_account(rows, str(tmp_path / "posts"))
+    finally:
+        for k in advised:
+            spark.conf.unset(k)
+    hot = [p.stat().st_size for p in (tmp_path / "posts" / "account=Hot").glob("part-*")]
+    assert len(hot) >= 4 and max(hot) < sum(hot) / 2
+    assert spark.read.text(str(tmp_path / "posts")).count() == 20_000
+    export.write_by_account(rows.where("raw_json like '%\"a1\"%'"), str(tmp_path / "posts"))
+    assert {p.name for p in (tmp_path / "posts").glob("account=*")} == {"account=a1"}
