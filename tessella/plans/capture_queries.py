@@ -12,7 +12,7 @@ from ..functions import identity, redaction
 from ..functions import media as U
 from ..functions.variants import get
 from ..operators import hashtree, inventory
-from ..session import settle, shared_folder
+from ..session import settle, shared_folder, spread
 from ..sinks import lines
 from ..sources import files as disk
 from ..sources import provider, ranges
@@ -51,7 +51,7 @@ def captured(spark: SparkSession, sf: str) -> DataFrame:
         F.when(k % 10 == 7, "gone").alias("error"), F.concat(F.lit("https://www.tiktok.com/@x/video/"), key).alias("webVideoUrl"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("createTimeISO"),
         F.struct(F.concat(F.lit("https://cdn.example/"), key, F.lit(".mp4?x=1")).alias("play"), F.concat(F.lit("https://cdn.example/"), key, F.lit(".jpg")).alias("download")).alias("files"),
     )
-    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.to_json(item).alias("raw_json"))
+    rows = spread(table(spark, sf, "orders")).select("o_orderkey", "o_custkey", F.to_json(item).alias("raw_json"))
     return rows.withColumns({"raw": F.try_parse_json("raw_json"), "stem": F.lit("file"), "source_file": F.lit("posts/x.jsonl"), "record": k})
 
 

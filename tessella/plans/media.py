@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import clean_handle, download_account, download_post_id
-from ..functions.media import asset_path, find_post_url, first_direct_urls, media_type, mime_type, slide_index, stem, url_candidates
+from ..functions.media import CANDIDATES, asset_path, find_post_url, first_direct_urls, media_type, mime_type, slide_index, stem, url_candidates
 from ..functions.variants import canonical, filled, get, is_object, items, text, truthy
 from ..operators.dedup import ConflictError, conflicts, first_wins, last_wins
 from ..operators.inventory import expected_positions, missing
+from ..session import settle
 from ..sources.files import digests
 from .normalize import content_type, discovered_slideshow
 
@@ -19,27 +20,32 @@ SUCCESSFUL = ("downloaded", "existing")
 
 
 def download_jobs(posts: DataFrame, covers: bool = True, slides: bool = True, avatars: bool = True) -> DataFrame:
-    """Cover, slide and avatar jobs with their URL candidates; one avatar per account, in post order. No job without a URL."""
+    """Cover, slide and avatar jobs with their URL candidates; one avatar per account, in post order. No job without a URL.
+
+    Planned posts bring their account and post id; others' are resolved here. A post's jobs come out of one array, read from its payload once.
+    """
+    planned = {"account", "post_id"} <= set(posts.columns)
     r = F.col("raw")
-    p = posts.select("raw", download_account(r, F.col("stem")).alias("account"), download_post_id(r, F.col("raw_json")).alias("post_id"))
-    none = F.lit(None).cast("int")
-    parts = []
+    account, post_id = (F.col("account"), F.col("post_id")) if planned else (download_account(r, F.col("stem")), download_post_id(r, F.col("raw_json")))
+    p = posts.select(account.alias("account"), post_id.alias("post_id"), "raw")
+    own = []
+    job = lambda kind, n, c, name: F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("index"), c.alias("candidates"), name.alias("name"))
     if covers:
         c = url_candidates(r, ("tiktok_original_cover", "videoMeta.originalCoverUrl"), ("apify_cover", "videoMeta.coverUrl"))
-        parts.append(p.select(F.lit("cover").alias("kind"), "account", "post_id", none.alias("index"), c.alias("candidates"), F.concat_ws("/", "account", "post_id", F.lit("cover.jpg")).alias("path")))
+        own.append(F.array(job("cover", F.lit(None), c, F.lit("cover.jpg"))))
     if slides:
-        s = p.select("account", "post_id", F.posexplode(items(get(r, "slideshowImageLinks"))).alias("i", "item")).where(is_object(F.col("item")))
-        c = url_candidates(F.col("item"), ("tiktok_slide", "tiktokLink"), ("apify_slide", "downloadLink"))
-        n = F.col("i") + 1
-        name = F.concat(F.lit("slide_"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")), F.lit(".jpg"))
-        parts.append(s.select(F.lit("slide").alias("kind"), "account", "post_id", n.alias("index"), c.alias("candidates"), F.concat_ws("/", "account", "post_id", name).alias("path")))
+        def slide(item, i):
+            n = i + 1
+            name = F.concat(F.lit("slide_"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")), F.lit(".jpg"))
+            return F.when(is_object(item), job("slide", n, url_candidates(item, ("tiktok_slide", "tiktokLink"), ("apify_slide", "downloadLink")), name))
+
+        own.append(F.array_compact(F.transform(items(get(r, "slideshowImageLinks")), slide)))
+    none = F.array().cast(f"array<struct<kind:string,index:int,candidates:{CANDIDATES},name:string>>")
+    out = p.select("account", "post_id", F.explode(F.concat(none, *own)).alias("j")).select("j.kind", "account", "post_id", "j.index", "j.candidates", F.concat_ws("/", "account", "post_id", "j.name").alias("path"))
     if avatars:
         c = url_candidates(r, ("tiktok_original_avatar", "authorMeta.originalAvatarUrl"), ("apify_avatar", "authorMeta.avatar"))
         a = first_wins(p.select("account", "post_id", c.alias("candidates"), F.lower("account").alias("k")).where(F.size("candidates") > 0), ["k"], ["account", "post_id"])
-        parts.append(a.select(F.lit("avatar").alias("kind"), "account", F.lit(None).cast("string").alias("post_id"), none.alias("index"), "candidates", F.concat_ws("/", "account", F.lit("profile/avatar.jpg")).alias("path")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
+        out = out.unionByName(a.select(F.lit("avatar").alias("kind"), "account", F.lit(None).cast("string").alias("post_id"), F.lit(None).cast("int").alias("index"), "candidates", F.concat_ws("/", "account", F.lit("profile/avatar.jpg")).alias("path")))
     return out.where(F.size("candidates") > 0)
 
 
@@ -56,14 +62,14 @@ def only_posts(posts: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def plan_posts(posts: DataFrame, accounts: list[str] | None = None, order: tuple[str, ...] = ("source_file", "record")) -> DataFrame:
-    """The posts to plan downloads for: each (account, post id) once, identical rows collapsed to the last, different ones refused."""
+    """The posts to plan downloads for: each (account, post id) once, identical rows collapsed to the last, different ones refused. Written once, as all plans read them."""
     r = F.col("raw")
     p = posts.withColumns({"account": download_account(r, F.col("stem")), "post_id": download_post_id(r, F.col("raw_json")), "payload": canonical(r)})
-    p = only_accounts(p, accounts).withColumn("__k", F.lower("account"))
+    p = settle(only_accounts(p, accounts).withColumn("__k", F.lower("account")))
     bad = conflicts(p, ["__k", "post_id"], "payload").limit(5).collect()  # a report of five
     if bad:
         raise ConflictError("conflicting source posts: " + "; ".join(f"{x['__k']}/{x.post_id}" for x in bad))
-    return last_wins(p, ["__k", "post_id"], list(order)).drop("__k")
+    return settle(last_wins(p, ["__k", "post_id"], list(order)).drop("__k"))
 
 
 def job_fingerprints(jobs: DataFrame, planned: DataFrame) -> DataFrame:
