@@ -93,7 +93,7 @@ FROM l JOIN o ON o.k = l.l_orderkey)"""
 @query(_POSTS + """SELECT CASE WHEN k % 5 = 0 THEN 'v' || k ELSE pid END AS post_id, account, 'https://www.tiktok.com/@x/video/' || k AS url, o_orderpriority AS caption, strftime(o_orderdate, '%Y-%m-%d') AS created_at,
 FALSE AS is_pinned, CAST(k % 1000 AS BIGINT) AS views, CAST(NULL AS BIGINT) AS likes, o_orderstatus || '|null' AS hashtags, 'cust' || c AS author_name, CASE WHEN c % 7 > 0 THEN CAST(c % 7 AS BIGINT) END AS followers FROM o WHERE k % 10 <> 7""")
 def normalized_columns(spark, sf):
-    """F9, F10, F15, F16, P1."""
+    """F4, F9 (items with an id), F15, P1."""
     n = normalize.normalize(normalize.split_items(captured(spark, sf))[0])
     return n.select("post_id", "account", "url", "caption", "created_at", "is_pinned", "views", "likes", F.array_join("hashtags", "|").alias("hashtags"), "author_name", "followers")
 
@@ -264,7 +264,7 @@ UNION ALL SELECT k, 'slide', NULL, 'no_slide_inventory' FROM o WHERE kind = 'sli
 
 @query(_POSTS + _FILES + _GAPS + """SELECT g.kind, CAST(idx AS INTEGER) AS "index", reason, pid AS post_id FROM g JOIN o ON o.k = g.k""")
 def media_gaps(spark, sf):
-    """A7, A8, A9, A10, J4, J5, T3."""
+    """J4, J5, T3."""
     return attached(spark, sf)[2].select("kind", "index", "reason", "post_id")
 
 
@@ -272,7 +272,7 @@ def media_gaps(spark, sf):
 SELECT 'sha256:' || h AS asset_id, 'assets/' || CASE role WHEN 'video' THEN 'videos/' ELSE 'images/' END || h || CASE role WHEN 'video' THEN '.mp4' ELSE '.jpg' END AS path,
 CASE role WHEN 'video' THEN 'video/mp4' ELSE 'image/jpeg' END AS mime_type, CAST(length AS BIGINT) AS bytes, (SELECT count(*) FROM r q WHERE q.h = r.h) AS n_sources FROM r WHERE n = 1""")
 def asset_inventory(spark, sf):
-    """A5, F27, F29, F30, J6, W7."""
+    """A12, F29, F30, J6, W7."""
     a = attached(spark, sf)[3]
     return a.select("asset_id", "path", "mime_type", "bytes", F.size("source_paths").cast("long").alias("n_sources"))
 
@@ -281,7 +281,7 @@ def asset_inventory(spark, sf):
 CASE WHEN k IN (SELECT k FROM g) THEN 'incomplete' ELSE 'complete' END AS media_status,
 CAST((SELECT count(DISTINCT h) FROM f WHERE f.k = o.k AND role = 'video' AND length > 0) AS INTEGER) AS videos FROM o""")
 def post_envelopes(spark, sf):
-    """A11, A12, A13, A14, F41."""
+    """A11, A13, A14."""
     posts, refs, gaps, _ = attached(spark, sf)
     e = media.envelopes(posts, refs, gaps)
     return e.select("post_id", "expected_slide_count", "available_slide_count", "media_status", F.size("media.videos").alias("videos"))
@@ -514,3 +514,31 @@ def changed_documents(spark, sf):
     folder = shared_folder(spark)
     old = hashtree.build(leaf(d), "doc_id", "digest", f"{folder}/1")
     return hashtree.changes(old, hashtree.build(leaf(later), "doc_id", "digest", f"{folder}/2", old))
+
+
+@query(_POSTS + _FILES + _GAPS + """, u AS (SELECT * FROM f WHERE length > 0), a AS (SELECT h, arg_min(role, (lower(account), pid, CASE role WHEN 'video' THEN 2 ELSE 0 END, relative)) AS role, any_value(length) AS length FROM u GROUP BY h)
+SELECT 'posts' AS name, count(*) AS n FROM o UNION ALL SELECT 'accounts', count(DISTINCT account) FROM o UNION ALL SELECT 'content_types.' || kind, count(*) FROM o GROUP BY kind
+UNION ALL SELECT 'duplicate_post_rows_removed', 3 UNION ALL SELECT 'source_media_files', count(DISTINCT relative) FROM u UNION ALL SELECT 'empty_media_files', 0 UNION ALL SELECT 'source_media_by_role.' || role, count(DISTINCT relative) FROM u GROUP BY role
+UNION ALL SELECT 'unique_assets', count(*) FROM a UNION ALL SELECT 'unique_assets_by_type.' || CASE role WHEN 'video' THEN 'video' ELSE 'image' END, count(*) FROM a GROUP BY 1
+UNION ALL SELECT 'asset_bytes', CAST(coalesce(sum(length), 0) AS BIGINT) FROM a UNION ALL SELECT 'missing_assets', count(*) FROM g UNION ALL SELECT 'posts_with_missing_assets', count(DISTINCT k) FROM g""")
+def manifest_counts(spark, sf):
+    """The manifest's counts, a row each."""
+    posts, refs, gaps, assets = attached(spark, sf)
+    n = export.counts(posts.withColumn("account_id", identity.account_id(F.col("account"))), gaps, settle(assets), refs.select("kind", "relative", "length"), 3)
+    rows = [(k, v) for k, v in n.items() if not isinstance(v, dict)] + [(f"{k}.{x}", v) for k, d in n.items() if isinstance(d, dict) for x, v in d.items()]
+    return spark.createDataFrame(rows, "name string, n long")  # a few figures
+
+
+@query(_POSTS + _FILES + """, r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY lower(account), pid, CASE role WHEN 'video' THEN 2 ELSE 0 END, relative) AS n FROM f WHERE length > 0)
+SELECT 'sha256:' || h AS asset_id, 'media/' || relative AS first_source FROM r WHERE n = 1""")
+def asset_sources(spark, sf):
+    """the label of the file that each asset was seen in first."""
+    return attached(spark, sf)[3].select("asset_id", F.col("source_paths")[0].alias("first_source"))
+
+
+@query("""SELECT p_partkey, 'sha1_' || substr(sha1('{"a": ' || p_partkey || ', "b": "' || p_name || '", "c": [1, null]}'), 1, 20) AS post_id FROM part""")
+def payload_identities(spark, sf):
+    """F9's fallback, F10: items that carry no id are named by their payload's digest, keys sorted."""
+    p = table(spark, sf, "part", "p_partkey", "p_name")
+    p = p.withColumn("raw_json", F.to_json(F.struct(F.array(F.lit(1), F.lit(None).cast("int")).alias("c"), F.col("p_name").alias("b"), F.col("p_partkey").alias("a")), {"ignoreNullFields": "false"}))
+    return p.select("p_partkey", identity.capture_post_id(F.try_parse_json("raw_json"), F.col("raw_json")).alias("post_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.variants import get, is_array, is_object, is_string, items, kind, text
@@ -30,10 +30,20 @@ def _v(df: DataFrame, rule: str, key: Column, detail: str) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), F.lit(detail).alias("detail"))
 
 
-def file_violations(sums: DataFrame, files: DataFrame, assets: DataFrame) -> list[DataFrame]:
-    """sums (line, digest, name, ok), files (name, length, sha256), assets (raw): checksums, assets, inventories."""
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The rows, written once, and how many there are, as the one scan has observed it."""
+    met = Observation(name)
+    return settle(df.observe(met, F.count(F.lit(1)).alias("n"))), met.get["n"]
+
+
+def asset_facts(assets: DataFrame) -> DataFrame:
+    """Of each asset row what the rules ask for; ok: id and path are text."""
     a = assets.select(get(F.col("raw"), "asset_id").alias("id"), get(F.col("raw"), "path").alias("p"), get(F.col("raw"), "sha256").alias("h"), F.try_variant_get("raw", "$.bytes", "long").alias("bytes"))
-    b = a.select(text(F.col("id")).alias("asset_id"), text(F.col("p")).alias("path"), text(F.col("h")).alias("sha256"), "bytes", (is_string(F.col("id")) & (text(F.col("id")) != "") & is_string(F.col("p"))).alias("ok"))
+    return a.select(text(F.col("id")).alias("asset_id"), text(F.col("p")).alias("path"), text(F.col("h")).alias("sha256"), "bytes", (is_string(F.col("id")) & (text(F.col("id")) != "") & is_string(F.col("p"))).alias("ok"))
+
+
+def file_violations(sums: DataFrame, files: DataFrame, b: DataFrame) -> list[DataFrame]:
+    """sums (line, digest, name, ok), files (name, length, sha256), assets as ``asset_facts`` gives them: checksums, assets, inventories."""
     good = sums.where("ok")
     listed = b.join(good.select(F.col("name").alias("path"), F.col("digest")), "path", "left")
     sized = b.join(files.select(F.col("name").alias("path"), "length"), "path", "left")
@@ -56,18 +66,9 @@ def file_violations(sums: DataFrame, files: DataFrame, assets: DataFrame) -> lis
     ]
 
 
-def references(posts: DataFrame) -> DataFrame:
-    """(post_uid, asset): every media reference of every post; null where it is no text."""
-    m = lambda k: items(get(F.col("raw"), f"media.{k}"))
-    flat = F.concat(m("covers"), m("avatars"), m("videos"), F.transform(m("slides"), lambda s: get(s, "asset_id")))
-    # an absent slide asset must stay visible, as a null reference
-    return posts.select(text(get(F.col("raw"), "post_uid")).alias("post_uid"), F.explode(F.transform(flat, lambda x: F.when(is_string(x), text(x)))).alias("asset"))
-
-
-def post_violations(posts: DataFrame, assets: DataFrame, gaps: DataFrame) -> list[DataFrame]:
-    """posts, assets, gaps: rows with ``raw``."""
+def post_facts(posts: DataFrame) -> DataFrame:
+    """Of each post, in one projection, what the rules ask for: its own violations (V10, V12 to V15) as an array, keys, status, slide counts and media references (null where one is no text)."""
     r = F.col("raw")
-    uid = text(get(r, "post_uid"))
     named = F.lit(True)
     for n in NAMES:
         named = named & F.coalesce(is_string(get(r, n)) & (text(get(r, n)) != ""), F.lit(False))
@@ -77,28 +78,39 @@ def post_violations(posts: DataFrame, assets: DataFrame, gaps: DataFrame) -> lis
     slides = items(get(r, "media.slides"))
     whole = lambda v: F.coalesce(kind(v).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.lit(False))  # noqa: E731  booleans are none
     index = lambda s: F.try_variant_get(s, "$.index", "long")
-    bad_index = F.exists(slides, lambda s: ~whole(get(s, "index")) | (F.coalesce(index(s), F.lit(0)) < 1))
     order = F.transform(slides, index)
-    keyed = posts.select(uid.alias("uid"), text(get(r, "platform")).alias("pf"), F.lower(text(get(r, "account"))).alias("ac"), text(get(r, "post_id")).alias("pid"))
-    known = assets.select(text(get(r, "asset_id")).alias("asset")).distinct()
-    refs = references(posts)
-    lost = gaps.select(text(get(r, "post_uid")).alias("post_uid"))
-    own = posts.select(uid.alias("post_uid"), text(get(r, "media_status")).alias("status"), F.try_variant_get(r, "$.available_slide_count", "long").alias("n"), F.size(slides).alias("have"))
-    marks = lost.where("post_uid is not null").distinct().withColumn("gap", F.lit(True))
-    told = own.join(marks, "post_uid", "left").withColumn("want", F.when(F.col("gap"), "incomplete").otherwise("complete"))
+    sound = {
+        ("V10", "a post identifier is no filled text"): named,
+        ("V12", "content type, raw or metadata is invalid"): text(get(r, "content_type")).isin("video", "slideshow") & is_object(get(r, "raw")) & is_object(get(r, "metadata")),
+        ("V13", "media lists are invalid"): lists,
+        ("V14", "slide index is no number from 1"): ~F.exists(slides, lambda s: ~whole(get(s, "index")) | (F.coalesce(index(s), F.lit(0)) < 1)),
+        ("V15", "slide positions aren't strictly increasing"): F.array_sort(F.array_distinct(order)) == order,
+    }
+    broken = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(rule).alias("rule"), F.lit(detail).alias("detail"))) for (rule, detail), ok in sound.items())))
+    m = lambda k: items(get(r, f"media.{k}"))
+    # an absent slide asset must stay visible, as a null reference
+    flat = F.concat(m("covers"), m("avatars"), m("videos"), F.transform(m("slides"), lambda s: get(s, "asset_id")))
+    return posts.select(
+        text(get(r, "post_uid")).alias("uid"), text(get(r, "platform")).alias("pf"), F.lower(text(get(r, "account"))).alias("ac"), text(get(r, "post_id")).alias("pid"), text(get(r, "media_status")).alias("status"),
+        F.try_variant_get(r, "$.available_slide_count", "long").alias("n"), F.size(slides).alias("have"), F.transform(flat, lambda x: F.when(is_string(x), text(x))).alias("assets"), broken.alias("broken"),
+    )
+
+
+def post_violations(facts: DataFrame, assets: DataFrame, gaps: DataFrame) -> list[DataFrame]:
+    """facts as ``post_facts`` gives them, assets (asset_id), gaps (post_uid): no payload is read here."""
+    own = facts.select("uid", F.explode("broken").alias("b")).select("b.rule", F.col("uid").alias("key"), "b.detail")
+    refs = facts.select("uid", F.explode("assets").alias("asset"))
+    known = assets.select(F.col("asset_id").alias("asset")).distinct()
+    marks = gaps.where("post_uid is not null").select(F.col("post_uid").alias("uid")).distinct().withColumn("gap", F.lit(True))
+    told = facts.select("uid", "status", "n", "have").join(marks, "uid", "left").withColumn("want", F.when(F.col("gap"), "incomplete").otherwise("complete"))
     return [
-        _v(posts.where(~named), "V10", uid, "a post identifier is no filled text"),
-        _v(keyed.groupBy("uid").count().where("count > 1"), "V11", F.col("uid"), "post_uid listed twice"),
-        _v(keyed.groupBy("pf", "ac", "pid").count().where("count > 1"), "V11", F.concat_ws("/", "pf", "ac", "pid"), "post listed twice"),
-        _v(posts.where(~F.coalesce(text(get(r, "content_type")).isin("video", "slideshow") & is_object(get(r, "raw")) & is_object(get(r, "metadata")), F.lit(False))), "V12", uid, "content type, raw or metadata is invalid"),
-        _v(posts.where(~lists), "V13", uid, "media lists are invalid"),
-        _v(posts.where(bad_index), "V14", uid, "slide index is no number from 1"),
-        _v(posts.where(~F.coalesce(F.array_sort(F.array_distinct(order)) == order, F.lit(False))), "V15", uid, "slide positions aren't strictly increasing"),
-        _v(refs.where("asset is null").unionByName(refs.where("asset is not null").join(known, "asset", "left_anti").select(*refs.columns)), "V16", F.col("post_uid"), "reference to an unknown asset"),
-        _v(posts.agg(F.count("*").alias("n")).where("n = 0"), "V17", F.lit("posts"), "the dataset is empty"),
-        _v(lost.join(own.select("post_uid").distinct(), "post_uid", "left_anti"), "V18", F.col("post_uid"), "gap of an unknown post"),
-        _v(told.where("status is null or status <> want"), "V19", F.col("post_uid"), "media status disagrees with the gaps"),
-        _v(told.where("n is null or n <> have"), "V20", F.col("post_uid"), "slide count disagrees with the slides"),
+        own,
+        _v(facts.groupBy("uid").count().where("count > 1"), "V11", F.col("uid"), "post_uid listed twice"),
+        _v(facts.groupBy("pf", "ac", "pid").count().where("count > 1"), "V11", F.concat_ws("/", "pf", "ac", "pid"), "post listed twice"),
+        _v(refs.where("asset is null").unionByName(refs.where("asset is not null").join(known, "asset", "left_anti").select(*refs.columns)), "V16", F.col("uid"), "reference to an unknown asset"),
+        _v(gaps.join(facts.select(F.col("uid").alias("post_uid")).distinct(), "post_uid", "left_anti"), "V18", F.col("post_uid"), "gap of an unknown post"),
+        _v(told.where("status is null or status <> want"), "V19", F.col("uid"), "media status disagrees with the gaps"),
+        _v(told.where("n is null or n <> have"), "V20", F.col("uid"), "slide count disagrees with the slides"),
     ]
 
 
@@ -135,12 +147,14 @@ def violations(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([("V0", "package", str(e)[:300])], "rule string, key string, detail string")
     files = listed(spark, root)
     base = folder.resolve().as_posix()
-    posts, assets, gaps, sums = (x.persist() for x in (posts, assets, gaps, sums))  # two dozen rules read them
     files = settle(files.join(digests(files).select("path", "sha256"), "path").select(F.expr(f"substring_index(path, '{base}/', -1)").alias("name"), "length", "sha256"))
-    n = [x.count() for x in (posts, assets, gaps)]
-    rows = manifest_violations(manifest, *n) + [("V24", p.relative_to(folder).as_posix(), "symbolic link") for p in links]
+    facts, n_posts = counted(post_facts(posts), "posts")
+    assets, n_assets = counted(asset_facts(assets), "assets")
+    gaps, n_gaps = counted(gaps.select(text(get(F.col("raw"), "post_uid")).alias("post_uid")), "gaps")
+    rows = manifest_violations(manifest, n_posts, n_assets, n_gaps) + [("V24", p.relative_to(folder).as_posix(), "symbolic link") for p in links]
+    rows += [] if n_posts else [("V17", "posts", "the dataset is empty")]
     out = spark.createDataFrame(rows, "rule string, key string, detail string")
-    for v in file_violations(sums, files, assets) + post_violations(posts, assets, gaps):
+    for v in file_violations(settle(sums), files, assets) + post_violations(facts, assets, gaps):
         out = out.unionByName(v)
     return out
 

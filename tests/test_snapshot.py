@@ -302,3 +302,9 @@ def test_a_hot_account_is_written_by_several_tasks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "posts")).count() == 20_000
     export.write_by_account(rows.where("raw_json like '%\"a1\"%'"), str(tmp_path / "posts"))
     assert {p.name for p in (tmp_path / "posts").glob("account=*")} == {"account=a1"}
+
+
+def test_rules_read_every_payload_once(published, spark):
+    """What the rules join are narrow facts that one projection of the payloads has left: no payload is read or parsed again."""
+    plan = validate.violations(spark, str(published[0] / "out"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "variant" not in plan.lower() and "raw" not in plan
