@@ -542,3 +542,22 @@ def payload_identities(spark, sf):
     p = table(spark, sf, "part", "p_partkey", "p_name")
     p = p.withColumn("raw_json", F.to_json(F.struct(F.array(F.lit(1), F.lit(None).cast("int")).alias("c"), F.col("p_name").alias("b"), F.col("p_partkey").alias("a")), {"ignoreNullFields": "false"}))
     return p.select("p_partkey", identity.capture_post_id(F.try_parse_json("raw_json"), F.col("raw_json")).alias("post_id"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 10 <> 9 THEN CAST(l_quantity AS DOUBLE) / 4 END AS duration_seconds, CASE WHEN l_partkey % 10 <> 9 THEN l_partkey END AS file_size_bytes,
+CASE WHEN l_partkey % 10 <> 9 AND l_partkey % 3 > 0 THEN 'h26' || (l_partkey % 3) END AS video_codec, CASE WHEN l_partkey % 10 <> 9 AND l_partkey % 3 > 0 THEN l_suppkey END AS width,
+CASE WHEN l_partkey % 10 <> 9 AND l_partkey % 3 > 0 AND l_suppkey % 4 > 0 THEN CAST(l_suppkey AS DOUBLE) / (l_suppkey % 4) END AS fps, CASE WHEN l_partkey % 10 <> 9 THEN l_linenumber % 2 = 0 END AS has_audio,
+CASE WHEN l_partkey % 10 <> 9 AND l_linenumber % 2 = 0 THEN 'aac' END AS audio_codec FROM lineitem""")
+def probe_columns(spark, sf):
+    """A media probe's answers to columns; some have a duration that is no number, some no video, some a frame rate over zero."""
+    l = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    text = lambda c: F.col(c).cast("string")
+    part = F.col("l_partkey")
+    shape = F.struct(F.when(part % 10 == 9, "N/A").otherwise((F.col("l_quantity").cast("double") / 4).cast("string")).alias("duration"), text("l_partkey").alias("size"))
+    stream = lambda kind, name, width, rate: F.struct(F.lit(kind).alias("codec_type"), name.alias("codec_name"), width.cast("long").alias("width"), rate.alias("r_frame_rate"))
+    none = F.lit(None).cast("string")
+    video = F.when(part % 3 > 0, stream("video", F.concat(F.lit("h26"), (part % 3).cast("string")), F.col("l_suppkey"), F.concat(text("l_suppkey"), F.lit("/"), (F.col("l_suppkey") % 4).cast("string"))))
+    audio = F.when(F.col("l_linenumber") % 2 == 0, stream("audio", F.lit("aac"), F.lit(None), none))
+    answer = F.to_json(F.struct(shape.alias("format"), F.array_compact(F.array(audio, video)).alias("streams")))
+    found = l.select("l_orderkey", "l_linenumber", answer.alias("answer")).select("l_orderkey", "l_linenumber", U.probe(F.col("answer")).alias("p"))
+    return found.select("l_orderkey", "l_linenumber", *(f"p.{c}" for c in ("duration_seconds", "file_size_bytes", "video_codec", "width", "fps", "has_audio", "audio_codec")))

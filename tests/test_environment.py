@@ -27,3 +27,16 @@ def test_secret_values(spark):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(redaction.redact(F.lit("x abcd hunter22 Bearer zzz"), redaction.secret_values(env)).alias("r")).first().r == "x [REDACTED] [REDACTED] Bearer [REDACTED]"
+
+
+def test_probe_answers(spark):
+    from pyspark.sql import functions as F
+
+    rows = [
+        '{"format": {"duration": "1.5", "size": "20"}, "streams": [{"codec_type": "video", "codec_name": "a", "r_frame_rate": "30/1"}, {"codec_type": "audio", "codec_name": "x"}, {"codec_type": "video", "codec_name": "b", "width": 4, "height": 3, "r_frame_rate": "25"}, {"codec_type": "audio"}]}',
+        "{}", '{"streams": null, "format": null}', '{"format": {"duration": "x"}}', "[1]", "not json", None, '{"streams": [{"codec_type": "video", "r_frame_rate": "1/0"}]}',
+    ]
+    got = [r.p for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, j string").orderBy("i").select(media.probe(F.col("j")).alias("p")).collect()]
+    assert tuple(got[0]) == (1.5, 20, "b", 4, 3, 30.0, True, None)
+    assert tuple(got[1]) == tuple(got[2]) == (None,) * 6 + (False, None)
+    assert got[3:7] == [None] * 4 and got[7].fps is None and got[7].has_audio is False
