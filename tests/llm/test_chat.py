@@ -1,7 +1,12 @@
 import hashlib
+import os
+
+import pytest
 
 from tessella.llm import chat
 
+DATA = "/root/testdata/sf0.001"
+
 
 def brute(rows):
     out = {}
@@ -62,3 +67,20 @@ def test_budgets_in_model_tokens(spark):
         assert len(codec.encode(w.formatted)) <= 100 or w.n_new == 1
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(windows).collect()}
     assert got == brute(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
+def test_whole_table_like_brute_force(spark):
+    """The query itself, with its production budgets and conversation -7."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = chat.op8_chat(spark, DATA).collect()
+    want = brute([*rows, *chat.EXTRA])
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want and len(got) == len(want) and -7 in want
+    assert all(r.formatted_chars > 0 for r in got)
+
+
+def test_very_long_conversation_and_turn(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i}") for i in range(4000)] + [(2, 0, "user", "q"), (2, 1, "assistant", "long <turn> " * 60_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.format_conversations(df)).collect()}
+    assert got == brute(rows)

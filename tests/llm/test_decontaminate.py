@@ -73,3 +73,14 @@ def test_regular_words_are_told_apart(spark):
     assert {x[:2] for x in want} == {(0, 0), (1, 1), (2, 2), (3, 3)}
     assert sorted((tuple(r) for r in D.contained_items(d, i).collect()), key=str) == want
     assert sorted((tuple(r) for r in D.contained_items(d, i, most_broadcast=0).collect()), key=str) == want
+
+
+def test_items_anywhere_in_very_long_documents(spark):
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    item = " ".join(r.choices(words, k=30))
+    filler = lambda n: " ".join(r.choices(words, k=n))
+    docs = [(1, f"{item} {filler(200_000)}"), (2, f"{filler(200_000)} {item}"), (3, f"{filler(100_000)} {item} {filler(100_000)}"), (4, filler(200_000))]
+    items = [(9, item), (8, filler(40))]
+    got = D.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(x.doc_id for x in got.collect()) == sorted(d for d, i, *_ in brute(docs, items)) == [1, 2, 3]

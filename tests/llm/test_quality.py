@@ -112,3 +112,13 @@ def test_held_out_accuracy_on_the_table(spark):
     assert good and bad
     assert sum(a > b for a in good for b in bad) >= 0.98 * len(good) * len(bad)
     assert sum(s >= 0.3 for s in good) >= 0.98 * len(good)
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    rows, labels = corpus()
+    good, bad = rows[1][1] + " ", rows[0][1] + " "
+    long = [(10_001, good * 20_000), (10_002, (good * 10_000) + ("JUNK!!%% " * 200_000)), (10_003, bad * 20_000)]
+    known = spark.createDataFrame([(i, y, 0) for i, y, *_ in labels], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in Q.classify(spark.createDataFrame([*rows, *long], SCHEMA), known).collect()}
+    assert len(got) == len(rows) + 3 and all(0 <= got[i] <= 1 for i, _ in long)
+    assert got[10_001] > got[10_002]  # what stands after the first megabyte counts

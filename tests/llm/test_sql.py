@@ -28,4 +28,4 @@ def test_same_as_sql(spark, name):
 def test_pipeline_counts_as_a_query(spark):
     import __spark_entry__ as entry
 
-    assert "pipeline" in entry.queries() and {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()}
+    assert "pipeline" in entry.queries() and {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in entry.queries()}

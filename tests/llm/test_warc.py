@@ -38,3 +38,13 @@ def test_empty_and_threshold(spark):
 def test_coalesce():
     got = list(warc.coalesce_ranges([("a", 0, 10), ("a", 10, 5), ("a", 100, 5), ("b", 105, 1)], gap=20, most=50))
     assert got == [("a", 0, 15, [(0, 10), (10, 5)]), ("a", 100, 105, [(100, 5)]), ("b", 105, 106, [(105, 1)])]
+
+
+def test_very_long_payloads(spark):
+    long = "<p>é " * 1_500_000
+    rows = [(1, "u", long), (2, "v", long), (3, "w", long[:-1])]
+    folder = shared_dir(spark)
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to, hashlib.sha1(r.payload).digest() if r.payload is not None else None) for r in warc.read(index, folder).collect()}
+    own = lambda t: (len(t.encode()), "response", None, hashlib.sha1(t.encode()).digest())
+    assert got == {1: own(long), 2: (len(long.encode()), "revisit", 1, None), 3: own(long[:-1])}
