@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, redaction
 from ..functions import media as U
 from ..functions.variants import get
-from ..operators import hashtree, inventory
+from ..operators import hashtree, history, inventory
 from ..session import settle, shared_folder, spread
 from ..sinks import lines
 from ..sources import files as disk
@@ -561,3 +561,15 @@ def probe_columns(spark, sf):
     answer = F.to_json(F.struct(shape.alias("format"), F.array_compact(F.array(audio, video)).alias("streams")))
     found = l.select("l_orderkey", "l_linenumber", answer.alias("answer")).select("l_orderkey", "l_linenumber", U.probe(F.col("answer")).alias("p"))
     return found.select("l_orderkey", "l_linenumber", *(f"p.{c}" for c in ("duration_seconds", "file_size_bytes", "video_codec", "width", "fps", "has_audio", "audio_codec")))
+
+
+@query("""WITH h AS (SELECT o_orderkey AS k, o_orderstatus AS p FROM orders WHERE o_orderkey % 3 > 0), a AS (SELECT l_orderkey AS k, CASE WHEN l_orderkey % 7 = 0 THEN 'X' WHEN l_orderkey % 11 = 0 AND l_linenumber = 1 THEN 'Y' ELSE o_orderstatus END AS p
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT CAST(a.k AS VARCHAR) AS k, count(*) AS rows, CASE WHEN count(DISTINCT a.p) > 1 OR bool_or(h.p <> a.p) THEN 'conflict' WHEN any_value(h.k) IS NOT NULL THEN 'duplicate' ELSE 'new' END AS status
+FROM a LEFT JOIN h ON a.k = h.k GROUP BY a.k""")
+def history_outcomes(spark, sf):
+    """W3, W4, W5 against a history: order lines arrive, and are held against the orders stored by key."""
+    o = table(spark, sf, "orders", "o_orderkey", "o_orderstatus")
+    stored = history.History.create(o.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("p")), ["k"], "p", shared_folder(spark), 16)
+    l = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    p = F.when(F.col("l_orderkey") % 7 == 0, "X").when((F.col("l_orderkey") % 11 == 0) & (F.col("l_linenumber") == 1), "Y").otherwise(F.col("o_orderstatus"))
+    return stored.outcomes(l.select(F.col("l_orderkey").alias("k"), p.alias("p")), "p").select("k", "rows", "status")
