@@ -170,6 +170,15 @@ def next_revision(folder: Path) -> Path:
     return folder / f"{max(taken, default=0) + 1:04d}"
 
 
+def published_by(folder: Path, lineage: dict) -> Path | None:
+    """The revision that a run published from these inputs, if one is there: the run may have ended before it could say so."""
+    for p in sorted(folder.glob("[0-9][0-9][0-9][0-9]"), reverse=True):
+        manifest = p / "manifest.json"
+        if manifest.is_file() and json.loads(manifest.read_text(encoding="utf-8")).get("pipeline") == lineage:
+            return p
+    return None
+
+
 def finish(path: Path, state: dict) -> dict:
     states = {s["status"] for s in state["stages"].values()}
     state["status"] = "completed" if states == {"completed"} else "failed" if "failed" in states else "interrupted" if "interrupted" in states else "partial"
@@ -195,9 +204,14 @@ def run_pipeline(spark, path: Path, selected: str, media: str, datasets: str, co
         inputs = fingerprint({"capture": own(), "media": sorted((p.relative_to(media).as_posix(), p.stat().st_size, p.stat().st_mtime_ns) for p in Path(media).rglob("*") if p.is_file())})
 
         def publish() -> dict:
-            target = next_revision(Path(datasets))
-            target.parent.mkdir(parents=True, exist_ok=True)
-            told = export.export_dataset(spark, selected, media, str(target), lineage={"run_id": state["run_id"], "inputs": inputs}, require_verified=bool(config.get("require_verified_media")))
+            lineage = {"run_id": state["run_id"], "inputs": inputs}
+            target = published_by(Path(datasets), lineage)
+            if target:
+                told = json.loads((target / "manifest.json").read_text(encoding="utf-8"))
+            else:
+                target = next_revision(Path(datasets))
+                target.parent.mkdir(parents=True, exist_ok=True)
+                told = export.export_dataset(spark, selected, media, str(target), lineage=lineage, require_verified=bool(config.get("require_verified_media")))
             state["publication"] += 1
             return {"complete": told["completion"]["media"], "dataset": str(target), "inputs": inputs}
 

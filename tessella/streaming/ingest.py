@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.variants import canonical
 from ..plans.normalize import is_error, normalize
+from ..session import shared_folder
+from ..sinks.lines import publish, write_parts
+from ..sources.files import opened
 
 #: Where a line stands: its file, the byte range it was read in, and its place among that range's lines.
 POSITION = ["file", "block", "place"]
@@ -41,6 +45,24 @@ def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str) -> in
     return len(done)
 
 
+def take_batch(items: DataFrame, number: int, arrivals: str, target: str, checkpoint: str) -> str:
+    """Take in the items (raw_json) of one finished provider batch; returns the digest of its lines.
+
+    The batch becomes one file of the arrivals, named by its number and its content, and goes the way of all files
+    there: a batch that is given again, after whatever failure, is the same file and is not taken twice.
+    """
+    spark, staging = items.sparkSession, shared_folder(items.sparkSession)
+    write_parts(items.select("raw_json").orderBy("raw_json"), f"{staging}/parts")
+    done = publish(spark, [(f"{staging}/parts", f"{staging}/batch", b"")]).first()
+    filesystem, folder = opened(arrivals)
+    filesystem.create_dir(folder, recursive=True)
+    path = f"{folder}/batch-{number:06d}-{done.sha256[:24]}.jsonl"
+    if filesystem.get_file_info(path).type == FileType.NotFound:
+        filesystem.move(opened(f"{staging}/batch")[1], path)
+    ingest(spark, arrivals, target, checkpoint)
+    return done.sha256
+
+
 def posts(spark: SparkSession, target: str) -> DataFrame:
     """The merged table: per account and post the row of the first batch, file and line."""
     from ..operators.dedup import first_wins

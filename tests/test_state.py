@@ -1,4 +1,5 @@
 import json
+import os
 import threading
 
 import pytest
@@ -114,3 +115,24 @@ def test_state_of_first_payloads_over_batches_replays_and_late_files(spark, tmp_
             ingest.deduplicate(spark, spark.readStream.schema(schema).parquet(source), ["file", "line"], str(tmp_path / "out"), str(tmp_path / "mark"))
     got = sorted(tuple(r) for r in ingest.outcome(spark, str(tmp_path / "out")).collect())
     assert got == [("a", "1", "x", 4, True), ("a", "2", "p", 3, True), ("a", "3", "r", 2, True), ("b", "1", None, 2, False), ("c", "9", "new", 1, False)]
+
+
+def test_a_finished_batch_is_taken_once(spark, tmp_path):
+    places = [str(tmp_path / n) for n in ("in", "out", "mark")]
+    batch = lambda *items: spark.createDataFrame([(json.dumps(x),) for x in items], "raw_json string")
+    one = batch({"id": "1", "input": "A", "text": "first"}, {"id": "2", "input": "A", "text": "two"}, {"error": "gone"})
+    digest = ingest.take_batch(one, 1, *places)
+    assert ingest.take_batch(one.repartition(3), 1, *places) == digest  # again, dealt otherwise
+    ingest.take_batch(batch({"id": "1", "input": "a", "text": "later"}, {"id": "3", "input": "B", "text": "three"}), 2, *places)
+    assert len(os.listdir(tmp_path / "in")) == 2
+    assert {(r.post_id, r.caption) for r in ingest.posts(spark, places[1]).collect()} == {("1", "first"), ("2", "two"), ("3", "three")}
+    assert spark.read.parquet(f"{places[1]}/batch=*").count() == 4
+
+
+def test_a_run_that_ended_after_publishing_finds_its_revision(tmp_path):
+    lineage = {"run_id": "r", "inputs": "i"}
+    for name, told in (("0001", {"pipeline": {"run_id": "other", "inputs": "i"}}), ("0002", {"pipeline": lineage}), ("0003", {})):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "manifest.json").write_text(json.dumps(told))
+    (tmp_path / "0004").mkdir()
+    assert state.published_by(tmp_path, lineage).name == "0002" and state.published_by(tmp_path, {"run_id": "r", "inputs": "changed"}) is None
