@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators.dedup import ConflictError
-from tessella.plans import export, media, normalize, validate
+from tessella.plans import export, media, normalize, state, validate
 from tessella.sources import text as scans
 from tessella.sources.capture import capture_fingerprint
 
@@ -308,3 +308,26 @@ def test_rules_read_every_payload_once(published, spark):
     """What the rules join are narrow facts that one projection of the payloads has left: no payload is read or parsed again."""
     plan = validate.violations(spark, str(published[0] / "out"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation" in plan and "variant" not in plan.lower() and "raw" not in plan
+
+
+def test_run_resumes_after_it_published(spark, tmp_path, monkeypatch):
+    selected, files = snapshot(tmp_path)
+    place, sets = tmp_path / "runs" / "run.json", tmp_path / "datasets"
+    place.parent.mkdir()
+    run = lambda: state.run_pipeline(spark, place, selected, files, str(sets), {"a": 1})
+    save = state.save
+    calls = []
+
+    def fails_once(path, s):
+        if s["stages"]["export"]["status"] in ("completed", "partial") and not calls:
+            calls.append(1)
+            raise KeyboardInterrupt
+        save(path, s)
+
+    monkeypatch.setattr(state, "save", fails_once)
+    with pytest.raises(KeyboardInterrupt):
+        run()
+    assert [p.name for p in sets.glob("[0-9]*")] == ["0001"]
+    done = run()
+    assert done["stages"]["export"]["result"]["dataset"].endswith("0001") and done["stages"]["validate"]["status"] == "completed"
+    assert [p.name for p in sets.glob("[0-9]*")] == ["0001"] and (place.parent / ".capture" / "LATEST").exists()
