@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: JSON texts that count as false: null, empty string, zero, false, empty array and object.
 FALSY = ('""', "0", "0.0", "-0.0", "false", "[]", "{}", "null")
 
 
+def parsed_once(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """The same rows, their payload computed once for all that refers to it above: it comes out of a generator, which no filter is pushed through."""
+    return df.select(*(F.explode(F.array(raw)).alias(raw) if c == raw else F.col(c) for c in df.columns))
+
+
 def get(raw: Column, path: str, kind: str = "variant") -> Column:
     """The value at a dotted path; null where a step is absent or not an object, or the type doesn't fit."""
     return F.try_variant_get(raw, "$." + path if path else "$", kind)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import capture_account, capture_post_id, download_account, download_post_id
-from ..functions.variants import first_truthy, first_value, get, is_object, is_string, items, kind, present, text, truthy
+from ..functions.variants import first_truthy, first_value, get, is_object, is_string, items, kind, parsed_once, present, text, truthy
 from ..operators.dedup import first_wins, last_wins
 
 # The candidate paths of each output column, in their order.
@@ -104,6 +104,7 @@ def is_error(raw: Column) -> Column:
 
 def split_items(items_df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, errors): error items are kept out of every derived table."""
+    items_df = parsed_once(items_df)
     bad = F.coalesce(is_error(F.col("raw")), F.lit(False))
     return items_df.where(~bad), items_df.where(bad)
 
