@@ -573,3 +573,36 @@ def history_outcomes(spark, sf):
     l = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     p = F.when(F.col("l_orderkey") % 7 == 0, "X").when((F.col("l_orderkey") % 11 == 0) & (F.col("l_linenumber") == 1), "Y").otherwise(F.col("o_orderstatus"))
     return stored.outcomes(l.select(F.col("l_orderkey").alias("k"), p.alias("p")), "p").select("k", "rows", "status")
+
+
+@query("""WITH v AS (SELECT l_orderkey, 'file:///m/' || l_orderkey || '/v' || l_linenumber || '_' || l_partkey || '.mp4' AS path, l_partkey % 4 * 100 AS length FROM lineitem)
+SELECT CAST(l_orderkey AS VARCHAR) AS post_dir, arg_max(path, (length, path)) AS path FROM v WHERE length > 0 GROUP BY l_orderkey""")
+def largest_of_several(spark, sf):
+    """Of several videos of a folder the largest, of equal ones the last path; empty ones don't count."""
+    l = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
+    key = F.col("l_orderkey").cast("string")
+    path = F.concat(F.lit("file:///m/"), key, F.lit("/v"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string"), F.lit(".mp4"))
+    found = media.largest_file(l.select(F.lit("m").alias("account_dir"), key.alias("post_dir"), path.alias("path"), (F.col("l_partkey") % 4 * 100).cast("long").alias("length")))
+    return found.select("post_dir", "path")
+
+
+def again(rows: DataFrame, where: str, record: str) -> DataFrame:
+    """Some of the rows once more, at another place."""
+    return rows.where(where).withColumn("record", F.expr(record).cast("long"))
+
+
+@query(_POSTS + "SELECT account, pid AS post_id, CASE WHEN k % 2 = 0 THEN k + 1000000000 WHEN k % 5 = 1 THEN k + 2000000000 ELSE k END AS record FROM o")
+def repeated_posts_planned(spark, sf):
+    """Identical posts of one capture are planned once, as the last of them."""
+    c = captured(spark, sf).withColumn("record", F.col("record").cast("long"))
+    rows = c.unionByName(again(c, "o_orderkey % 2 = 0", "record + 1000000000")).unionByName(again(c, "o_orderkey % 2 = 1 and o_orderkey % 5 = 1", "record + 2000000000"))
+    return media.plan_posts(rows).select("account", "post_id", "record")
+
+
+@query(_POSTS + """SELECT CASE WHEN k % 5 = 0 THEN 'v' || k ELSE pid END AS post_id, CASE WHEN k % 3 = 1 THEN 'earlier ' ELSE '' END || o_orderpriority AS caption FROM o WHERE k % 10 <> 7""")
+def repeated_posts_normalized(spark, sf):
+    """Of posts that come again with another text the first stays, by record."""
+    c = captured(spark, sf).withColumn("record", F.col("record").cast("long"))
+    other = lambda rows, word: rows.withColumn("raw_json", F.regexp_replace("raw_json", '"desc":"', f'"desc":"{word} ')).withColumn("raw", F.try_parse_json("raw_json"))
+    rows = c.unionByName(other(again(c, "o_orderkey % 3 = 0", "record + 1000000000"), "later")).unionByName(other(again(c, "o_orderkey % 3 = 1", "record - 1000000000"), "earlier"))
+    return normalize.normalized_posts(normalize.split_items(rows)[0], ["source_file", "record"]).select("post_id", "caption")
