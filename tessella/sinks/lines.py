@@ -3,7 +3,8 @@
 Every task of ``line_parts`` writes its rows, in their order, to a part of its own and answers with
 name, bytes, SHA-256 and number of lines. The committer writes these answers, in the order of the partitions, as the
 parts' manifest, and removes what no answer names (attempts that were killed). A task that fails removes its
-part, and a job that fails leaves no part. ``publish`` joins the parts of several files, each in one
+part, and a job that fails leaves no part: its folder is marked first and emptied then, and tasks that are still running
+look for the mark once they have begun a part. ``publish`` joins the parts of several files, each in one
 task that streams them, checks every part against its answer, hashes the whole, and
 puts it in place by a move; a file's SHA-256 is sequential, so one file is one task's work, in memory of one chunk.
 
@@ -13,6 +14,7 @@ ends where the format quotes them (csv); for ``text`` a row is a line as it is,
 
 from __future__ import annotations
 
+import contextlib
 import csv
 import hashlib
 import io
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -30,6 +33,8 @@ from ..sources.files import CHUNK, arrow, opened
 
 FORMAT = "line_parts"
 MANIFEST = "_manifest.json"
+#: Left in a folder whose job has failed: tasks that still run meet it and remove what they have begun.
+ABORTED = "_aborted"
 
 
 class PartsError(ValueError):
@@ -85,13 +90,16 @@ class LinePartsWriter(DataSourceArrowWriter):
         h, size, lines = hashlib.sha256(), 0, 0
         try:
             with filesystem.open_output_stream(f"{root}/{name}", compression=None) as out:
+                if filesystem.get_file_info(f"{root}/{ABORTED}").type != FileType.NotFound:
+                    raise PartsError("the job has failed")
                 for batch in iterator:
                     data = encode(batch)
                     out.write(data)
                     h.update(data)
                     size, lines = size + len(data), lines + batch.num_rows
         except BaseException:
-            filesystem.delete_file(f"{root}/{name}")
+            with contextlib.suppress(FileNotFoundError):  # the job's end may have been first
+                filesystem.delete_file(f"{root}/{name}")
             raise
         if not lines:
             filesystem.delete_file(f"{root}/{name}")
@@ -109,8 +117,13 @@ class LinePartsWriter(DataSourceArrowWriter):
             out.write(json.dumps([[m.name, m.size, m.sha256, m.lines] for m in kept]).encode())
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        for filesystem, path, _ in _files(self.folder):
-            filesystem.delete_file(path)
+        filesystem, root = opened(self.folder)
+        filesystem.create_dir(root, recursive=True)
+        filesystem.open_output_stream(f"{root}/{ABORTED}", compression=None).close()
+        for filesystem, path, name in _files(self.folder):
+            if name != ABORTED:
+                with contextlib.suppress(FileNotFoundError):  # its own task may have been first
+                    filesystem.delete_file(path)
 
 
 class LineParts(DataSource):

@@ -4,6 +4,7 @@ import csv
 import hashlib
 import json
 import os
+import time
 from pathlib import Path
 
 import pytest
@@ -51,7 +52,17 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     bad = ordered(spark, 5000).select(F.when(F.col("id") == 4321, F.raise_error("stop")).otherwise(F.col("text")).alias("value"))
     with pytest.raises(PySparkException):
         lines.write_parts(bad, f"{tmp_path}/p")
-    assert not [p for p in Path(tmp_path).rglob("*") if p.is_file()]
+    assert left(tmp_path) <= {lines.ABORTED}
+
+
+def left(folder, seconds=20):
+    """The files that remain once the job's other tasks have ended as well."""
+    for _ in range(seconds):
+        found = {p.name for p in Path(folder).rglob("*") if p.is_file()}
+        if found <= {lines.ABORTED}:
+            break
+        time.sleep(1)
+    return found
 
 
 def test_a_killed_task_leaves_nothing(spark, tmp_path):
@@ -63,7 +74,10 @@ def test_a_killed_task_leaves_nothing(spark, tmp_path):
 
     with pytest.raises(Exception, match="(?i)python worker|abort"):
         lines.write_parts(ordered(spark, 5000).mapInArrow(die, "text string"), f"{tmp_path}/p")
-    assert not [p for p in Path(tmp_path).rglob("*") if p.is_file()]
+    assert left(tmp_path) <= {lines.ABORTED}
+    with pytest.raises(Exception, match="has failed"):  # nor is the folder written to later
+        lines.write_parts(ordered(spark, 10).select("text"), f"{tmp_path}/p")
+    assert left(tmp_path) <= {lines.ABORTED}
 
 
 def test_files_of_attempts_that_never_answered_are_removed(tmp_path):
