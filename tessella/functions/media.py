@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from . import walk
 from .variants import get, is_string, text
 
 # The file types, their MIME types, and hosts.
@@ -30,6 +29,10 @@ DIRECT_LIMIT = 8
 CANDIDATES = "array<struct<source:string,url:string>>"
 
 
+def any_of(*conditions: Column) -> Column:
+    return reduce(or_, conditions)
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
@@ -136,32 +139,28 @@ def failure_summary(attempts: Column) -> Column:
     return F.transform(attempts, lambda a: F.struct(a["source"].alias("source"), F.filter(a["statuses"], lambda s: s.isNotNull()).alias("statuses"), tail(a["errors"], 2).alias("errors")))
 
 
-def strings_in(value, key: str = "", backwards: bool = False) -> Iterator[tuple[str, str]]:
-    """(nearest key in lower case, string) of every string in a JSON value, in document order or its reverse."""
-    if isinstance(value, str):
-        yield key, value
-        return
-    inner = [(str(k).lower(), v) for k, v in value.items()] if isinstance(value, dict) else [(key, v) for v in value] if isinstance(value, list) else []
-    for k, v in reversed(inner) if backwards else inner:
-        yield from strings_in(v, k, backwards)
-
-
-def is_direct_video(key: str, url: str) -> bool:
+def is_direct_video(key: Column, url: Column) -> Column:
     """A URL that names a video by its own words or by the key it stands under; no image, no profile page."""
-    low = url.lower()
-    named = any(k in key for k in VIDEO_KEYS) or any(m in low for m in VIDEO_MARKS)
-    return named and url.startswith(("http://", "https://")) and not low.split("?")[0].endswith(IMAGE_EXTENSIONS) and f"{PLATFORM_SITE}/@" not in low
+    low = F.lower(url)
+    path = F.substring_index(low, "?", 1)
+    named = any_of(*(key.contains(k) for k in VIDEO_KEYS), *(low.contains(m) for m in VIDEO_MARKS))
+    return (url.startswith("http://") | url.startswith("https://")) & named & ~any_of(*(path.endswith(e) for e in IMAGE_EXTENSIONS)) & ~low.contains(f"{PLATFORM_SITE}/@")
 
 
-def video_urls(payload) -> list[str]:
+def direct_video_urls(raw_json: Column) -> Column:
     """Direct video URLs anywhere in a payload, in document order, each once."""
-    return list(dict.fromkeys(url for key, url in strings_in(payload) if is_direct_video(key, url)))
+    return F.array_distinct(walk.strings_under(raw_json, is_direct_video))
+
+
+def first_direct_urls(raw_json: Column) -> Column:
+    """The direct video URLs that are tried: the first few."""
+    return F.slice(direct_video_urls(raw_json), 1, DIRECT_LIMIT)
 
 
-def post_page_url(*payloads) -> str | None:
-    """Of the post pages' URLs in the payloads the one that stands last."""
-    pages = (u for _, u in strings_in(list(payloads), backwards=True) if PLATFORM_SITE in u.lower() and any(x in u.lower() for x in POST_PAGES))
-    return next(pages, None)
+def find_post_url(raw_json: Column) -> Column:
+    """Of the post pages' URLs in a payload the one that stands last."""
+    page = lambda u: F.lower(u).contains(PLATFORM_SITE) & any_of(*(F.lower(u).contains(x) for x in POST_PAGES))
+    return F.try_element_at(F.filter(walk.values(raw_json), page), F.lit(-1))
 
 
 def acceptable_image(status: Column, content_type: Column, length: Column) -> Column:
@@ -173,19 +172,3 @@ def acceptable_image(status: Column, content_type: Column, length: Column) -> Co
 def error_tail(c: Column, most: int = 5000) -> Column:
     """The last characters of an error's text."""
     return F.when(F.char_length(c) > most, F.right(c, F.lit(most))).otherwise(c)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def direct_video_urls(raw_json: pd.Series) -> pd.Series:
-    """Recursion of any depth over open JSON, which column expressions can't follow."""
-    return raw_json.map(lambda t: None if t is None else video_urls(json.loads(t)))
-
-
-def first_direct_urls(raw_json: Column) -> Column:
-    """The direct video URLs that are tried: the first few."""
-    return F.slice(direct_video_urls(raw_json), 1, DIRECT_LIMIT)
-
-
-@F.pandas_udf(T.StringType())
-def find_post_url(raw_json: pd.Series) -> pd.Series:
-    return raw_json.map(lambda t: None if t is None else post_page_url(json.loads(t)))

@@ -1,4 +1,6 @@
 
+import json
+
 import pytest
 
 from tessella.functions import media, redaction
@@ -14,11 +16,12 @@ def test_options():
         state.require_keys({"out": 1}, {"out", "accounts"})
 
 
-def test_payload_walks():
+def test_payload_walks(spark):
     payload = {"a": [{"playAddr": "https://h/1"}, "https://www.tiktok.com/@x/video/1"], "cover": "https://h/v.mp4", "video": {"img": "https://h/x.jpg", "b": ["https://h/1", "https://www.tiktok.com/@x"]}, "z": {"u": "https://www.tiktok.com/v/2"}}
-    assert media.video_urls(payload) == ["https://h/1", "https://h/v.mp4"]
-    assert media.post_page_url(payload) == "https://www.tiktok.com/v/2" and media.post_page_url(payload, {"q": "https://tiktok.com/photo/9"}) == "https://tiktok.com/photo/9"
-    assert media.post_page_url({"a": 1}, []) is None
+    texts = [json.dumps(x) for x in (payload, [payload, {"q": "https://tiktok.com/photo/9"}], [{"a": 1}, []])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, j string").select("i", media.direct_video_urls("j").alias("urls"), media.find_post_url("j").alias("page")).orderBy("i").collect()
+    assert rows[0].urls == ["https://h/1", "https://h/v.mp4"]
+    assert [r.page for r in rows] == ["https://www.tiktok.com/v/2", "https://tiktok.com/photo/9", None]
 
 
 def test_secret_values(spark):
