@@ -13,9 +13,10 @@ There, the contexts of each block are a shard. A symbol is a string of ``SYMBOL`
 shard's transform is of bounded order (length / SYMBOL symbols), over the suffixes at all byte
 positions. The shards' transforms are merged by refining their interleave: in each round the
 sources are dealt stably by the symbol before, and blocks of equal prefixes split where symbol or
-earlier block differ. After round r a block's suffixes share r symbols, so after the last one the
-blocks of two suffixes or more are the repeated intervals. No suffix of one shard is ever compared
-with one of another.
+earlier block differ. A boundary that round r is the first to draw lies between suffixes that share
+r - 1 symbols, and later rounds leave it where it is: so the rounds write down the common prefixes
+of neighbours, and runs of neighbours that share all symbols are the repeated intervals. No suffix
+of one shard is ever compared with one of another.
 
 A hash with more than ``HOT`` different contexts (a passage in a large share of all documents)
 isn't gathered: digests of its windows are spread by their own value and counted instead.
@@ -179,11 +180,16 @@ def transform(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, symb
 
 
 def merge(shards: list[tuple[np.ndarray, np.ndarray]], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave the shards' transforms: the source of each place in the merged order, and the place's block of equal prefixes."""
+    """Interleave the shards' transforms: the source of each place in the merged order, and how many symbols (``rounds`` at most) its suffix shares with the one before.
+
+    After its end mark a text goes on with its own beginning, so equal suffixes that hold a mark may be told apart.
+    """
     source = np.repeat(np.arange(len(shards), dtype=np.uint16 if len(shards) < 65536 else np.int64), [len(s[0]) for s in shards])
     before = np.concatenate([s[1] for s in shards])
     block = np.zeros(len(source), np.int32)
-    for _ in range(rounds):
+    shared = np.full(len(source), rounds, np.uint8)
+    shared[:1] = 0
+    for r in range(rounds):
         by_source = np.argsort(source, kind="stable")  # place of each shard's next suffix
         symbol = np.empty(len(source), before.dtype)
         symbol[by_source] = before
@@ -193,8 +199,16 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]], rounds: int) -> tuple[np.
         split[:1] = False
         np.not_equal(symbol[1:], symbol[:-1], out=split[1:])
         split[1:] |= block[1:] != block[:-1]
+        shared[split & (shared == rounds)] = r
         block = np.cumsum(split, dtype=np.int32)
-    return source, block
+    return source, shared
+
+
+def interval_sizes(shared: np.ndarray, rounds: int) -> np.ndarray:
+    """For each place the number of suffixes in its interval, the longest run of neighbours that share ``rounds`` symbols."""
+    first = np.flatnonzero(np.concatenate(([True], shared[1:] < rounds))) if len(shared) else np.empty(0, np.int64)
+    size = np.diff(first, append=len(shared))
+    return np.repeat(size, size)
 
 
 def repeated_windows(shards: list[list[bytes]], length: int = LENGTH, symbol: int = SYMBOL) -> list[list[np.ndarray]]:
@@ -220,11 +234,11 @@ def repeated_windows(shards: list[list[bytes]], length: int = LENGTH, symbol: in
         order_of, before = transform(numbers, starts, lengths, symbol, rounds)
         built.append((order_of, before.astype(np.int32)))
         where.append((order_of, lengths, starts))
-    source, block = merge(built, rounds)
-    size = np.bincount(block)
+    source, shared = merge(built, rounds)
+    size = interval_sizes(shared, rounds)
     for n, (order_of, lengths, starts) in enumerate(where):
         mine = np.empty(len(order_of), np.int64)
-        mine[order_of] = size[block[source == n]]  # a shard's suffixes keep their order in any interleave
+        mine[order_of] = size[source == n]  # a shard's suffixes keep their order in any interleave
         out.append([mine[s : s + m - length] > 1 for s, m in zip(starts.tolist(), lengths.tolist(), strict=True)])
     return out
 
@@ -243,10 +257,9 @@ def mark_contexts(docs: DataFrame, folder: str, ranges: int, length: int, core:
             c = Contexts(texts, length, core)
             cuts = cuts_of(c.keys, bits)
             yield {"block": [number], "range": [-1], "keys": [b""], "digests": [b""], "times": [b""]}  # every block has a row, contexts or not
-            for r in range(1 << bits):
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
                 lo, hi = int(cuts[r]), int(cuts[r + 1])
-                if hi > lo:
-                    yield {"block": [number], "range": [r], "keys": [c.keys[lo:hi].tobytes()], "digests": [c.digests[lo:hi].tobytes()], "times": [squeeze(c.times[lo:hi])]}
+                yield {"block": [number], "range": [r], "keys": [c.keys[lo:hi].tobytes()], "digests": [c.digests[lo:hi].tobytes()], "times": [squeeze(c.times[lo:hi])]}
 
     def add(batches):
         for r, rows in grouped(batches, "range", ("block", "keys", "digests", "times")):
@@ -299,11 +312,10 @@ def find_repeats(codes: DataFrame, folder: str, ranges: int, length: int, core:
             code = _codes(c, rows)
             plain = np.flatnonzero((code & SEND > 0) & (code & SPREAD == 0))
             cuts = cuts_of(c.keys[plain], bits)
-            for r in range(1 << bits):
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
                 which = plain[cuts[r] : cuts[r + 1]]
-                if len(which):
-                    texts = [c.bytes_of(c.own[i]) for i in which]
-                    yield {"range": [r], "kind": [0], "block": [number], "which": [which.astype(np.int64).tobytes()], "keys": [c.keys[which].tobytes()], "sizes": [np.array([len(t) for t in texts], np.int32).tobytes()], "data": [squeeze(b"".join(texts))]}
+                texts = [c.bytes_of(c.own[i]) for i in which]
+                yield {"range": [r], "kind": [0], "block": [number], "which": [which.astype(np.int64).tobytes()], "keys": [c.keys[which].tobytes()], "sizes": [np.array([len(t) for t in texts], np.int32).tobytes()], "data": [squeeze(b"".join(texts))]}
             spread = np.flatnonzero(code & SPREAD > 0)
             if len(spread):
                 digest, owner, offset = [], [], []
@@ -316,10 +328,9 @@ def find_repeats(codes: DataFrame, folder: str, ranges: int, length: int, core:
                 order = np.argsort(digest, kind="stable")
                 digest, owner, offset = digest[order], owner[order], offset[order]
                 cuts = cuts_of(digest, bits)
-                for r in range(1 << bits):
+                for r in np.flatnonzero(np.diff(cuts)).tolist():
                     part = slice(int(cuts[r]), int(cuts[r + 1]))
-                    if part.stop > part.start:
-                        yield {"range": [r], "kind": [1], "block": [number], "which": [owner[part].tobytes()], "keys": [digest[part].tobytes()], "sizes": [offset[part].astype(np.int32).tobytes()], "data": [None]}
+                    yield {"range": [r], "kind": [1], "block": [number], "which": [owner[part].tobytes()], "keys": [digest[part].tobytes()], "sizes": [offset[part].astype(np.int32).tobytes()], "data": [None]}
 
     def answer(batch: list, length=length):
         """One group of contexts of whole hashes, a shard for each block."""

@@ -71,5 +71,29 @@ def test_merge_orders_suffixes_of_all_shards():
             assert hit.tolist() == [count[t[i : i + 200]] > 1 for i in range(len(t) - 199)]
 
 
+def test_common_prefixes_of_merged_shards():
+    r = random.Random(5)
+    shards = [[bytes(r.choice(b"ab") for _ in range(r.randint(1, 40))) for _ in range(r.randint(1, 4))] for _ in range(3)]
+    built, names = [], []
+    for texts in shards:
+        lengths = np.array([len(t) + 1 for t in texts])
+        starts = np.cumsum(lengths) - lengths
+        symbols = np.concatenate([np.frombuffer(t + b"\0", np.uint8).astype(np.int64) for t in texts])
+        order, before = S.transform(symbols, starts, lengths, 1, 6)
+        built.append((order, before.astype(np.int32)))
+        suffixes = [t[i:] + b"\0" for t in texts for i in range(len(t) + 1)]
+        names.append([suffixes[i][:6] for i in order])
+    source, shared = S.merge(built, 6)
+    rest = [iter(n) for n in names]
+    merged = [next(rest[s]) for s in source]
+    assert merged == sorted(merged)
+    common = lambda a, b: 6 if a == b else next(i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y)
+    count, size = Counter(merged), S.interval_sizes(shared, 6).tolist()
+    for i, (a, b) in enumerate(zip(merged, merged[1:], strict=False), 1):
+        assert shared[i] == common(a, b) or (a == b and a.endswith(b"\0"))  # a text goes on with its own beginning after its mark
+    assert all(n == count[m] for m, n in zip(merged, size, strict=True) if not m.endswith(b"\0")) and max(size) > 1
+    assert len(S.interval_sizes(np.empty(0, np.uint8), 6)) == 0
+
+
 def test_empty(spark):
     assert S.repeat_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
