@@ -20,11 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder (as a URI or path) that driver and executors share.
 
     The cluster names its shared folder in ``spark.checkpoint.dir``; only where that is
-    unset, as in local tests, a temporary folder of this machine is set and used.
+    unset and the session is local, as in tests, a temporary folder of this machine is set and used.
     """
     key = "spark.checkpoint.dir"
     root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{key} must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set(key, root)
     return f"{root.rstrip('/')}/tessella-{uuid.uuid4().hex}"
