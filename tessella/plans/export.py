@@ -27,7 +27,8 @@ from . import media as M
 from . import validate as V
 from .normalize import COLUMNS, content_type, normalize, published, spelt, verbatim
 
-# The versions and names of the package's parts.
+# The roles of a post's files, and the versions and names of the package's parts.
+ROLES = ("avatar", "cover", "slide", "video")
 SCHEMA_VERSION = "creative-dataset-export-v1"
 FILES = ("posts.jsonl", "posts.csv", "assets.jsonl", "missing_assets.jsonl", "manifest.json", "README.md")
 CHECKSUMS = "checksums.sha256"
@@ -109,8 +110,9 @@ def snapshot(posts: DataFrame, files: DataFrame) -> dict:
         _refuse(hashed.where("sha256 <> expected_sha256 or length <> expected_bytes").select("relative"), "verified media changed before the export")
         hashed = hashed.drop("expected_sha256", "expected_bytes")
     hashed = hashed.join(folders.select("account_dir").distinct(), "account_dir", "left_semi")
-    refs, gaps, assets, problems = M.attach(posts, hashed)
-    refs, gaps, assets = settle(refs), settle(gaps), settle(assets)
+    held = M.held(posts, hashed)
+    refs, gaps, assets, problems = M.attachments(held)
+    gaps, assets = settle(gaps), settle(assets)
     _refuse(problems, "media that fits no rule")
     empty = gaps.where("reason = 'empty_file'")
     used = hashed.select("relative", "length", "account_dir", "post_dir", "name", "media_type")
@@ -118,19 +120,22 @@ def snapshot(posts: DataFrame, files: DataFrame) -> dict:
     lost = used.where("length = 0").withColumn("kind", F.when(F.col("post_dir") == "profile", "avatar").when(F.col("media_type") == "video", "video").when(F.col("name").startswith("cover."), "cover").otherwise("slide"))
     lost = lost.join(empty.select(F.lower("account").alias("a")).distinct(), F.lower("account_dir") == F.col("a"), "left_semi").select("kind", "relative", "length")
     # each is read by several counts and writes
-    return {"posts": settle(M.envelopes(posts, refs, gaps)), "missing": gaps, "assets": assets, "files": settle(roles.unionByName(lost))}
+    return {"posts": settle(M.envelopes(posts, held)), "missing": gaps, "assets": assets, "files": settle(roles.unionByName(lost))}
 
 
 def counts(posts: DataFrame, gaps: DataFrame, assets: DataFrame, refs_files: DataFrame, duplicates: int) -> dict:
-    """The manifest's counts; every figure is one small aggregate."""
+    """The manifest's counts: one grouping each of posts, assets, gaps and files. A file is counted once for each role it has."""
     p = posts.agg(F.count("*").alias("posts"), F.count_distinct("account_id").alias("accounts")).first()
-    a = assets.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
-    g = gaps.agg(F.count("*").alias("n"), F.count_distinct("post_uid").alias("p")).first()
-    f = refs_files.agg(F.count_distinct("relative").alias("n"), F.count_distinct(F.when(F.col("length") == 0, F.col("relative"))).alias("e")).first()
-    by = lambda df, c: {r[c]: r["count"] for r in df.groupBy(c).count().orderBy(c).collect()}  # noqa: E731  a few kinds
+    a = {r.media_type: r for r in assets.groupBy("media_type").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).orderBy("media_type").collect()}  # a few types
+    g = gaps.groupBy("post_uid").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("post_uid").alias("p")).first()
+    of = [F.max(F.col("kind") == k).alias(k) for k in ROLES]
+    each = refs_files.groupBy("relative").agg(F.max(F.col("length") == 0).alias("empty"), *of)
+    f = each.agg(F.count("relative").alias("n"), F.count_if("empty").alias("e"), *(F.count_if(k).alias(k) for k in ROLES)).first()
+    roles = {k: f[k] for k in ROLES if f[k]}
+    types = {r["content_type"]: r["count"] for r in posts.groupBy("content_type").count().orderBy("content_type").collect()}  # a few kinds
     return {
-        "posts": p.posts, "accounts": p.accounts, "content_types": by(posts, "content_type"), "duplicate_post_rows_removed": duplicates, "source_media_files": f.n, "empty_media_files": f.e,
-        "source_media_by_role": by(refs_files.select("kind", "relative").distinct(), "kind"), "unique_assets": a.n, "unique_assets_by_type": by(assets, "media_type"), "asset_bytes": a.b,
+        "posts": p.posts, "accounts": p.accounts, "content_types": types, "duplicate_post_rows_removed": duplicates, "source_media_files": f.n, "empty_media_files": f.e,
+        "source_media_by_role": roles, "unique_assets": sum(r.n for r in a.values()), "unique_assets_by_type": {k: r.n for k, r in a.items()}, "asset_bytes": sum(r.b or 0 for r in a.values()),
         "missing_assets": g.n, "posts_with_missing_assets": g.p,
     }
 
