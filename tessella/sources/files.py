@@ -16,6 +16,8 @@ from ..session import settle
 
 #: Bytes of files that one task reads (a larger file is one task's alone), and bytes read at once.
 TASK_BYTES, CHUNK = 256 << 20, 4 << 20
+#: Bytes that could be hashed while a file is opened: what a file counts besides its own.
+OPENING = 16 << 10
 
 
 def opened(uri: str):
@@ -82,5 +84,5 @@ def digests(files: DataFrame, path: str = "path", length: str = "length", task_b
                     n += len(block)
                 yield {"path": [name], "sha256": [h.hexdigest()], "read": [n]}
 
-    dealt = by_bytes(files.select(F.col(path).alias("path"), F.col(length).alias("length")), task_bytes=task_bytes)
+    dealt = by_bytes(files.select(F.col(path).alias("path"), (F.coalesce(F.col(length), F.lit(0)) + OPENING).alias("length")), task_bytes=task_bytes)
     return arrow(dealt.select("path"), run, "path string, sha256 string, read long")

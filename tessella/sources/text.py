@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
-from datetime import UTC, datetime
+import os
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,8 @@ from ..functions.identity import clean_handle
 from ..functions.media import IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, extension
 from ..functions.variants import is_object
 from ..operators.dedup import first_wins
+from ..session import settle
+from .files import arrow, opened
 from .ranges import numbered_lines
 
 #: What text.splitlines() breaks lines at.
@@ -71,22 +73,50 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("source_file", F.concat(F.lit("posts/"), name)).withColumn("stem", F.regexp_replace(name, r"\.jsonl$", ""))
 
 
-def empty_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modificationTime) of files without bytes, which Spark's file sources leave out."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    found, rows = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
-    while found.hasNext():
-        f = found.next()
-        if f.getLen() == 0:
-            rows.append((f.getPath().toString(), 0, datetime.fromtimestamp(f.getModificationTime() / 1000, UTC)))
-    return spark.createDataFrame(rows, "path string, length long, modificationTime timestamp")
+def hidden(name: str) -> bool:
+    """A component that Spark's file sources leave out."""
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
 
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modificationTime) of all files below a folder, those without bytes included; nothing is read of them."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return df.select("path", "length", "modificationTime").union(empty_files(spark, root))
+    """(path, length, modificationTime) of all files below a folder, those without bytes included; nothing is read of them.
+
+    One task lists the folder itself, many the folders in it, each with all that is below; what they find is written, and none of it passes the driver.
+    """
+    from pyarrow import fs
+
+    filesystem, base = opened(root)
+    if filesystem.get_file_info(base).type == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    local = isinstance(filesystem, fs.LocalFileSystem)
+    base = (os.path.abspath(base) if local else base).rstrip("/")
+    prefix = "file:" if local else root.rstrip("/").removesuffix(base)
+
+    def files(found) -> dict:
+        kept = [f for f in found if f.type == fs.FileType.File and (not f.size or not any(map(hidden, f.path.removeprefix(base).strip("/").split("/"))))]
+        return {"path": [prefix + f.path for f in kept], "length": [f.size for f in kept], "modificationTime": [f.mtime for f in kept], "folder": [None] * len(kept)}
+
+    def top(batches):
+        for b in batches:
+            for name in b.column("folder").to_pylist():
+                own, _ = opened(root)
+                at = own.get_file_info(name)
+                found = own.get_file_info(fs.FileSelector(name)) if at.type == fs.FileType.Directory else [at]
+                yield files(found)
+                folders = [f.path for f in found if f.type == fs.FileType.Directory]
+                yield {c: [None] * len(folders) for c in ("path", "length", "modificationTime")} | {"folder": folders}
+
+    def below(batches):
+        for b in batches:
+            for name in b.column("folder").to_pylist():
+                yield files(opened(root)[0].get_file_info(fs.FileSelector(name, recursive=True)))
+
+    schema = "path string, length long, modificationTime timestamp, folder string"
+    first = settle(arrow(spark.createDataFrame([(base or "/",)], "folder string").coalesce(1), top, schema))
+    folders = first.where("folder is not null").select("folder")
+    n, cores = folders.count(), spark.sparkContext.defaultParallelism
+    deeper = arrow(folders.repartition(max(1, min(n, max(4 * cores, n // 256)))), below, schema)
+    return first.where("folder is null").union(settle(deeper)).drop("folder")
 
 
 def media_files(spark: SparkSession, root: str, verified: DataFrame | None = None) -> DataFrame:
