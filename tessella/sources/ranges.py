@@ -106,8 +106,12 @@ def numbered_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTE
                     place += len(kept)
 
     files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "path", "length")
-    spread = ranges(files, range_bytes).repartition("path", "start")
+    cut = ranges(files, range_bytes)
+    total = cut.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("bytes")).first()
+    # a task has several small ranges at most, whatever their rows weigh: adaptive execution would put them all in one
+    tasks = max(1, min(total.n, max(4 * spark.sparkContext.defaultParallelism, total.bytes // RANGE_BYTES)))
+    spread = cut.repartition(tasks, "path", "start")
     counted = settle(arrow(spread, count, "file string, path string, length long, start long, end long, n long, filled long"))
     w = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     behind = counted.select("file", "path", "length", "start", "end", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("line"), F.coalesce(F.sum("filled").over(w), F.lit(0)).alias("place"))
-    return arrow(settle(behind).repartition("path", "start"), read, "file string, line long, place long, value string")
+    return arrow(settle(behind).repartition(tasks, "path", "start"), read, "file string, line long, place long, value string")
