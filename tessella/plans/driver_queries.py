@@ -108,10 +108,9 @@ def contiguous_positions(spark, sf):
 @query("""SELECT 'order_without_item' AS rule, o_orderkey AS key FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)
 UNION ALL SELECT DISTINCT 'item_without_order' AS rule, l_orderkey AS key FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)""")
 def referential_violations(spark, sf):
-    o, l = table(spark, sf, "orders", "o_orderkey"), table(spark, sf, "lineitem", "l_orderkey")
-    a = inventory.unknown_references(o, l, "o_orderkey", "l_orderkey").select(F.lit("order_without_item").alias("rule"), F.col("o_orderkey").alias("key"))
-    b = inventory.unknown_references(l, o, "l_orderkey", "o_orderkey").distinct().select(F.lit("item_without_order").alias("rule"), F.col("l_orderkey").alias("key"))
-    return a.unionByName(b)
+    found = inventory.unmatched(table(spark, sf, "orders", F.col("o_orderkey").alias("key")), table(spark, sf, "lineitem", F.col("l_orderkey").alias("key")), "key")
+    left = F.col("side") == "left"  # an order once for each of its rows, an item's key once
+    return found.select(F.when(left, "order_without_item").otherwise("item_without_order").alias("rule"), "key", F.when(left, F.col("rows")).otherwise(1).alias("n")).select("rule", "key", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int")))).select("rule", "key")
 
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN -1 ELSE l.quality END AS quality, CASE WHEN l.doc_id IS NULL THEN 0 ELSE l.toxic END AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
