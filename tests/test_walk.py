@@ -86,3 +86,10 @@ def test_long_and_deep(spark):
     rows = results(spark, [deep, json.dumps(many), json.dumps(escapes)])
     assert rows[0].urls == ["https://h/deep"] and rows[1].urls == plain_urls(many) and rows[2].urls == ["https://h/end"]
     assert json.loads(rows[1].redacted) == plain_redacted(many) and json.loads(rows[2].redacted) == escapes
+
+
+def test_tokens_that_cannot_matter_change_nothing(spark):
+    texts = ['{"a":"x","video":"https://e.org/1","b":{"play":{"n":1,"u":"https://e.org/2"},"z":"https://e.org/3"},"download":["q",{"k":"http:\\\\/\\\\/e.org\\\\/4"},"https://e.org/5"],"w":"\\\\u0068ttps://e.org/6.mp4"}', '["https://e.org/7.mp4",{"play":[["https://e.org/8"]]}]']
+    df = spark.createDataFrame([(t.replace("\\\\", "\\"),) for t in texts], "j string")
+    all_of, some = (df.select(F.array_distinct(walk.strings_under(F.col("j"), media.is_direct_video, *extra)).alias("u")).collect() for extra in ((), (lambda c: c.startswith("http") | c.contains("\\"),)))
+    assert all_of == some and [len(r.u) for r in some] == [3, 2]
