@@ -52,7 +52,7 @@ FILE_BYTES = 64 << 20
 #: Bytes of records that one task reads back.
 TASK_BYTES = 32 << 20
 #: Words remembered, and the longest that are (in bytes).
-CACHE, LONG = 300_000, 64
+CACHE, LONG = 600_000, 64
 END = 1
 
 # CRC-32C --------------------------------------------------------------------------------------
@@ -205,6 +205,8 @@ class Encoder:
 
             def __init__(self):
                 self.old: dict[bytes, bytes] = {}
+                #: The ids of single characters that stand behind letters.
+                self.ends = {bytes([i]): b"".join([stored[t.id] for t in tokenize(chr(i).translate(letters))]) for i in range(128)}
 
             def __missing__(self, word: bytes) -> bytes:
                 ids = self.old.get(word)
@@ -221,7 +223,7 @@ class Encoder:
                 if word.isalpha():  # ASCII letters are one piece, whatever stands behind them but an apostrophe's
                     return b"".join([stored[t.id] for t in tokenize(word.lower().decode())])
                 if word[:-1].isalpha() and word[-1] < 128:
-                    return self[word[:-1]] + b"".join([stored[t.id] for t in tokenize(word[-1:].decode().translate(letters))])
+                    return self[word[:-1]] + self.ends[word[-1:]]
                 text = word.decode()
                 if simple(text) and "<|" not in text:
                     return b"".join([stored[t.id] for p in find(text.lower()) for t in tokenize(p.encode().decode("latin-1").translate(letters))])

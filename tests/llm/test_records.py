@@ -126,3 +126,14 @@ def test_whole_table_as_the_library_does(spark):
     docs = sorted(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect())
     got = sorted(tuple(r) for r in records.op11_records(spark, DATA).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
     assert got == brute([(r.doc_id, r.text) for r in docs])
+
+
+def test_end_characters_are_remembered():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e, library = records.Encoder(path), Tokenizer.from_file(path)
+    assert all(e.words.ends[c.encode()] for c in "!,.:")
+    for text in ("word! Word, WORD. x: y; z? (a) b) c\" d' e1 f- g\x00", "a! a, a.", "naïve. Ünder!"):
+        assert e.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
